@@ -217,8 +217,8 @@ def validate_paths(paths: DataFrame, edges: DataFrame, units: DataFrame) -> Data
     """
     p = paths.select(
         "path_id", "total_fee", "total_fee95", _items("toll_intervals").alias("units"),
-        F.transform(_items("chargefee_group"), lenient_int).alias("m"),
-        F.transform(_items("chargefee95_group"), lenient_int).alias("e"),
+        F.transform(_items("chargefee_group"), lambda x: lenient_int(x)).alias("m"),
+        F.transform(_items("chargefee95_group"), lambda x: lenient_int(x)).alias("e"),
     )
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     sums = p.withColumns({"_m": total("m"), "_e": total("e")})
