@@ -13,37 +13,44 @@ from pyspark.sql import functions as F
 from ontoweave.session import cut_lineage
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000, rounds_per_cut: int = 3) -> DataFrame:
     """Cheapest route from every start node to every node it reaches.
 
     ``edges``: src, dst, weight (non-negative). ``starts``: src. Result: src,
     dst, cost, path. Only nodes whose cost fell in the last round expand
     again; equal costs are settled by fewest edges, then by the lower path.
     """
-    arcs = cut_lineage(edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), "weight"))
-    seed = starts.select(
-        "src", F.col("src").alias("dst"), F.lit(0).cast(arcs.schema["weight"].dataType).alias("cost"),
-        F.array(F.col("src")).alias("path"), F.lit(True).alias("fresh"),
+    real = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), "weight", F.lit(False).alias("_stay"))
+    zero = F.lit(0).cast(edges.schema["weight"].dataType)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("_from")).unionByName(
+        starts.select(F.col("src").alias("_from"))
     ).distinct()
-    best = cut_lineage(seed)
-    for _ in range(max_rounds):
-        frontier = best.filter("fresh")
-        steps = frontier.join(arcs, frontier["dst"] == arcs["_from"]).select(
-            "src", F.col("_to").alias("dst"), (F.col("cost") + F.col("weight")).alias("cost"),
-            F.concat("path", F.array("_to")).alias("path"), F.lit(True).alias("fresh"),
-        )
-        pool = best.withColumn("fresh", F.lit(False)).unionByName(steps)
-        # false < true: an equally good old label stays, so a round without gain ends the loop.
-        best = cut_lineage(
-            pool.groupBy("src", "dst")
-            .agg(F.min(F.struct("cost", F.size("path").alias("hops"), "path", "fresh")).alias("_best"))
-            .select("src", "dst", "_best.cost", "_best.path", "_best.fresh")
-        )
+    # A stay arc per node carries the old label into the next round, so a round reads the labels once.
+    arcs = cut_lineage(real.unionByName(nodes.select("_from", F.col("_from").alias("_to"), zero.alias("weight"), F.lit(True).alias("_stay"))))
+    best = cut_lineage(starts.select(
+        "src", F.col("src").alias("dst"), zero.alias("cost"), F.array("src").alias("path"), F.lit(True).alias("fresh")
+    ).distinct())
+    for _ in range(-(-max_rounds // rounds_per_cut)):
+        for _ in range(rounds_per_cut):
+            best = _relax(best, arcs)
+        best = cut_lineage(best)
         if best.filter("fresh").isEmpty():
             break
     return best.drop("fresh")
 
 
+def _relax(best: DataFrame, arcs: DataFrame) -> DataFrame:
+    moves = best.join(arcs, (F.col("dst") == F.col("_from")) & (F.col("fresh") | F.col("_stay"))).select(
+        "src", F.col("_to").alias("dst"), (F.col("cost") + F.col("weight")).alias("cost"),
+        F.when(F.col("_stay"), F.col("path")).otherwise(F.concat("path", F.array("_to"))).alias("path"),
+        (~F.col("_stay")).alias("fresh"),
+    )
+    # false < true: an equally good old label stays, so a round without gain leaves nothing fresh.
+    return moves.groupBy("src", "dst").agg(
+        F.min(F.struct("cost", F.size("path").alias("hops"), "path", "fresh")).alias("_best")
+    ).select("src", "dst", "_best.cost", "_best.path", "_best.fresh")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component): component is the smallest node id it is connected to.
 

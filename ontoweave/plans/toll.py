@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ontoweave.functions.numeric import half_up_hundreds, lenient_int
 from ontoweave.operators.graph import shortest_paths
 from ontoweave.operators.grouping import first_wins, last_wins
+from ontoweave.session import cut_lineage
 
 UNIT, STATION = 0, 1
 IN_USE = 2
@@ -141,17 +142,18 @@ def _node(node_id: str, node_type: str) -> Column:
 
 
 def network(edges: DataFrame, params: DataFrame, vehicle_type: int) -> DataFrame:
-    """Valid edges as (src, dst, weight): leaving a unit costs its MTC fee, leaving a station nothing."""
+    """Valid edges with what leaving their start costs: a unit its fees, a station nothing."""
     fees = params.filter((F.col("vehicle_type") == vehicle_type) & F.col("mfee").isNotNull()).select(
-        F.col("toll_interval_id").alias("_unit"), "mfee"
+        F.col("toll_interval_id").alias("_unit"), "mfee", "efee"
     )
     left = edges.filter("invalid = 0").withColumn(
         "_unit", F.when(F.col("en_road_node_type") == UNIT, F.col("en_road_node_id"))
     )
     return left.join(fees, "_unit", "left").select(
         _node("en_road_node_id", "en_road_node_type").alias("src"),
-        _node("ex_road_node_id", "ex_road_node_type").alias("dst"),
-        F.coalesce("mfee", F.lit(0)).cast("bigint").alias("weight"),
+        _node("ex_road_node_id", "ex_road_node_type").alias("dst"), F.col("_unit").alias("unit"),
+        F.coalesce("mfee", F.lit(0)).cast("bigint").alias("weight"), F.coalesce("efee", F.lit(0)).cast("bigint").alias("efee"),
+        "charge_miles",
     )
 
 
@@ -162,33 +164,26 @@ def find_paths(
 
     ``entries`` and ``exits`` carry station_id; all pairs that are connected are returned.
     """
+    net = cut_lineage(network(edges, params, vehicle_type))
     starts = entries.select(F.concat(F.col("station_id"), F.lit("|1")).alias("src")).distinct()
     ends = exits.select(F.concat(F.col("station_id"), F.lit("|1")).alias("dst")).distinct()
-    reached = shortest_paths(network(edges, params, vehicle_type), starts).filter(F.size("path") > 1)
+    reached = shortest_paths(net.select("src", "dst", "weight"), starts).filter(F.size("path") > 1)
     wanted = reached.join(ends, "dst", "left_semi")
-    units = params.filter(F.col("vehicle_type") == vehicle_type).select("toll_interval_id", "mfee", "efee")
-    length = edges.filter("invalid = 0").select(
-        _node("en_road_node_id", "en_road_node_type").alias("_src"),
-        _node("ex_road_node_id", "ex_road_node_type").alias("_dst"), "charge_miles",
-    )
-    hops = wanted.select("src", "dst", "path", F.posexplode("path").alias("pos", "_src")).filter(
-        F.col("_src").endswith("|0")
-    ).select(
-        "src", "dst", "pos", "_src", F.get("path", F.col("pos") + 1).alias("_dst"),
-        F.substring_index("_src", "|", 1).alias("toll_interval_id"),
-    )
-    parts = hops.join(units, "toll_interval_id", "left").join(length, ["_src", "_dst"], "left").groupBy("src", "dst").agg(
+    hops = wanted.select(
+        F.col("src").alias("entry"), F.col("dst").alias("exit"), "path", F.posexplode("path").alias("pos", "src")
+    ).withColumn("dst", F.get("path", F.col("pos") + 1))
+    parts = hops.join(net.filter("unit is not null"), ["src", "dst"]).groupBy("entry", "exit").agg(
         F.array_sort(F.collect_list(F.struct(
-            "pos", "toll_interval_id", F.coalesce("mfee", F.lit(0)).alias("m"), F.coalesce("efee", F.lit(0)).alias("e"),
+            "pos", "unit", F.col("weight").alias("m"), F.col("efee").alias("e"),
         ))).alias("_steps"),
-        F.sum(F.coalesce("mfee", F.lit(0))).alias("_m"), F.sum(F.coalesce("efee", F.lit(0))).alias("_e"),
-        F.sum(F.coalesce("charge_miles", F.lit(0))).alias("total_mileage"),
+        F.sum("weight").alias("_m"), F.sum("efee").alias("_e"), F.sum("charge_miles").alias("total_mileage"),
     )
+    station = lambda c: F.substring_index(c, "|", 1)
     return parts.select(
-        F.concat_ws(":", F.substring_index("src", "|", 1), F.substring_index("dst", "|", 1), F.lit(vehicle_type)).alias("path_id"),
-        F.substring_index("src", "|", 1).alias("en_station_id"), F.substring_index("dst", "|", 1).alias("ex_station_id"),
+        F.concat_ws(":", station("entry"), station("exit"), F.lit(vehicle_type)).alias("path_id"),
+        station("entry").alias("en_station_id"), station("exit").alias("ex_station_id"),
         F.lit(vehicle_type).alias("vehicle_type"),
-        _listed("toll_interval_id").alias("toll_intervals"), _listed("m").alias("chargefee_group"),
+        _listed("unit").alias("toll_intervals"), _listed("m").alias("chargefee_group"),
         _listed("e").alias("chargefee95_group"),
         half_up_hundreds(F.col("_m")).alias("total_fee"), discounted_total(F.col("_m"), F.col("_e")).alias("total_fee95"),
         F.col("total_mileage").cast("bigint").alias("total_mileage"),
@@ -206,7 +201,7 @@ def discounted_total(mtc: Column, etc: Column) -> Column:
 
 
 def _items(column: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def validate_paths(paths: DataFrame, edges: DataFrame, units: DataFrame) -> DataFrame:
