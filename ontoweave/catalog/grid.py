@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ontoweave.catalog.base import View, ctes, query, sql_haversine, sql_round
 from ontoweave.plans import grid, schemes
+from ontoweave.session import cut_lineage
 
 # --- domain objects over the given tables ------------------------------------------------
 REQUESTS = View("supplier", {
@@ -286,3 +287,219 @@ FROM q LEFT JOIN n USING (request_id)""")
 def grid_new_feeder(spark, sf):
     o = _objects(spark, sf)
     return grid.new_feeder(o["requests"], o["substations"], o["transformers"])
+
+
+# --- connection schemes ------------------------------------------------------------------
+
+SCHEME_REQUESTS = View("supplier", {
+    "request_id": "s_suppkey", "lng": "1e2 + cast(s_suppkey % 4000 as double) * 15e-3", "lat": "3e1 + cast((s_suppkey * 61) % 100 as double) * 1e-3",
+    "business_type": "case when s_nationkey = 5 then '销户' when s_nationkey < 9 then '增容' else '新装' end",
+    "supply_voltage_kv": "case when s_nationkey = 6 then 35e0 else 1e1 end", "capacity_kva": "cast(200 + (s_suppkey * 271) % 21000 as double)",
+    "user_importance_level": "case when s_acctbal < 2000 then '一级' when s_acctbal < 6000 then '二级' else '普通' end",
+    "load_level": "case when s_nationkey < 10 then '一级负荷' when s_nationkey < 18 then '二级负荷' else '三级负荷' end",
+    "requested_supply_mode": "case when s_nationkey = 20 then '双电源' when s_nationkey = 21 then '双回路' else '' end",
+    "requested_power_source_count": "case when s_nationkey = 12 then 3 else 1 end", "enable_new_line": "s_nationkey > 4",
+    "force_new_line": "s_nationkey = 7",
+})
+MODE_RULES = View("nation", {
+    "rule_id": "n_nationkey", "user_importance_level": "case when n_regionkey = 0 then '一级' when n_regionkey < 3 then '二级' else '普通' end",
+    "load_level": "case when n_nationkey % 3 = 0 then '一级负荷' when n_nationkey % 3 = 1 then '二级负荷' else '四级负荷' end",
+    "required_supply_mode": "case when n_regionkey = 0 then '双电源' when n_regionkey < 3 then '双回路' else '单电源' end",
+    "minimum_route_count": "case when n_regionkey < 3 then 2 else 0 end", "minimum_source_count": "case when n_regionkey < 2 then 2 else 0 end",
+    "independence": "case when n_regionkey = 0 then 'different_substation' when n_regionkey = 1 then 'different_busbar' else '' end",
+})
+SCHEME_FEEDERS = View("part", {
+    "feeder_id": "p_partkey", "feeder_available_kva": "cast((p_partkey * 131) % 9000 as double)",
+    "historical_max_load_rate": "cast((p_partkey * 7) % 100 as double) / 100", "current_load_rate": "cast((p_partkey * 3) % 90 as double) / 100",
+    "connected_user_count": "cast(p_size * 2 as double)", "line_loss_rate": "cast(p_partkey % 10 as double) / 100",
+    "feeder_substation_id": "cast(floor(p_partkey / 9) as bigint)", "feeder_busbar_id": "cast(floor(p_partkey / 3) as bigint)",
+    "feeder_transformer_id": "cast(floor(p_partkey / 20) as bigint)",
+})
+SCHEME_TRANSFORMERS = View("supplier", {
+    "transformer_id": "s_suppkey", "transformer_substation_id": "cast(floor(s_suppkey / 3) as bigint)",
+    "transformer_available_kva": "cast((s_suppkey * 997) % 20000 as double)", "transformer_load_rate": "cast((s_suppkey * 13) % 100 as double) / 100",
+})
+BAYS = View("supplier", {
+    "outgoing_bay_id": "s_suppkey", "substation_id": "cast(floor(s_suppkey / 2) as bigint)", "transformer_id": "s_suppkey", "is_available": "s_acctbal > 0",
+})
+CONFIGS = View("supplier", {
+    "config_id": "s_suppkey", "request_id": "case when s_nationkey = 24 then '' else cast(cast(floor(s_suppkey / 2) as bigint) as string) end",
+    "allowed_types": "case when s_nationkey < 12 then '环网柜' else '开关站,环网柜' end", "enable_new_line": "s_acctbal > 5000",
+    "preselected_type": "case when s_nationkey = 3 then '架空线' else '' end",
+})
+RULE = schemes.ScoringRule(source_count_scores={1: 60.0, 2: 85.0, 3: 95.0}, mode_scores={"双电源": 95.0, "双回路": 85.0, "单电源": 65.0})
+STRONG = "('双回路', '双电源', '多电源(3路含应急)')"
+DECISIONS = f"""mr AS (SELECT user_importance_level, load_level, arg_min(required_supply_mode, rule_id) AS rm, arg_min(minimum_route_count, rule_id) AS rr, arg_min(minimum_source_count, rule_id) AS rs, arg_min(independence, rule_id) AS ind FROM r GROUP BY ALL),
+d1 AS (SELECT q.*, coalesce(ind, '') AS ind, coalesce(rm, nullif(requested_supply_mode, ''), '单电源') AS req, rr, rs FROM q LEFT JOIN mr USING (user_importance_level, load_level)),
+d2 AS (SELECT *, coalesce(nullif(rr, 0), CASE WHEN req = '单电源' THEN 1 ELSE 2 END) AS routes FROM d1),
+d3 AS (SELECT *, coalesce(nullif(rs, 0), routes) AS sources FROM d2),
+d4 AS (SELECT *, CASE WHEN requested_power_source_count > sources THEN requested_power_source_count ELSE sources END AS fs,
+  CASE WHEN requested_supply_mode IN {STRONG} THEN requested_supply_mode ELSE req END AS mode FROM d3),
+dec AS (SELECT request_id, mode AS required_supply_mode, CAST(CASE WHEN requested_power_source_count > sources THEN greatest(routes, fs) ELSE routes END AS INTEGER) AS minimum_route_count, CAST(fs AS INTEGER) AS minimum_source_count,
+  ind = 'different_substation' OR mode = '双电源' AS required_different_substations, ind IN ('different_busbar', 'different_substation') OR mode IN ('双回路', '双电源') AS required_different_busbars FROM d4)"""
+
+
+@query("scheme_scope", ctes(q=SCHEME_REQUESTS) + """
+SELECT request_id, concat_ws(',', CASE WHEN business_type NOT IN ('新装', '增容', '临时') THEN 'business_type' END, CASE WHEN supply_voltage_kv <> 10 THEN 'voltage' END, CASE WHEN capacity_kva > 20000 THEN 'capacity' END) AS failed_reasons,
+  business_type IN ('新装', '增容', '临时') AND supply_voltage_kv = 10 AND capacity_kva <= 20000 AS is_in_scope FROM q""")
+def scheme_scope(spark, sf):
+    return schemes.validate_scope(SCHEME_REQUESTS.df(spark, sf)).select("request_id", "failed_reasons", "is_in_scope")
+
+
+@query("scheme_reasoning_config", ctes(q=SCHEME_REQUESTS, c=CONFIGS) + """,
+own AS (SELECT * FROM c WHERE request_id <> '' QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY config_id DESC) = 1),
+dft AS (SELECT * FROM c WHERE request_id = '' ORDER BY config_id DESC LIMIT 1),
+j AS (SELECT q.request_id, coalesce(own.allowed_types, dft.allowed_types) AS a, coalesce(own.enable_new_line, dft.enable_new_line) AS e, coalesce(own.preselected_type, dft.preselected_type) AS p
+  FROM q LEFT JOIN own ON own.request_id = CAST(q.request_id AS VARCHAR) LEFT JOIN dft ON true)
+SELECT CAST(request_id AS VARCHAR) AS request_id, CASE WHEN coalesce(p, '') <> '' THEN p ELSE coalesce(a, '') END AS allowed_source_device_types, coalesce(e, false) AS enable_new_line FROM j""")
+def scheme_reasoning_config(spark, sf):
+    requests = SCHEME_REQUESTS.df(spark, sf).select(F.col("request_id").cast("string").alias("request_id"))
+    return schemes.reasoning_config(requests, CONFIGS.df(spark, sf))
+
+
+@query("scheme_supply_mode", ctes(q=SCHEME_REQUESTS, r=MODE_RULES) + f", {DECISIONS} SELECT * FROM dec")
+def scheme_supply_mode(spark, sf):
+    return schemes.decide_supply_mode(SCHEME_REQUESTS.df(spark, sf), MODE_RULES.df(spark, sf))
+
+
+# Checked points of a request: every available point within 2 km, sized for one route.
+CHECKED = f"""cap AS (SELECT q.request_id, {sql_round('capacity_kva / 8 / coalesce(nullif(minimum_route_count, 0), 1)', 2)} AS need FROM q JOIN dec USING (request_id)),
+near AS (SELECT rid AS request_id, pid AS access_point_id, {sql_round('d', 1)} AS distance_m FROM (SELECT q.request_id AS rid, p.point_id AS pid, {sql_haversine('q.lng', 'q.lat', 'p.lng', 'p.lat', EARTH)} AS d
+  FROM q JOIN p ON abs(q.lat - p.lat) < 0.05 AND abs(q.lng - p.lng) < 0.05 WHERE is_available) WHERE d <= 2000),
+ch AS (SELECT n.request_id, n.access_point_id, n.distance_m, p.feeder_id, f.feeder_substation_id AS substation_id, f.feeder_busbar_id AS busbar_id, f.feeder_transformer_id AS transformer_id, cap.need AS single_route_capacity_kva,
+  coalesce(feeder_available_kva, 0) >= need AS c1, coalesce(historical_max_load_rate, 0) <= 0.8 AND coalesce(current_load_rate, 0) <= 0.8 AS c2, spare_intervals >= 2 AS c3, coalesce(connected_user_count, 0) <= 50 AS c4,
+  coalesce(line_loss_rate, 0) <= 0.07 AS c5, coalesce(transformer_available_kva, 0) >= need AS c6, coalesce(transformer_load_rate, 0) <= 0.8 AS c7
+  FROM near n JOIN cap USING (request_id) JOIN p ON p.point_id = n.access_point_id JOIN f USING (feeder_id) LEFT JOIN t ON t.transformer_id = f.feeder_transformer_id),
+checks AS (SELECT *, c1 AND c2 AND c3 AND c4 AND c5 AND c6 AND c7 AS usable, NOT (c1 AND c2 AND c6 AND c7) AS moves FROM ch)"""
+SCHEME_CTES = ctes(q=SCHEME_REQUESTS, r=MODE_RULES, p=POINTS, f=SCHEME_FEEDERS, t=SCHEME_TRANSFORMERS, w=SWITCHES) + f", {DECISIONS}, {CHECKED}"
+
+
+def _scheme_state(spark, sf):
+    requests = SCHEME_REQUESTS.df(spark, sf)
+    feeders, transformers = SCHEME_FEEDERS.df(spark, sf), SCHEME_TRANSFORMERS.df(spark, sf)
+    decisions = cut_lineage(schemes.decide_supply_mode(requests, MODE_RULES.df(spark, sf)))
+    sized = schemes.single_route_capacity(requests.withColumn("capacity_kva", F.col("capacity_kva") / 8), decisions)
+    points = POINTS.df(spark, sf).filter("is_available")
+    near = grid.access_points_in_range(requests.select("request_id", "lng", "lat"), points, 2000.0)
+    home = feeders.select(
+        "feeder_id", F.col("feeder_substation_id").alias("substation_id"), F.col("feeder_busbar_id").alias("busbar_id"),
+        F.col("feeder_transformer_id").alias("transformer_id"),
+    )
+    candidates = near.join(sized, "request_id").join(home, "feeder_id").select(
+        "request_id", F.col("point_id").alias("access_point_id"), "distance_m", "feeder_id", "substation_id", "busbar_id", "transformer_id",
+        "single_route_capacity_kva", F.col("spare_intervals").cast("double").alias("available_bay_count"),
+    )
+    checks = schemes.check_capacity(
+        candidates, feeders.drop("feeder_substation_id", "feeder_busbar_id", "feeder_transformer_id"), transformers.drop("transformer_substation_id")
+    )
+    # Check records are a stored object of the domain: later steps read them, they do not repeat the search.
+    return requests, decisions, sized, cut_lineage(checks), feeders, transformers
+
+
+@query("scheme_check_capacity", SCHEME_CTES + """
+SELECT request_id, access_point_id, single_route_capacity_kva, usable AS is_directly_usable, moves AS requires_load_transfer, concat_ws(',', CASE WHEN NOT c1 THEN 'feeder_available_capacity_ok' END,
+  CASE WHEN NOT c2 THEN 'feeder_load_rate_ok' END, CASE WHEN NOT c3 THEN 'spare_bay_ok' END, CASE WHEN NOT c4 THEN 'connected_user_count_ok' END, CASE WHEN NOT c5 THEN 'line_loss_rate_ok' END,
+  CASE WHEN NOT c6 THEN 'transformer_available_capacity_ok' END, CASE WHEN NOT c7 THEN 'transformer_load_rate_ok' END) AS failed_constraints FROM checks""")
+def scheme_check_capacity(spark, sf):
+    checks = _scheme_state(spark, sf)[3]
+    return checks.select(
+        "request_id", "access_point_id", "single_route_capacity_kva", "is_directly_usable", "requires_load_transfer", "failed_constraints"
+    )
+
+
+TRANSFERS = f"""over AS (SELECT DISTINCT request_id, feeder_id AS source, single_route_capacity_kva AS need FROM checks WHERE moves),
+tie AS (SELECT source_feeder_id AS source, target_feeder_id AS target, switch_id FROM w UNION ALL SELECT target_feeder_id, source_feeder_id, switch_id FROM w),
+mv AS (SELECT request_id, o.source, tie.target, switch_id, least(0.99::DOUBLE, current_load_rate + need / 50000) AS post FROM over o JOIN tie USING (source) JOIN f ON f.feeder_id = tie.target WHERE feeder_available_kva >= need)"""
+
+
+def _feeder_moves(checks, feeders, spark, sf):
+    over = checks.filter("requires_load_transfer").select("request_id", F.col("feeder_id").alias("source"), "single_route_capacity_kva").distinct()
+    ties = grid.ties(SWITCHES.df(spark, sf), "source_feeder_id", "target_feeder_id")
+    return cut_lineage(schemes.feeder_transfer_plans(over, ties, feeders))
+
+
+@query("scheme_feeder_transfers", SCHEME_CTES + f", {TRANSFERS} SELECT request_id, source, target, switch_id, {sql_round('post', 3)} AS post_transfer_load_rate, post <= 0.8 AS is_feasible FROM mv")
+def scheme_feeder_transfers(spark, sf):
+    _, _, _, checks, feeders, _ = _scheme_state(spark, sf)
+    return _feeder_moves(checks, feeders, spark, sf)
+
+
+@query("scheme_transformer_transfers", SCHEME_CTES + f""",
+over AS (SELECT DISTINCT request_id, transformer_id AS source, single_route_capacity_kva AS need FROM checks WHERE NOT c6 OR NOT c7),
+mv AS (SELECT request_id, a.transformer_id AS source, b.transformer_id AS target, b.transformer_available_kva >= need AS fits, least(0.99::DOUBLE, b.transformer_load_rate + need / 50000) AS post
+  FROM over o JOIN t a ON a.transformer_id = o.source JOIN t b ON b.transformer_substation_id = a.transformer_substation_id AND a.transformer_id <> b.transformer_id)
+SELECT request_id, source, target, {sql_round('post', 3)} AS post_transfer_load_rate, fits AND post <= 0.8 AS is_feasible FROM mv""")
+def scheme_transformer_transfers(spark, sf):
+    _, _, _, checks, _, transformers = _scheme_state(spark, sf)
+    over = checks.filter("not transformer_available_capacity_ok or not transformer_load_rate_ok").select(
+        "request_id", F.col("transformer_id").alias("source"), "single_route_capacity_kva"
+    ).distinct()
+    return schemes.transformer_transfer_plans(over, transformers.withColumnRenamed("transformer_substation_id", "substation_id"))
+
+
+NEW_LINES = f"""ru AS (SELECT request_id, bool_or(usable) AS u FROM checks GROUP BY 1), rm2 AS (SELECT request_id, bool_or(post <= 0.8) AS m FROM mv GROUP BY 1),
+tr AS (SELECT q.*, cap.need, concat_ws(',', CASE WHEN cap.need >= 1500 THEN 'capacity' END, CASE WHEN u = false THEN 'no_usable_point' END, CASE WHEN m = false THEN 'no_feasible_transfer' END, CASE WHEN force_new_line THEN 'forced' END) AS reasons
+  FROM q JOIN cap USING (request_id) LEFT JOIN ru USING (request_id) LEFT JOIN rm2 USING (request_id)),
+ns AS (SELECT tr.request_id, need, substation_id, {sql_haversine('tr.lng', 'tr.lat', 'b.lng', 'b.lat', EARTH)} AS d FROM tr JOIN b ON abs(tr.lng - b.lng) < 0.5 WHERE enable_new_line AND reasons <> ''),
+pick AS (SELECT ns.request_id, min({{'d': {sql_round('d', 1)}, 's': y.substation_id, 'b': outgoing_bay_id, 't': y.transformer_id}}) AS k FROM ns JOIN y ON y.substation_id = ns.substation_id AND y.is_available
+  JOIN t ON t.transformer_id = y.transformer_id AND transformer_load_rate <= 0.8 WHERE d <= 15000 AND transformer_available_kva >= need GROUP BY 1),
+nl AS (SELECT tr.request_id, enable_new_line AND reasons <> '' AS is_triggered, reasons AS trigger_reasons, k.s AS selected_substation_id, k.t AS selected_transformer_id, k.b AS selected_outgoing_bay_id, k IS NOT NULL AS is_feasible FROM tr LEFT JOIN pick USING (request_id))"""
+LINE_CTES = ctes(q=SCHEME_REQUESTS, r=MODE_RULES, p=POINTS, f=SCHEME_FEEDERS, t=SCHEME_TRANSFORMERS, w=SWITCHES, b=SUBSTATIONS, y=BAYS) + f", {DECISIONS}, {CHECKED}, {TRANSFERS}, {NEW_LINES}"
+
+
+def _new_lines(spark, sf, state):
+    requests, _, sized, checks, feeders, transformers = state
+    moves = _feeder_moves(checks, feeders, spark, sf)
+    lines = schemes.decide_new_line(
+        requests.join(sized, "request_id"), checks, moves, SUBSTATIONS.df(spark, sf), BAYS.df(spark, sf), transformers, threshold_kva=1500.0
+    )
+    return moves, lines
+
+
+@query("scheme_new_line", LINE_CTES + " SELECT * FROM nl")
+def scheme_new_line(spark, sf):
+    return _new_lines(spark, sf, _scheme_state(spark, sf))[1]
+
+
+def _combos_sql(k: int) -> str:
+    """All k-combinations of usable points, nothing pruned."""
+    names = [f"a{i}" for i in range(k)]
+    joins = "uk a0" + "".join(f" JOIN uk a{i} ON a{i}.request_id = a0.request_id AND a{i}.n > a{i - 1}.n" for i in range(1, k))
+    apart = [f"{x}.site <> {y}.site" for i, x in enumerate(names) for y in names[i + 1:]]
+    ids = " || ',' || ".join(f"a{i}.access_point_id" for i in range(k))
+    dist = "0::DOUBLE + " + " + ".join(f"a{i}.distance_m" for i in range(k))
+    order = "[" + ", ".join(f"a{i}.n" for i in range(k)) + "]"
+    return f"""SELECT a0.request_id, 'existing_access_point' AS scheme_source_type, a0.required_supply_mode AS operation_mode, CAST({ids} AS VARCHAR) AS point_ids, {k} AS route_count, {dist} AS dist, {order} AS o
+FROM {joins} WHERE a0.minimum_route_count = {k}""" + "".join(f" AND {c}" for c in apart)
+
+
+RANKED = f"""res AS (SELECT DISTINCT request_id, source FROM mv WHERE post <= 0.8),
+us AS (SELECT * FROM checks WHERE usable OR (moves AND ((request_id, feeder_id) IN (SELECT request_id, source FROM res) OR (request_id, transformer_id) IN (SELECT request_id, source FROM res)))),
+uk AS (SELECT us.request_id, access_point_id, distance_m, minimum_route_count, required_supply_mode, CASE WHEN required_different_substations THEN 's' || substation_id WHEN required_different_busbars THEN 'b' || substation_id || '/' || busbar_id ELSE 'p' || access_point_id END AS site,
+  row_number() OVER (PARTITION BY us.request_id ORDER BY distance_m, access_point_id) AS n FROM us JOIN dec USING (request_id)),
+allc AS ({_combos_sql(1)} UNION ALL {_combos_sql(2)} UNION ALL {_combos_sql(3)}
+UNION ALL SELECT nl.request_id, 'new_substation_outgoing_line', '新出线', '', coalesce(minimum_route_count, 1), 0, NULL FROM nl LEFT JOIN dec USING (request_id) WHERE is_triggered AND is_feasible),
+sc AS (SELECT *, greatest(0::DOUBLE, 100 - dist / 20) AS ds, CASE WHEN scheme_source_type = 'existing_access_point' THEN 70::DOUBLE ELSE 80::DOUBLE END AS cs,
+  (CASE route_count WHEN 1 THEN 60 WHEN 2 THEN 85 WHEN 3 THEN 95 ELSE 60 END + CASE operation_mode WHEN '双电源' THEN 95 WHEN '双回路' THEN 85 WHEN '单电源' THEN 65 ELSE 75 END)::DOUBLE / 2 AS rs FROM allc),
+sd AS (SELECT *, {sql_round('ds * 0.35::DOUBLE + cs * 0.35::DOUBLE + rs * 0.3::DOUBLE', 2)} AS total FROM sc),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY total DESC, o NULLS LAST) AS INTEGER) AS rank FROM sd)"""
+
+
+@query("scheme_ranked", LINE_CTES + f", {RANKED}" + f"""
+SELECT request_id, scheme_source_type, operation_mode, point_ids, CAST(route_count AS INTEGER) AS route_count, dist AS total_supply_distance_m, {sql_round('ds', 2)} AS distance_score, {sql_round('rs', 2)} AS reliability_score, total AS total_score, cs AS available_capacity_score, rank FROM ranked WHERE rank <= 3""")
+def scheme_ranked(spark, sf):
+    state = _scheme_state(spark, sf)
+    moves, lines = _new_lines(spark, sf, state)
+    return schemes.rank_schemes(schemes.usable_points(state[3], moves), state[1], lines, RULE)
+
+
+@query("scheme_no_solution", LINE_CTES + f", {RANKED}" + """,
+lost AS (SELECT request_id FROM q WHERE request_id NOT IN (SELECT request_id FROM ranked)),
+x AS (SELECT lost.request_id, unnest(CASE WHEN ch.request_id IS NULL THEN [NULL] ELSE list_filter([CASE WHEN NOT c1 THEN 'feeder_available_capacity_ok' END, CASE WHEN NOT c2 THEN 'feeder_load_rate_ok' END, CASE WHEN NOT c3 THEN 'spare_bay_ok' END, CASE WHEN NOT c4 THEN 'connected_user_count_ok' END,
+  CASE WHEN NOT c5 THEN 'line_loss_rate_ok' END, CASE WHEN NOT c6 THEN 'transformer_available_capacity_ok' END, CASE WHEN NOT c7 THEN 'transformer_load_rate_ok' END], lambda z: z IS NOT NULL) END) AS c FROM lost LEFT JOIN (SELECT * FROM ch WHERE NOT (c1 AND c2 AND c3 AND c4 AND c5 AND c6 AND c7)) ch USING (request_id))
+SELECT request_id, coalesce(c, '未形成满足全部约束的候选接入方案') AS failed_constraint, count(c) AS failures FROM x GROUP BY ALL""")
+def scheme_no_solution(spark, sf):
+    state = _scheme_state(spark, sf)
+    moves, lines = _new_lines(spark, sf, state)
+    ranked = schemes.rank_schemes(schemes.usable_points(state[3], moves), state[1], lines, RULE)
+    return schemes.no_scheme_conclusions(state[0], ranked, state[3])

@@ -319,9 +319,11 @@ def rank_schemes(
 def no_scheme_conclusions(requests: DataFrame, ranked: DataFrame, checks: DataFrame) -> DataFrame:
     """Requests without any scheme and how often each constraint failed for them."""
     lost = requests.select("request_id").join(ranked.select("request_id"), "request_id", "left_anti")
+    failed = checks.filter("failed_constraints <> ''").select(
+        "request_id", F.explode(F.split("failed_constraints", ",")).alias("failed_constraint")
+    )
     return (
-        lost.join(checks.select("request_id", "failed_constraints"), "request_id", "left")
-        .select("request_id", F.explode_outer(F.split(F.nullif("failed_constraints", F.lit("")), ",")).alias("failed_constraint"))
+        lost.join(failed, "request_id", "left")
         .groupBy("request_id", "failed_constraint").agg(F.count("failed_constraint").alias("failures"))
         .withColumn("failed_constraint", F.coalesce("failed_constraint", F.lit("未形成满足全部约束的候选接入方案")))
     )
