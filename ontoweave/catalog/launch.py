@@ -86,6 +86,5 @@ def launch_reservations(spark, sf):
 SELECT mission_id, 'SI' || substr(sha1(mission_id || '|人工'), 1, 8) AS event_id, '人工' AS trigger_type, '触发' AS status,
   CASE WHEN contains(action_type, '泄放') OR contains(action_type, '停充') THEN '泵浦分系统' ELSE '同步分系统' END AS target_subsystem FROM m""")
 def launch_interlock_and_emergency(spark, sf):
-    missions = MISSIONS.df(spark, sf)
-    target = missions.select("mission_id", launch.emergency_target(F.col("action_type")).alias("target_subsystem"))
-    return launch.interlock_events(missions, "人工").join(target, "mission_id")
+    missions = MISSIONS.df(spark, sf).select("mission_id", launch.emergency_target(F.col("action_type")).alias("target_subsystem"))
+    return launch.interlock_events(missions, "人工")

@@ -129,8 +129,8 @@ def emergency_target(action: Column) -> Column:
 
 
 def interlock_events(missions: DataFrame, trigger_type: str) -> DataFrame:
-    """Events that trip the interlock of the given missions."""
-    return missions.select(
-        F.concat(F.lit("SI"), stable_id(F.concat_ws("|", "mission_id", F.lit(trigger_type)), 8)).alias("event_id"),
-        "mission_id", F.lit(trigger_type).alias("trigger_type"), F.lit(INTERLOCK_TRIPPED).alias("status"),
-    )
+    """Events that trip the interlock of the given missions; other mission columns are kept."""
+    return missions.withColumns({
+        "event_id": F.concat(F.lit("SI"), stable_id(F.concat_ws("|", "mission_id", F.lit(trigger_type)), 8)),
+        "trigger_type": F.lit(trigger_type), "status": F.lit(INTERLOCK_TRIPPED),
+    })
