@@ -27,14 +27,12 @@ def _sum(cols: list[Column]) -> Column:
 
 def _term_counts(df: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     """Lower-cased token counts of the query terms and the document length."""
+    def count_of(term: str) -> Column:
+        return F.size(F.filter("_tokens", lambda t: t == term.lower()))
+
     staged = df.withColumn("_tokens", tx.word_array(F.lower(text)))
-    return staged.withColumns({
-        "_dl": F.size("_tokens"),
-        **{
-            f"_tf_{i}": F.size(F.filter("_tokens", lambda t, q=term.lower(): t == q))
-            for i, term in enumerate(terms)
-        },
-    }).drop("_tokens")
+    counts = {f"_tf_{i}": count_of(term) for i, term in enumerate(terms)}
+    return staged.withColumns({"_dl": F.size("_tokens"), **counts}).drop("_tokens")
 
 
 def bm25(df: DataFrame, text: str, terms: list[str], name: str = "bm25") -> DataFrame:
@@ -215,7 +213,8 @@ def vector_search(
     ``query`` is a vector literal or a scalar subquery; each task keeps its own
     best rows before anything is exchanged.
     """
-    scored = vectors.withColumn("similarity", dot(F.col(vector), query)).filter(F.col("similarity") >= min_similarity)
+    scored = vectors.withColumn("_query", query).withColumn("similarity", dot(F.col(vector), F.col("_query"))).drop("_query")
+    scored = scored.filter(F.col("similarity") >= min_similarity)
     return scored.orderBy(F.col("similarity").desc(), F.col(tiebreak)).limit(limit)
 
 

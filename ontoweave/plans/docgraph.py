@@ -249,7 +249,7 @@ def soft_term_relations(
     scored = (
         pairs.join(as_map.select(F.col("sig").alias("source_sig"), F.col("m").alias("_x")), "source_sig")
         .join(as_map.select(F.col("sig").alias("target_sig"), F.col("m").alias("_y")), "target_sig")
-        .select("source_sig", "target_sig", overlap.alias("overlap_score"))
+        .select("source_sig", "target_sig", F.round(overlap, 9).alias("overlap_score"))
         .filter(F.col("overlap_score") >= threshold)
     )
     shortlist = top_per_group(
