@@ -130,9 +130,28 @@ def relation_context(spark, sf):
     return docgraph.expand_context(relations(spark, sf), focus)
 
 
-@query("relation_groups")
+GROUPS = f"""rel AS ({_dedupe_sql('SELECT * FROM shared UNION ALL SELECT * FROM series')}),
+bi AS (SELECT source_document_id AS a, target_document_id AS b FROM rel UNION SELECT target_document_id, source_document_id FROM rel),
+r AS (SELECT DISTINCT a AS node, a AS reach FROM bi UNION SELECT r.node, bi.b FROM r JOIN bi ON bi.a = r.reach),
+cp AS (SELECT node, min(reach) AS component FROM r GROUP BY 1),
+rc AS (SELECT rel.*, component FROM rel JOIN cp ON node = source_document_id),
+en AS (SELECT component, source_document_id AS d FROM rc UNION ALL SELECT component, target_document_id FROM rc),
+cn AS (SELECT component, d, count(*) AS n FROM en GROUP BY ALL),
+ti AS (SELECT cn.*, c.title, coalesce(nullif({TITLE_KEY}, ''), CAST(d AS VARCHAR)) AS k FROM cn JOIN c ON c.document_id = d),
+de AS (SELECT * FROM ti QUALIFY row_number() OVER (PARTITION BY component, k ORDER BY n DESC, title, d) = 1),
+tp AS (SELECT component, d FROM de QUALIFY row_number() OVER (PARTITION BY component ORDER BY n DESC, title, d) <= 8),
+ins AS (SELECT rc.* FROM rc JOIN tp a ON a.component = rc.component AND a.d = source_document_id JOIN tp b ON b.component = rc.component AND b.d = target_document_id),
+gs AS (SELECT component, count(*) AS n, sum(confidence * {_map_sql('relation_type', docgraph.TYPE_WEIGHTS, 0.7)}::DOUBLE) AS e, count(*) FILTER (relation_type NOT IN ('same_matter', 'shared_reference', 'topically_related', 'semantically_related')) AS hard,
+  count(DISTINCT relation_type) AS types, string_agg(DISTINCT relation_type, ',' ORDER BY relation_type) AS relation_types FROM ins GROUP BY 1),
+mb AS (SELECT component, count(*) AS m FROM tp GROUP BY 1)
+SELECT component, {sql_round('CAST(CAST(e AS DECIMAL(20,6)) AS DOUBLE) + hard * 0.25::DOUBLE + m * 0.12::DOUBLE + types * 0.35::DOUBLE', 3)} AS score, m AS document_count, n AS relation_count, relation_types FROM gs JOIN mb USING (component) WHERE n >= 2 AND m >= 2"""
+
+
+@query("relation_groups", HEAD.replace("WITH", "WITH RECURSIVE", 1) + f", {SHARED}, {SERIES}, {GROUPS}")
 def relation_groups(spark, sf):
-    return docgraph.relation_groups(relations(spark, sf), citing(spark, sf).select("document_id", "title"))
+    docs = citing(spark, sf)
+    found = docgraph.dedupe_relations(docgraph.shared_references(quotes_of(docs)).unionByName(docgraph.series_relations(docs)))
+    return docgraph.relation_groups(found, docs.select("document_id", "title"))
 
 
 SOFT = f""", {TERMS},
@@ -158,7 +177,7 @@ MEANS = "mean AS (SELECT label, list(v ORDER BY i) AS q FROM (SELECT label, i, a
 
 
 @query("relation_semantic", f"""WITH {MEANS},
-f AS (SELECT -1 - label AS id, list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))) AS q FROM mean),
+f AS (SELECT CAST(-1 - label AS BIGINT) AS id, list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))) AS q FROM mean),
 e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
 s AS (SELECT id, vec_id, list_dot_product(q, v) AS s FROM f, e WHERE list_dot_product(q, v) >= 0.1)
 SELECT id AS source_document_id, vec_id AS target_document_id, 'semantically_related' AS relation_type, round(least(0.82, s), 6) AS confidence, 'embedding' AS method FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, vec_id DESC) <= 3""")
@@ -196,8 +215,8 @@ def graph_degrees(spark, sf):
 
 
 @query("graph_components", "WITH RECURSIVE e AS (" + CITES.sql() + """), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-both AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, both.b FROM r JOIN both ON both.a = r.reach)
+bi AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, bi.b FROM r JOIN bi ON bi.a = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf):
     return graph.connected_components(CITES.df(spark, sf))

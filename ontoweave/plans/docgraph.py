@@ -10,6 +10,7 @@ from ontoweave.functions.numeric import with_rounded
 from ontoweave.operators.graph import connected_components
 from ontoweave.operators.grouping import strongest
 from ontoweave.operators.ordering import top_per_group
+from ontoweave.session import cut_lineage
 
 # --- fixed values of the domain ---------------------------------------------------------
 ROLE_PATTERNS = [
@@ -347,6 +348,8 @@ def relation_groups(
     ``docs``: document_id, title. Documents with equal titles count once. All
     steps are joins and mergeable aggregates on group or document keys.
     """
+    # Relations are a stored object: the components and the groups read the same copy.
+    relations = cut_lineage(relations)
     components = connected_components(
         relations.select(F.col("source_document_id").alias("src"), F.col("target_document_id").alias("dst"))
     )
