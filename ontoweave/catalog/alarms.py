@@ -26,7 +26,7 @@ FIELDS = {
     "etype": _case("user_id", ["保护", "告警", "操作"]), "s1": _case(PICK, PHRASES), "s2": _case(f"({PICK} + 3)", PHRASES),
     "nature": "case when value > 50 then '异常' else '正常' end", "level": "cast(1 + event_id % 5 as int)",
 }
-BASE = View("events", FIELDS)
+BASE = View("events", FIELDS, heavy=True)
 
 
 def _strict_text(n: int, summary: str) -> str:

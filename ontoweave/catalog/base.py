@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ontoweave.sources.files import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,9 +35,12 @@ class View:
     source: str
     columns: dict[str, str]
     where: str = ""
+    heavy: bool = False
 
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
         rows = table(spark, sf, self.source)
+        if self.heavy:
+            rows = spread(rows)
         if self.where:
             rows = rows.where(self.where)
         return rows.selectExpr(*[f"{e} as {c}" for c, e in self.columns.items()])

@@ -12,7 +12,7 @@ from ontoweave.plans import documents
 DOCS = View("documents", {
     "document_id": "doc_id", "title": "substring(split_part(text, chr(10), 1), 1, 60)", "category": "lang", "agency": "source",
     "text": "text", "char_count": "n_chars", "path": "concat(lang, '/', source, '/', cast(doc_id as string), '.md')",
-})
+}, heavy=True)
 # Lines of every document as its chunks.
 CHUNKS_SQL = """SELECT document_id, CAST(i AS INTEGER) AS ordinal, document_id || '#' || i AS chunk_id, title, path, category, '' AS heading, list_extract(ls, i) AS content
 FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d))"""
@@ -249,7 +249,7 @@ def doc_plain_chunks(spark, sf):
 DATED = View("documents", {
     "document_id": "doc_id", "text": "text", "char_count": "n_chars",
     "title": "concat('关于', lang, '的通知 ', cast(2010 + doc_id % 15 as string), '年', cast(1 + doc_id % 14 as string), '月', cast(1 + doc_id % 33 as string), '日 国办发〔', cast(2012 + doc_id % 9 as string), '〕', cast(1 + doc_id % 500 as string), '号')",
-})
+}, heavy=True)
 
 
 @query("doc_metadata")

@@ -135,9 +135,10 @@ def grid_supplementary_sources(spark, sf):
 
 
 def _candidates(o):
-    return grid.access_points_in_range(o["requests"].select("request_id", "lng", "lat"), o["points"], 2000.0).select(
+    # Found points are stored with the request; the three compositions read them from there.
+    return cut_lineage(grid.access_points_in_range(o["requests"].select("request_id", "lng", "lat"), o["points"], 2000.0).select(
         "request_id", "point_id", "feeder_id", "distance_m"
-    )
+    ))
 
 
 SINGLE = """single AS (SELECT request_id, point_id, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance_m, point_id) AS k FROM (

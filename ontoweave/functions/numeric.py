@@ -69,6 +69,15 @@ def with_rounded(df: DataFrame, digits: int, **exprs: Column) -> DataFrame:
     return out.drop(*raw)
 
 
+def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add costly columns that later filters must not evaluate again.
+
+    A filter on a plain computed column is pushed below it and repeats the whole
+    expression. Columns that come out of a generator stay where they are.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def half_up_hundreds(col: Column) -> Column:
     return (F.floor(col / 100 + 0.5) * 100).cast("bigint")
 

@@ -148,38 +148,37 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6, every: int = 4
+    edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6, test_every: int = 4
 ) -> DataFrame:
     """Weighted PageRank over directed edges (src, dst, weight); ranks sum to 1.
 
     Rank of nodes without outgoing edges is spread evenly. Stops when the total
-    change falls below ``tolerance`` per node, tested every few rounds.
+    change falls below ``tolerance`` per node, tested every few rounds. One
+    checkpoint per round: a round reads the last ranks three times, so
+    unrolled rounds would multiply.
     """
-    arcs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    arcs = cut_lineage(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     out = arcs.groupBy("src").agg(F.sum("weight").alias("_total"))
     shares = cut_lineage(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_total")).alias("share")))
-    nodes = shares.select(F.col("src").alias("node")).unionByName(shares.select(F.col("dst").alias("node"))).distinct()
-    sinks = nodes.join(shares.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    flagged = nodes.join(sinks.withColumn("_sink", F.lit(True)), "node", "left").select(
-        "node", F.coalesce("_sink", F.lit(False)).alias("sink")
-    )
-    total = flagged.count()
-    ranks = cut_lineage(flagged.withColumn("rank", F.lit(1.0 / total)))
+    sources = out.select(F.col("src").alias("node"), F.lit(False).alias("_sink"))
+    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    flagged = cut_lineage(nodes.join(sources, "node", "left").select("node", F.coalesce("_sink", F.lit(True)).alias("sink")))
+    total, has_sinks = flagged.count(), not flagged.filter("sink").isEmpty()
+    ranks = flagged.withColumn("rank", F.lit(1.0 / total))
     for i in range(iterations):
         flow = (
             shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
             .groupBy(F.col("dst").alias("node"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
         )
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).scalar()
-        base = F.lit((1 - damping) / total) + F.lit(damping) * lost / total
-        fresh = ranks.join(flow, "node", "left").select(
-            "node", "sink", (base + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("rank"),
-            F.col("rank").alias("_old"),
-        )
-        last = i + 1 == iterations
-        if last or (i + 1) % every == 0:
-            fresh = cut_lineage(fresh)
+        base = F.lit((1 - damping) / total)
+        if has_sinks:
+            lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).scalar()
+            base = base + F.lit(damping) * lost / total
+        fresh = cut_lineage(ranks.join(flow, "node", "left").select(
+            "node", "sink", (base + F.lit(damping) * F.coalesce("_in", F.lit(0.0))).alias("rank"), F.col("rank").alias("_old"),
+        ))
+        if (i + 1) % test_every == 0 and i + 1 < iterations:
             change = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
             if change < tolerance * total:
                 return fresh.select("node", "rank")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions import text as tx
+from ontoweave.functions.numeric import computed_once
 from ontoweave.operators.ordering import top_per_group
 
 K1, B = 1.2, 0.75
@@ -26,13 +27,25 @@ def _sum(cols: list[Column]) -> Column:
 
 
 def _term_counts(df: DataFrame, text: Column, terms: list[str]) -> DataFrame:
-    """Lower-cased token counts of the query terms and the document length."""
+    """Counts of the query terms as whole words, ignoring case, and the word count of each text.
+
+    Words are brought to single blanks once; counting is then plain text
+    replacement, which stays in generated code. Blanks are doubled so that
+    neighbouring words do not share one.
+    """
+    staged = df.withColumn("_words", F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), tx.NON_WORD, " ")))
+    blanks = F.length("_words") - F.length(F.replace("_words", F.lit(" "), F.lit("")))
+    padded = staged.withColumns({
+        "_dl": F.when(F.col("_words") == "", 0).otherwise(blanks + 1),
+        "_padded": F.concat(F.lit(" "), F.replace("_words", F.lit(" "), F.lit("  ")), F.lit(" ")),
+    })
+
     def count_of(term: str) -> Column:
-        return F.size(F.filter("_tokens", lambda t: t == term.lower()))
+        gone = F.replace("_padded", F.lit(f" {term.lower()} "), F.lit(""))
+        return ((F.length("_padded") - F.length(gone)) / (len(term) + 2)).cast("int")
 
-    staged = df.withColumn("_tokens", tx.word_array(F.lower(text)))
-    counts = {f"_tf_{i}": count_of(term) for i, term in enumerate(terms)}
-    return staged.withColumns({"_dl": F.size("_tokens"), **counts}).drop("_tokens")
+    counted = computed_once(padded.drop("_words"), **{f"_tf_{i}": count_of(t) for i, t in enumerate(terms)})
+    return counted.drop("_padded")
 
 
 def bm25(df: DataFrame, text: str, terms: list[str], name: str = "bm25") -> DataFrame:
@@ -79,8 +92,8 @@ def evidence_search(
     if prefer_primary:
         score = score + F.when(F.col("doc_role") == primary_role, primary_boost).otherwise(0.0)
     score = score + F.when(F.col("evidence_role").isin("handling_rule", "severe_signal", "abnormal_signal"), high_value_boost).otherwise(0.0)
-    staged = chunks.filter(any_hit).withColumn("is_toc", is_toc(F.col("heading"), F.col("content")))
-    scored = staged.withColumn("score", score - F.when(F.col("is_toc"), toc_penalty).otherwise(0.0))
+    staged = computed_once(chunks.filter(any_hit), is_toc=is_toc(F.col("heading"), F.col("content")), _score=score)
+    scored = staged.withColumn("score", F.col("_score") - F.when(F.col("is_toc"), toc_penalty).otherwise(0.0)).drop("_score")
     return scored.filter("score > 0").orderBy(F.col("score").desc(), F.col("chunk_id")).limit(limit)
 
 
@@ -119,10 +132,10 @@ def recall(chunks: DataFrame, query: str, tokens: list[str], anchors: list[str])
     """
     hay = F.concat_ws(" ", "title", "path", "category", "heading", "content")
     ranked = bm25(chunks.withColumn("_hay", hay), "_hay", tokens[:8], "_bm25")
-    flags = ranked.withColumns({
-        "_matched": _sum([F.when(F.col("_hay").contains(t), 1.0).otherwise(0.0) for t in tokens]),
-        "_exact": F.col("_hay").contains(query),
-    })
+    flags = computed_once(
+        ranked, _matched=_sum([F.when(F.col("_hay").contains(t), 1.0).otherwise(0.0) for t in tokens]),
+        _exact=F.col("_hay").contains(query),
+    )
     bonus = F.col("_matched") * 3 + F.when(F.col("_exact"), 20.0).otherwise(0.0)
     full = F.when(F.col("_bm25") > 0, 12.0 + F.greatest(F.lit(0.0), 8.0 - F.col("_bm25")) + bonus).otherwise(0.0)
     in_title = [F.when(F.col("title").contains(t) | F.col("path").contains(t), 8.0 + bonus).otherwise(0.0) for t in [query, *tokens][:8]]
@@ -163,7 +176,7 @@ def rerank(hits: DataFrame, profile: list[tuple[str, str, float]], recall_order:
             chain = (F.when if chain is None else chain.when)(F.coalesce(F.col(column), F.lit("")).contains(term), weight)
         return chain.otherwise(0.0)
 
-    staged = hits.withColumns({f"_w_{i}": place(t) for i, (t, _, _) in enumerate(terms)})
+    staged = computed_once(hits, **{f"_w_{i}": place(t) for i, (t, _, _) in enumerate(terms)})
     weight = [max(score, 1.0) ** 0.5 * tx.KIND_MATCH.get(kind, 1.0) for _, kind, score in terms]
     found = [F.col(f"_w_{i}") > 0 for i in range(len(terms))]
     importance = _sum([F.when(f, w).otherwise(0.0) for f, w in zip(found, weight)])
@@ -213,7 +226,7 @@ def vector_search(
     ``query`` is a vector literal or a scalar subquery; each task keeps its own
     best rows before anything is exchanged.
     """
-    scored = vectors.withColumn("_query", query).withColumn("similarity", dot(F.col(vector), F.col("_query"))).drop("_query")
+    scored = computed_once(vectors.withColumn("_query", query), similarity=dot(F.col(vector), F.col("_query"))).drop("_query")
     scored = scored.filter(F.col("similarity") >= min_similarity)
     return scored.orderBy(F.col("similarity").desc(), F.col(tiebreak)).limit(limit)
 
