@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions import text as tx
-from ontoweave.functions.numeric import with_rounded
+from ontoweave.functions.numeric import computed_once, with_rounded
 from ontoweave.operators.graph import connected_components
 from ontoweave.operators.grouping import strongest
 from ontoweave.operators.ordering import top_per_group
@@ -220,39 +220,47 @@ def soft_term_relations(
       weight stays below threshold^2 cannot carry a pair on its own, so only the
       remaining prefix is joined.
     """
+    # The term table is a stored object; vectors are read by six branches below.
+    terms = cut_lineage(terms)
     useful = (F.length("term") >= 3) & ~tx.classify_term(F.col("term")).isin("form", "short")
     totals = terms.groupBy("document_id").agg(F.sum("score").alias("_total"))
     unit = terms.filter(useful).join(totals, "document_id").select(
         "document_id", "term", F.sqrt(F.col("score") / F.col("_total")).alias("u")
     )
     vectors = unit.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("term", "u"))).alias("vec"))
-    signed = vectors.withColumn("sig", F.sha1(F.to_json("vec").cast("binary")))
+    signed = cut_lineage(vectors.withColumn("sig", F.sha1(F.to_json("vec").cast("binary"))))
     groups = signed.groupBy("sig").agg(F.first("vec").alias("vec"))
     listed = top_per_group(signed.select("sig", "document_id"), ["sig"], [F.col("document_id").desc()], targets + 1).select(
         F.col("sig").alias("target_sig"), F.col("document_id").alias("target_document_id")
     )
     entries = groups.select("sig", F.inline("vec"))
-    frequency = entries.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = entries.join(frequency, "term").groupBy("sig").agg(
-        F.array_sort(F.collect_list(F.struct("df", "term", "u"))).alias("_e")
+    # Terms get number ids: comparing numbers keeps the dot products cheap.
+    frequency = cut_lineage(
+        entries.groupBy("term").agg(F.count("*").alias("df")).withColumn("tid", F.monotonically_increasing_id())
     )
+    ranked = cut_lineage(entries.join(frequency, "term").groupBy("sig").agg(
+        F.array_sort(F.collect_list(F.struct("df", "tid", "u"))).alias("_e")
+    ).withColumn("m", F.map_from_entries(F.transform("_e", lambda e: F.struct(e["tid"], e["u"])))))
     tail = lambda i: F.aggregate(F.slice("_e", i + 1, F.size("_e")), F.lit(0.0), lambda acc, e: acc + e["u"] * e["u"])
     prefix = ranked.select("sig", F.explode(F.filter(
-        F.transform("_e", lambda e, i: F.when(tail(i) >= threshold * threshold * 0.999999, e["term"])), lambda t: t.isNotNull()
-    )).alias("term"))
-    pairs = prefix.withColumnRenamed("sig", "source_sig").join(prefix.withColumnRenamed("sig", "target_sig"), "term").select(
-        "source_sig", "target_sig"
-    ).distinct()
-    as_map = groups.select("sig", F.map_from_entries("vec").alias("m"))
+        F.transform("_e", lambda e, i: F.when(tail(i) >= threshold * threshold * 0.999999, e["tid"])), lambda t: t.isNotNull()
+    )).alias("tid"))
+    pairs = prefix.withColumnRenamed("sig", "source_sig").join(prefix.withColumnRenamed("sig", "target_sig"), "tid").filter(
+        "source_sig <= target_sig"
+    ).select("source_sig", "target_sig").distinct()
     overlap = F.aggregate(
         F.map_entries("_x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("_y"), e["key"]), F.lit(0.0))
     )
-    scored = (
-        pairs.join(as_map.select(F.col("sig").alias("source_sig"), F.col("m").alias("_x")), "source_sig")
-        .join(as_map.select(F.col("sig").alias("target_sig"), F.col("m").alias("_y")), "target_sig")
-        .select("source_sig", "target_sig", F.round(overlap, 9).alias("overlap_score"))
-        .filter(F.col("overlap_score") >= threshold)
-    )
+    matched = computed_once(
+        pairs.join(ranked.select(F.col("sig").alias("source_sig"), F.col("m").alias("_x")), "source_sig")
+        .join(ranked.select(F.col("sig").alias("target_sig"), F.col("m").alias("_y")), "target_sig"),
+        overlap_score=F.round(overlap, 9),
+    ).select("source_sig", "target_sig", "overlap_score").filter(F.col("overlap_score") >= threshold)
+    both = F.when(F.col("source_sig") == F.col("target_sig"), F.array(F.struct("source_sig", "target_sig"))).otherwise(F.array(
+        F.struct("source_sig", "target_sig"),
+        F.struct(F.col("target_sig").alias("source_sig"), F.col("source_sig").alias("target_sig")),
+    ))
+    scored = matched.select("overlap_score", F.inline(both))
     shortlist = top_per_group(
         scored.join(listed, "target_sig"), ["source_sig"], [F.col("overlap_score").desc(), F.col("target_document_id").desc()], targets + 1
     ).drop("rank", "target_sig")
