@@ -97,7 +97,7 @@ def read_markdown(spark: SparkSession, root: str, excluded_dirs: tuple[str, ...]
     ``manifest`` (path, ...) adds its columns to the files it lists.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
         .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("modified_at"))
     )
     # The folder may be given as a path or a URI; the relative path starts after its last part.
