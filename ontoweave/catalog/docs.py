@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ontoweave.catalog.base import View, ctes, query, sql_words, table
 from ontoweave.functions import text as tx
 from ontoweave.operators import reconcile, retrieval
-from ontoweave.plans import documents
+from ontoweave.plans import documents, evidence
 
 DOCS = View("documents", {
     "document_id": "doc_id", "title": "substring(split_part(text, chr(10), 1), 1, 60)", "category": "lang", "agency": "source",
@@ -329,3 +329,50 @@ def doc_title_keys(spark, sf):
     return TITLED.df(spark, sf).select(
         "document_id", tx.title_key(title).alias("title_key"), tx.series_key(title).alias("series_key"), documents.doc_type(title).alias("doc_type")
     )
+
+
+# --- evidence for a question -------------------------------------------------------------
+
+QUESTION = "thation erhe 是否异常"
+ANSWER_ROWS = View("documents", {
+    "chunk_id": "doc_id", "title": "concat(source, lang)", "heading": "substring(split_part(text, chr(10), 1), 1, 12)", "content": "text",
+    "doc_role": "case when lang = 'fr' then 'emergency_procedure' when lang = 'de' then 'control_protection_spec' else 'document' end",
+    "evidence_role": "case when source = 'src4' then 'handling_rule' else 'definition' end",
+}, heavy=True)
+
+
+def _answer_sql() -> str:
+    def score(text: str) -> str:
+        parts = [f"least({OCC.format(t=t.lower(), n=len(t))}, 8) * {2.5 if len(t) >= 4 else 1.0}::DOUBLE" for t in evidence.query_terms(text)]
+        return " + ".join(parts)
+
+    searches = evidence.scenario_searches(QUESTION, "diagnosis")
+    runs = " UNION ALL ".join(
+        f"SELECT *, {i} AS search, {score(t)} AS hits FROM h" + (f" WHERE doc_role = '{r}'" if r else "") for i, (t, r) in enumerate(searches)
+    )
+    return f"""h AS (SELECT *, lower(title || chr(10) || heading || chr(10) || content) AS low, title || ' ' || heading || ' ' || content AS txt,
+  len(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS n FROM a),
+runs AS ({runs}),
+sc AS (SELECT *, hits + CASE WHEN evidence_role = 'handling_rule' THEN 8 ELSE 0 END + CASE WHEN doc_role = 'emergency_procedure' THEN 100 ELSE 0 END AS score FROM runs WHERE hits > 0
+  QUALIFY row_number() OVER (PARTITION BY search ORDER BY score DESC, chunk_id) <= 5),
+mg AS (SELECT chunk_id, any_value(title) AS title, any_value(heading) AS heading, any_value(doc_role) AS doc_role, any_value(txt) AS txt, max(score) AS score FROM sc GROUP BY 1),
+rk AS (SELECT *, score + CASE WHEN doc_role = 'emergency_procedure' THEN 80 ELSE 0 END + CASE WHEN contains(txt, '处理') OR contains(txt, '异常') OR contains(txt, '不一致') OR contains(txt, '无法调节') THEN 35 ELSE 0 END AS answer_score FROM mg)
+SELECT chunk_id, title, heading, score, answer_score FROM rk QUALIFY row_number() OVER (PARTITION BY title, heading ORDER BY answer_score DESC, chunk_id) = 1 ORDER BY answer_score DESC, chunk_id LIMIT 5"""
+
+
+@query("search_answer_context", ctes(a=ANSWER_ROWS) + f", {_answer_sql()}")
+def search_answer_context(spark, sf):
+    return evidence.answer_context(ANSWER_ROWS.df(spark, sf), QUESTION).select("chunk_id", "title", "heading", "score", "answer_score")
+
+
+
+
+@query("doc_answer_reading", ctes(d=DOCS, c=CHUNKS_SQL) + f", {_recall_sql()}, {_rerank_sql().rsplit('SELECT document_id, n AS', 1)[0]}" + """,
+rk AS (SELECT document_id, r1 + 0.25 * (r - r1) AS related_score FROM dd WHERE i1 + 0.5 * (i - i1) >= 8 AND a1 + 0.5 * (a - a1) >= 3 ORDER BY round(r1 + 0.25 * (r - r1), 6) DESC, document_id LIMIT 4),
+rd AS (SELECT c.document_id, c.ordinal, SUM(length(c.content)) OVER (PARTITION BY c.document_id ORDER BY c.ordinal ROWS UNBOUNDED PRECEDING) AS s FROM c JOIN rk USING (document_id))
+SELECT document_id, ordinal, CAST(s AS BIGINT) AS running_chars FROM rd WHERE s <= 1500""".replace("), ,", "),"))
+def doc_answer_reading(spark, sf):
+    hits = _recalled(spark, sf).withColumn("snippet", F.substring("content", 1, 40))
+    ranked = retrieval.rerank(hits, PROFILE, [-F.round("score", 6), F.col("ordinal")]).withColumn("related_score", F.round("related_score", 6))
+    read = documents.answer_context(ranked, chunks(spark, sf), limit_docs=4, max_chars=1500)
+    return read.select("document_id", "ordinal", "running_chars")

@@ -273,3 +273,19 @@ def graph_bounded_paths(spark, sf):
         "node", F.array_join("path", ">").alias("path"), F.array_join("labels", ">").alias("labels"),
         F.round(F.col("score") + F.size(F.array_distinct("labels")) * 0.2, 6).alias("score"), "depth",
     )
+
+
+def _communities_sql(rounds: int) -> str:
+    steps = ["l0 AS (SELECT node, node AS label FROM own)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""l{i} AS MATERIALIZED (SELECT node, label FROM (SELECT a.node, label, sum(w) AS w FROM arcs a JOIN l{i - 1} l ON l.node = a.other GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY node ORDER BY w DESC, label) = 1)""")
+    return ",\n".join(steps) + f" SELECT node, label AS community FROM l{rounds}"
+
+
+@query("graph_communities", ctes(e=CITES) + """,
+m AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM e WHERE src <> dst GROUP BY ALL),
+bi AS (SELECT a AS node, b AS other, w FROM m UNION ALL SELECT b, a, w FROM m), own AS (SELECT node, max(w) AS w FROM bi GROUP BY 1),
+arcs AS MATERIALIZED (SELECT * FROM bi UNION ALL SELECT node, node, w FROM own),
+""" + _communities_sql(3))
+def graph_communities(spark, sf):
+    return graph.communities(CITES.df(spark, sf), rounds=3)

@@ -184,3 +184,26 @@ def pagerank(
                 return fresh.select("node", "rank")
         ranks = fresh.drop("_old")
     return ranks.select("node", "rank")
+
+
+def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """(node, community) by weighted label propagation over the undirected graph.
+
+    In every round each node takes the label with the greatest weight around
+    it (the smaller label among equals), its own label counting like its
+    strongest edge. An approximation of modularity communities: greedy
+    modularity merges one pair at a time and does not distribute.
+    """
+    ends = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
+    merged = ends.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    both = merged.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(
+        merged.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")
+    )
+    own = both.groupBy("node").agg(F.max("weight").alias("weight"))
+    arcs = cut_lineage(both.unionByName(own.select("node", F.col("node").alias("other"), "weight")))
+    labels = own.select(F.col("node").alias("other"), F.col("node").alias("label"))
+    for _ in range(rounds):
+        votes = arcs.join(labels, "other").groupBy("node", "label").agg(F.sum("weight").alias("weight"))
+        best = votes.groupBy("node").agg(F.max(F.struct(F.col("weight"), (-F.col("label")).alias("neg"))).alias("_b"))
+        labels = cut_lineage(best.select(F.col("node").alias("other"), (-F.col("_b.neg")).alias("label")))
+    return labels.select(F.col("other").alias("node"), F.col("label").alias("community"))
