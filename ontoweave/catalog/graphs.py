@@ -10,6 +10,7 @@ from ontoweave.functions import text as tx
 from ontoweave.operators import graph, retrieval
 from ontoweave.operators.ordering import top_per_group
 from ontoweave.plans import docgraph, documents
+from ontoweave.session import cut_lineage
 
 WORDS = ["根据", "修订", "废止", "落实", "见", "征求意见稿用于征求意见"]
 ROLES = ["", "附件", "请示", "", "反馈意见", ""]
@@ -91,7 +92,8 @@ def relations(spark, sf):
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return docgraph.dedupe_relations(whole)
+    # The relation table is a stored object; every query below reads it, some several times.
+    return cut_lineage(docgraph.dedupe_relations(whole))
 
 
 @query("relation_shared_references", HEAD + f", {SHARED} {_dedupe_sql('SELECT * FROM shared')}")

@@ -111,6 +111,7 @@ def bounded_paths(
 
         keep = order or [F.col("score").desc(), F.col("label"), F.col("_to")]
         arcs = top_per_group(arcs, ["_from"], keep, fan_out).drop("rank")
+    arcs = cut_lineage(arcs)
     level = starts.select(
         F.col("src").alias("node"), F.array("src").alias("path"),
         F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).alias("depth"),
