@@ -171,3 +171,10 @@ SELECT chain_id, sequence, start_time, sequence || '. ' || coalesce(nullif(start
   coalesce(nullif(event_type, ''), '事件类型未抽取') || '，告警等级' || alarm_level || '：' || summary AS line FROM p""")
 def alarm_timeline(spark, sf):
     return alarms.timeline(parsed(spark, sf)).select("chain_id", "sequence", "start_time", "line")
+
+
+@query("alarm_tap_changes", PARSED + r"""
+SELECT chain_id, sequence, start_time, '分接头由' || regexp_extract(summary, '由([0-9]+)档', 1) || '档升至' || regexp_extract(summary, '升至([0-9]+)档', 1) || '档' AS tap_change FROM p WHERE contains(summary, '升至')""")
+def alarm_tap_changes(spark, sf):
+    rows = parsed(spark, sf).select("chain_id", "sequence", "start_time", alarms.tap_change(F.col("summary")).alias("tap_change"))
+    return rows.filter("tap_change <> ''")

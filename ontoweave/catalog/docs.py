@@ -376,3 +376,13 @@ def doc_answer_reading(spark, sf):
     ranked = retrieval.rerank(hits, PROFILE, [-F.round("score", 6), F.col("ordinal")]).withColumn("related_score", F.round("related_score", 6))
     read = documents.answer_context(ranked, chunks(spark, sf), limit_docs=4, max_chars=1500)
     return read.select("document_id", "ordinal", "running_chars")
+
+
+@query("doc_sections")
+def doc_sections(spark, sf):
+    docs = DOCS.df(spark, sf).select("document_id", F.expr(MARKDOWN).alias("text"))
+    out = documents.chunk_documents(docs, documents.SECTION_CHARS, documents.split_sections)
+    return out.select(
+        "document_id", "ordinal", "heading", "char_start", F.length("content").alias("chars"),
+        retrieval.evidence_role(F.concat_ws("\n", "heading", "content")).alias("evidence_role"),
+    )

@@ -156,23 +156,38 @@ def relation_groups(spark, sf):
     return docgraph.relation_groups(found, docs.select("document_id", "title"))
 
 
-SOFT = f""", {TERMS},
+VECTORS = f"""{TERMS},
 t24 AS (SELECT terms.document_id, terms.t, term_weight * idf AS s FROM terms JOIN stats USING (t) QUALIFY row_number() OVER (PARTITION BY terms.document_id ORDER BY round(term_weight * idf, 8) DESC, terms.t) <= 24),
 tot AS (SELECT document_id, sum(s) AS total FROM t24 GROUP BY 1),
 un AS (SELECT document_id, t, sqrt(s / total) AS u FROM t24 JOIN tot USING (document_id) WHERE length(t) >= 3 AND ({KIND}) NOT IN ('form', 'short')),
-ov AS (SELECT a.document_id AS s, b.document_id AS t, round(sum(a.u * b.u), 9) AS o FROM un a JOIN un b ON a.t = b.t AND a.document_id <> b.document_id GROUP BY ALL HAVING round(sum(a.u * b.u), 9) >= 0.22)
-SELECT s AS source_document_id, t AS target_document_id, 'topically_related' AS relation_type, round(least(0.76::DOUBLE, 0.5::DOUBLE + o), 6) AS confidence, 'lexical_profile' AS method FROM ov QUALIFY row_number() OVER (PARTITION BY s ORDER BY o DESC, t DESC) <= 4"""
+ov AS (SELECT a.document_id AS s, b.document_id AS t, round(sum(a.u * b.u), 9) AS o FROM un a JOIN un b ON a.t = b.t AND a.document_id <> b.document_id GROUP BY ALL)"""
 
 
-@query("relation_soft_terms", ctes(d=DOCS) + SOFT)
-def relation_soft_terms(spark, sf):
-    d = DOCS.df(spark, sf)
+def best_terms(d):
     terms = documents.document_terms(d)
     scored = documents.scored_terms(terms, documents.term_statistics(terms, d))
-    best = top_per_group(
+    return top_per_group(
         scored.select("document_id", "term", "score"), ["document_id"], [F.round("score", 8).desc(), F.col("term")], docgraph.SOFT_TERMS
     ).drop("rank")
-    return docgraph.soft_term_relations(best).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("relation_soft_terms", ctes(d=DOCS) + f", {VECTORS}" + """
+SELECT s AS source_document_id, t AS target_document_id, 'topically_related' AS relation_type, round(least(0.76::DOUBLE, 0.5::DOUBLE + o), 6) AS confidence, 'lexical_profile' AS method FROM ov WHERE o >= 0.22
+QUALIFY row_number() OVER (PARTITION BY s ORDER BY o DESC, t DESC) <= 4""")
+def relation_soft_terms(spark, sf):
+    return docgraph.soft_term_relations(best_terms(DOCS.df(spark, sf))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("relation_role_profiles", ctes(d=DOCS, p=PLAIN) + f", {VECTORS}, rt AS (SELECT document_id, title || role AS title FROM p), " + f"""
+rk AS (SELECT document_id, title, {SERIES_KEY} AS k, {_role_sql('title')} AS role FROM rt),
+sc AS (SELECT s, t, a.role, b.role AS trole, b.title, round(o + CASE WHEN a.k <> '' AND b.k <> '' AND (contains(a.k, b.k) OR contains(b.k, a.k)) THEN 0.2 ELSE 0 END, 9) AS score
+  FROM ov JOIN rk a ON a.document_id = s JOIN rk b ON b.document_id = t WHERE a.role <> '' AND o > 0),
+tp AS (SELECT * FROM sc WHERE score >= 0.18 QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, title, t) <= 4)
+SELECT s AS source_document_id, t AS target_document_id, {_map_sql('role', docgraph.ROLE_TYPES, 'cites')} AS relation_type, round({_map_sql('role', docgraph.ROLE_CONFIDENCE, 0.74)}::DOUBLE - 0.08, 6) AS confidence, 'lexical_profile' AS method FROM tp WHERE role <> trole""")
+def relation_role_profiles(spark, sf):
+    docs = PLAIN.df(spark, sf).select("document_id", F.concat("title", "role").alias("title"))
+    found = docgraph.role_profile_relations(docs, best_terms(DOCS.df(spark, sf)))
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 MEANS = "mean AS (SELECT label, list(v ORDER BY i) AS q FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1)"

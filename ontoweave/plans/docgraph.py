@@ -46,6 +46,7 @@ QUOTE_GROUP, SERIES_GROUP, NUMBER_GROUP = (2, 10), (2, 8), (1, 5)
 TITLE_TARGETS = 12
 GRAM = 8
 SOFT_THRESHOLD, SOFT_TARGETS, SOFT_TERMS = 0.22, 4, 24
+PROFILE_THRESHOLD, PROFILE_TARGETS, TITLE_BONUS = 0.18, 4, 0.2
 RELATION = ["source_document_id", "target_document_id", "relation_type", "confidence", "method"]
 
 
@@ -206,21 +207,13 @@ def title_citations(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     )
 
 
-def soft_term_relations(
-    terms: DataFrame, threshold: float = SOFT_THRESHOLD, targets: int = SOFT_TARGETS
-) -> DataFrame:
-    """The best ``targets`` documents with weighted term overlap at or above the threshold.
+def _term_vectors(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document_id, sig) and (sig, entries, map): equal vectors share one row of the second table.
 
-    ``terms``: document_id, term, score (at most 24 per document). The overlap is
-    the dot product of vectors u with u^2 = score / total. Two exact savings:
-
-    * documents with equal vectors are compared once, and as targets only the
-      ``targets + 1`` last ids of a group can ever be listed;
-    * terms are ordered from rare to frequent; the frequent tail whose squared
-      weight stays below threshold^2 cannot carry a pair on its own, so only the
-      remaining prefix is joined.
+    ``terms``: document_id, term, score (at most 24 per document). Entries are
+    u with u^2 = score / total, ordered from rare to frequent terms.
     """
-    # The term table is a stored object; vectors are read by six branches below.
+    # The term table is a stored object; vectors are read by several branches.
     terms = cut_lineage(terms)
     useful = (F.length("term") >= 3) & ~tx.classify_term(F.col("term")).isin("form", "short")
     totals = terms.groupBy("document_id").agg(F.sum("score").alias("_total"))
@@ -229,11 +222,7 @@ def soft_term_relations(
     )
     vectors = unit.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("term", "u"))).alias("vec"))
     signed = cut_lineage(vectors.withColumn("sig", F.sha1(F.to_json("vec").cast("binary"))))
-    groups = signed.groupBy("sig").agg(F.first("vec").alias("vec"))
-    listed = top_per_group(signed.select("sig", "document_id"), ["sig"], [F.col("document_id").desc()], targets + 1).select(
-        F.col("sig").alias("target_sig"), F.col("document_id").alias("target_document_id")
-    )
-    entries = groups.select("sig", F.inline("vec"))
+    entries = signed.groupBy("sig").agg(F.first("vec").alias("vec")).select("sig", F.inline("vec"))
     # Terms get number ids: comparing numbers keeps the dot products cheap.
     frequency = cut_lineage(
         entries.groupBy("term").agg(F.count("*").alias("df")).withColumn("tid", F.monotonically_increasing_id())
@@ -241,6 +230,27 @@ def soft_term_relations(
     ranked = cut_lineage(entries.join(frequency, "term").groupBy("sig").agg(
         F.array_sort(F.collect_list(F.struct("df", "tid", "u"))).alias("_e")
     ).withColumn("m", F.map_from_entries(F.transform("_e", lambda e: F.struct(e["tid"], e["u"])))))
+    return signed.select("document_id", "sig"), ranked
+
+
+def _with_overlap(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Pairs of (source_sig, target_sig) with the dot product of their vectors."""
+    overlap = F.aggregate(
+        F.map_entries("_x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("_y"), e["key"]), F.lit(0.0))
+    )
+    return computed_once(
+        pairs.join(ranked.select(F.col("sig").alias("source_sig"), F.col("m").alias("_x")), "source_sig")
+        .join(ranked.select(F.col("sig").alias("target_sig"), F.col("m").alias("_y")), "target_sig"),
+        overlap_score=F.round(overlap, 9),
+    ).drop("_x", "_y")
+
+
+def _overlaps(ranked: DataFrame, threshold: float) -> DataFrame:
+    """All ordered pairs of vectors whose overlap reaches the threshold.
+
+    The frequent tail of a vector whose squared weight stays below threshold^2
+    cannot carry a pair on its own, so only the remaining prefixes are joined.
+    """
     tail = lambda i: F.aggregate(F.slice("_e", i + 1, F.size("_e")), F.lit(0.0), lambda acc, e: acc + e["u"] * e["u"])
     prefix = ranked.select("sig", F.explode(F.filter(
         F.transform("_e", lambda e, i: F.when(tail(i) >= threshold * threshold * 0.999999, e["tid"])), lambda t: t.isNotNull()
@@ -248,21 +258,29 @@ def soft_term_relations(
     pairs = prefix.withColumnRenamed("sig", "source_sig").join(prefix.withColumnRenamed("sig", "target_sig"), "tid").filter(
         "source_sig <= target_sig"
     ).select("source_sig", "target_sig").distinct()
-    overlap = F.aggregate(
-        F.map_entries("_x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("_y"), e["key"]), F.lit(0.0))
-    )
-    matched = computed_once(
-        pairs.join(ranked.select(F.col("sig").alias("source_sig"), F.col("m").alias("_x")), "source_sig")
-        .join(ranked.select(F.col("sig").alias("target_sig"), F.col("m").alias("_y")), "target_sig"),
-        overlap_score=F.round(overlap, 9),
-    ).select("source_sig", "target_sig", "overlap_score").filter(F.col("overlap_score") >= threshold)
+    matched = _with_overlap(pairs, ranked).filter(F.col("overlap_score") >= threshold)
     both = F.when(F.col("source_sig") == F.col("target_sig"), F.array(F.struct("source_sig", "target_sig"))).otherwise(F.array(
         F.struct("source_sig", "target_sig"),
         F.struct(F.col("target_sig").alias("source_sig"), F.col("source_sig").alias("target_sig")),
     ))
-    scored = matched.select("overlap_score", F.inline(both))
+    return matched.select("overlap_score", F.inline(both))
+
+
+def soft_term_relations(
+    terms: DataFrame, threshold: float = SOFT_THRESHOLD, targets: int = SOFT_TARGETS
+) -> DataFrame:
+    """The best ``targets`` documents with weighted term overlap at or above the threshold.
+
+    Documents with equal vectors are compared once, and as targets only the
+    ``targets + 1`` last ids of such a group can ever be listed.
+    """
+    signed, ranked = _term_vectors(terms)
+    listed = top_per_group(signed, ["sig"], [F.col("document_id").desc()], targets + 1).select(
+        F.col("sig").alias("target_sig"), F.col("document_id").alias("target_document_id")
+    )
     shortlist = top_per_group(
-        scored.join(listed, "target_sig"), ["source_sig"], [F.col("overlap_score").desc(), F.col("target_document_id").desc()], targets + 1
+        _overlaps(ranked, threshold).join(listed, "target_sig"), ["source_sig"],
+        [F.col("overlap_score").desc(), F.col("target_document_id").desc()], targets + 1,
     ).drop("rank", "target_sig")
     mine = signed.select(F.col("sig").alias("source_sig"), F.col("document_id").alias("source_document_id"))
     own = mine.join(shortlist, "source_sig").filter("source_document_id <> target_document_id")
@@ -273,6 +291,73 @@ def soft_term_relations(
     )
 
 
+def role_profile_relations(docs: DataFrame, terms: DataFrame, targets: int = PROFILE_TARGETS) -> DataFrame:
+    """Feedback, approval, request and attachment documents with the documents their terms and titles point to.
+
+    Score is the term overlap, plus a bonus when one series title contains the
+    other; at least one common term is needed. The best ``targets`` are taken
+    first, then those of the source's own role are left out. Documents with
+    equal vector and series title are compared once. ``docs``: document_id, title.
+    """
+    signed, ranked = _term_vectors(terms)
+    keyed = cut_lineage(docs.join(signed, "document_id").select(
+        "document_id", "title", "sig", tx.series_key(F.col("title")).alias("key"), relation_role(F.col("title")).alias("role")
+    ))
+    kinds = keyed.select("sig", "key").distinct()
+    sources = keyed.filter("role <> ''").select(F.col("sig").alias("source_sig"), F.col("key").alias("source_key")).distinct()
+    sinks = kinds.select(F.col("sig").alias("target_sig"), F.col("key").alias("target_key"))
+    by_terms = _overlaps(ranked, PROFILE_THRESHOLD).select("source_sig", "target_sig")
+    pairs = sources.join(by_terms, "source_sig").join(sinks, "target_sig")
+    keys = title_containment(sources.select("source_key").distinct(), sinks.select("target_key").distinct())
+    by_title = keys.join(sources, "source_key").join(sinks, "target_key")
+    whole = pairs.unionByName(by_title).distinct()
+    contains = (F.col("source_key") != "") & (F.col("target_key") != "") & (
+        F.col("source_key").contains(F.col("target_key")) | F.col("target_key").contains(F.col("source_key"))
+    )
+    scored = _with_overlap(whole, ranked).filter("overlap_score > 0").withColumn(
+        "score", F.round(F.col("overlap_score") + F.when(contains, TITLE_BONUS).otherwise(0.0), 9)
+    ).filter(F.col("score") >= PROFILE_THRESHOLD)
+    order = [F.col("title"), F.col("document_id")]
+    listed = top_per_group(keyed.select("sig", "key", "title", "document_id", "role"), ["sig", "key"], order, targets + 1).select(
+        F.col("sig").alias("target_sig"), F.col("key").alias("target_key"), F.col("title").alias("target_title"),
+        F.col("document_id").alias("target_document_id"), F.col("role").alias("target_role"),
+    )
+    best_first = [F.col("score").desc(), F.col("target_title"), F.col("target_document_id")]
+    shortlist = top_per_group(scored.join(listed, ["target_sig", "target_key"]), ["source_sig", "source_key"], best_first, targets + 1).drop("rank")
+    mine = keyed.filter("role <> ''").select(
+        F.col("sig").alias("source_sig"), F.col("key").alias("source_key"), F.col("document_id").alias("source_document_id"), "role"
+    )
+    own = mine.join(shortlist, ["source_sig", "source_key"]).filter("source_document_id <> target_document_id")
+    best = top_per_group(own, ["source_document_id"], best_first, targets).filter(F.col("target_role") != F.col("role"))
+    return best.select(
+        "source_document_id", "target_document_id", _lookup(F.col("role"), ROLE_TYPES, "cites").alias("relation_type"),
+        (_lookup(F.col("role"), ROLE_CONFIDENCE, DEFAULT_CONFIDENCE) - 0.08).alias("confidence"), F.lit("lexical_profile").alias("method"),
+    )
+
+
+def title_containment(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source_key, target_key) pairs of distinct series titles where one contains the other.
+
+    Long keys meet on grams. Keys shorter than a gram are met through their
+    own length: a short key equals one of the equally long pieces of the other.
+    """
+    long_pairs = title_matches(
+        sources.withColumnRenamed("source_key", "quote_key"), targets.withColumnRenamed("target_key", "title_key")
+    ).select(F.col("quote_key").alias("source_key"), F.col("title_key").alias("target_key"))
+
+    def pieces(text: Column) -> Column:
+        """Every piece shorter than a gram."""
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.when(
+            F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+        ).otherwise(F.array().cast("array<string>")))))
+
+    short = lambda df, c: df.filter((F.col(c) != "") & (F.length(c) < GRAM)).withColumn("_g", F.col(c))
+    within = lambda df, c: df.filter(F.col(c) != "").withColumn("_g", F.explode(pieces(F.col(c))))
+    a = short(sources, "source_key").join(within(targets, "target_key"), "_g").select("source_key", "target_key")
+    b = within(sources, "source_key").join(short(targets, "target_key"), "_g").select("source_key", "target_key")
+    return long_pairs.unionByName(a).unionByName(b).distinct()
+
+
 def semantic_relations(
     vectors: DataFrame, focus: DataFrame, threshold: float = 0.64, targets: int = 3, block_rows: int = 4096
 ) -> DataFrame:

@@ -189,3 +189,26 @@ def test_copies_relate_through_few_representatives(spark):
     for r in got:
         by.setdefault(r["source_document_id"], []).append(r["target_document_id"])
     assert sorted(by[0]) == [26, 27, 28, 29] and sorted(by[29]) == [25, 26, 27, 28] and sorted(by[100]) == [26, 27, 28, 29] and 200 not in by
+
+
+def test_sections_keep_every_character_and_the_size():
+    rng = random.Random(8)
+    line = lambda: rng.choice(["", "", "## S" + str(rng.randrange(9)), "w" * rng.randrange(1, 500), "text " * rng.randrange(1, 60)])
+    for _ in range(60):
+        text = "\n".join(line() for _ in range(rng.randrange(1, 50)))
+        pieces = documents.split_sections(text, 300)
+        assert all(0 < len(body) <= 300 for _, body, _ in pieces)
+        squeeze = lambda t: re.sub(r"\s+", "", t)
+        assert squeeze("".join(body for _, body, _ in pieces)) == squeeze(text)
+        headings = [m.group(2).strip() for x in text.splitlines() if (m := re.match(r"^(#{1,6})\s+(.+?)\s*$", x))]
+        assert {h for h, _, _ in pieces if h} == set(headings)
+
+
+def test_tap_change_and_anchors(spark):
+    from ontoweave.functions import text as tx
+
+    df = spark.createDataFrame([("分接开关 由 3 档 降至 2 档",), ("5档调至7档",), ("无",)], "t string")
+    assert [r[0] for r in df.select(alarms.tap_change(F.col("t"))).collect()] == ["分接头由3档降至2档", "档位由5档调至7档", ""]
+    assert tx.anchor_terms("查询 2024 交通局 市委 批示 数字经济") == ["批示", "交通局", "市委", "数字经济"]
+    m = spark.createDataFrame([({"a": "", "b": "x"},)], "m map<string,string>")
+    assert m.select(tx.compact_map(F.col("m"))).first()[0] == {"b": "x"}
