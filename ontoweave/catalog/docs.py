@@ -291,9 +291,9 @@ def doc_read_budget(spark, sf):
     return documents.read_within_budget(chunks(spark, sf), ["document_id"], "ordinal", "content", 1200)
 
 
-STORED = View("documents", {"document_id": "doc_id", "title": "substring(text, 1, 30)", "char_count": "n_chars"}, "source <> 'src3'")
+STORED = View("documents", {"document_id": "doc_id", "title": "text", "char_count": "n_chars"}, "source <> 'src3'")
 LISTED = View("documents", {
-    "document_id": "doc_id", "title": "case when lang = 'de' then concat(substring(text, 1, 30), '!') else substring(text, 1, 30) end", "char_count": "n_chars",
+    "document_id": "doc_id", "title": "case when lang = 'de' then concat(text, '!') else text end", "char_count": "n_chars",
 }, "source <> 'src7'")
 SIG = "substr(sha1(concat_ws(chr(1), '2', title, CAST(char_count AS VARCHAR))), 1, 16)"
 

@@ -158,7 +158,7 @@ def link_exists(spark, sf):
 WITH need AS (SELECT DISTINCT l_orderkey AS order_id, l_suppkey AS item FROM lineitem),
 done AS (SELECT DISTINCT l_orderkey AS order_id, l_suppkey AS item FROM lineitem WHERE l_returnflag <> 'R')
 SELECT n.order_id, CAST(count(*) AS BIGINT) AS required FROM need n LEFT JOIN done d USING (order_id, item)
-GROUP BY 1 HAVING bool_and(d.item IS NOT NULL)""".replace("d.item IS NOT NULL", "d.order_id IS NOT NULL"))
+GROUP BY 1 HAVING bool_and(d.order_id IS NOT NULL)""")
 def relational_division(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("item"), "l_returnflag")
     need = lines.select("order_id", "item").distinct()
@@ -184,11 +184,13 @@ def account_balance_view(spark, sf):
     return accounts.account_balance(ACCOUNTS.df(spark, sf), TRANSACTIONS.df(spark, sf))
 
 
-@query("customer_risk_view", ctes(a=ACCOUNTS, t=TRANSACTIONS, b=BALANCES) + """,
-s AS (SELECT customer_id, SUM(CAST(balance AS DECIMAL(24,2))) AS total, bool_or(status = 'frozen') AS frozen FROM b GROUP BY 1)
+TOTALS = "SELECT customer_id, SUM(CAST(balance AS DECIMAL(24,2))) AS total, bool_or(status = 'frozen') AS frozen FROM b GROUP BY 1"
+
+
+@query("customer_risk_view", ctes(a=ACCOUNTS, t=TRANSACTIONS, b=BALANCES, s=TOTALS) + """
 SELECT c_custkey AS customer_id, c_name AS name, c_mktsegment AS tier, CAST(coalesce(total, 0) AS DOUBLE) AS total_balance,
   CASE WHEN coalesce(frozen, false) THEN 'review' WHEN coalesce(total, 0) < 0 THEN 'high' WHEN coalesce(total, 0) > 5000 THEN 'low' ELSE 'normal' END AS risk_level
-FROM customer LEFT JOIN s ON s.customer_id = c_custkey""".replace("\n,", ",", 1))
+FROM customer LEFT JOIN s ON s.customer_id = c_custkey""")
 def customer_risk_view(spark, sf):
     profiles = CUSTOMERS.df(spark, sf).select("customer_id", "name", "tier")
     balances = accounts.account_balance(ACCOUNTS.df(spark, sf), TRANSACTIONS.df(spark, sf))

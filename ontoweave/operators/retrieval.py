@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ontoweave.functions import text as tx
 from ontoweave.functions.numeric import computed_once
-from ontoweave.operators.ordering import top_per_group
 
 K1, B = 1.2, 0.75
 # Where a term is found and what the place is worth.
