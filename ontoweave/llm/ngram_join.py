@@ -60,21 +60,33 @@ def least_overlap(n: Column | int, percent: int) -> Column | int:
     return F.ceil(F.lit(percent) * n / 100)
 
 
+def parity_map(s: np.ndarray, size: int) -> np.ndarray:
+    """Bit k is the parity of the number of elements that fall on it; ``size`` is a power of two."""
+    return (np.bincount((mix64(s) & _U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parity map of ``size`` bits that belongs to a longer one."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
 def _signatures(batches):
-    """Size, 128-bit signature and parity bitmap of each set."""
+    """Size, 128-bit signature and parity bitmaps of each set: a short one for the JVM, and one that grows with the set."""
     for batch in batches:
-        n, a, b, bits = [], [], [], []
+        n, a, b, bits, wide = [], [], [], [], []
         for s in shingle_sets(text_column(batch, "text")):
             n.append(len(s))
             a.append(mix64(s).sum(dtype=_U))
             b.append(mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
-            odd = np.bincount((mix64(s) % _U(BITS)).astype(np.int64), minlength=BITS) & 1
-            bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            long_map = parity_map(s, max(BITS, 2 << len(s).bit_length()))
+            wide.append(np.packbits(long_map, bitorder="little").tobytes())
+            bits.append(np.packbits(folded(long_map, BITS), bitorder="little").view(np.int64))
         maps = pa.ListArray.from_arrays(
             pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits) if bits else np.empty(0, np.int64))
         )
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), _longs(np.array(a, _U)), _longs(np.array(b, _U)), maps], ["id", "n", "sig_a", "sig_b", "bits"]
+            [batch.column(0), pa.array(n, pa.int64()), _longs(np.array(a, _U)), _longs(np.array(b, _U)), maps, pa.array(wide, pa.binary())],
+            ["id", "n", "sig_a", "sig_b", "bits", "wide"],
         )
 
 
@@ -99,7 +111,7 @@ def _key_blobs(bucket_bits: int):
             for s in shingle_sets(text_column(batch, "text")):
                 held.append(s)
                 size += len(s)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -212,6 +224,25 @@ def _linked(percent: int):
     return run
 
 
+def _map_allows(percent: int):
+    """Drops pairs whose long bitmaps prove that too many elements differ."""
+
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            keep = []
+            for x, y, total in zip(col["wide_src"], col["wide_dst"], (col["n_src"].to_numpy() + col["n_dst"].to_numpy()).tolist()):
+                x = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), bitorder="little")
+                y = np.unpackbits(np.frombuffer(y.as_py(), np.uint8), bitorder="little")
+                size = min(len(x), len(y))
+                differing = int((folded(x, size) ^ folded(y, size)).sum())
+                keep.append(differing * (100 + percent) <= total * (100 - percent))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([col["src"].filter(mask), col["dst"].filter(mask)], ["src", "dst"])
+
+    return run
+
+
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return (F.lit(100) * F.least(a, b)) >= (F.lit(percent) * F.greatest(a, b))
 
@@ -227,8 +258,11 @@ def _may_link(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent:
     return (differing * (100 + percent)) <= total * (100 - percent)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (src, dst) those that link, compared exactly."""
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (src, dst) those that link: by their long bitmaps first, and what passes exactly."""
+    src = sigs.select(F.col("id").alias("src"), F.col("n").alias("n_src"), F.col("wide").alias("wide_src"))
+    dst = sigs.select(F.col("id").alias("dst"), F.col("n").alias("n_dst"), F.col("wide").alias("wide_dst"))
+    pairs = stored(pairs.join(src, "src").join(dst, "dst").mapInArrow(_map_allows(percent), "src long, dst long").distinct(), "possible_pairs")
     ids = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
     wanted = pairs.sparkSession.sparkContext.broadcast(id_filter(ids))
     sets = stored(texts.mapInArrow(_sets(wanted), "id long, elements binary"), "sets")
@@ -247,7 +281,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    sigs = stored(texts.mapInArrow(_signatures, "id long, n long, sig_a long, sig_b long, bits array<long>"), "signatures")
+    sigs = stored(texts.mapInArrow(_signatures, "id long, n long, sig_a long, sig_b long, bits array<long>, wide binary"), "signatures")
     same = ["n", "sig_a", "sig_b"]
     classes = stored(sigs.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep")), "classes")
 
@@ -277,7 +311,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     dst_bits = maps.select(F.col("id").alias("dst"), F.col("bits").alias("bits_dst"))
     possible = _may_link(F.col("n_src"), F.col("n_dst"), F.col("bits_src"), F.col("bits_dst"), percent)
     hubs = stored(hubs.join(src_bits, "src").join(dst_bits, "dst").filter(possible).select("src", "dst"), "hub_pairs")
-    first = stored(_verified(hubs, texts, percent), "hub_links")
+    first = stored(_verified(hubs, sigs, texts, percent), "hub_links")
     joined = stored(connected_components(first), "hub_classes").select(F.col("node").alias("id"), "component")
 
     open_lists = (
@@ -294,7 +328,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         & (subset | (F.greatest("a.n", "b.n") > boundary)) & _near_sizes(F.col("a.n"), F.col("b.n"), percent)
         & _may_link(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"), percent),
     ).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
-    links = first.unionByName(_verified(stored(cross, "cross_pairs"), texts, percent))
+    links = first.unionByName(_verified(stored(cross, "cross_pairs"), sigs, texts, percent))
     found = connected_components(stored(links, "links"))
     of_class = (
         classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20  # texts are handled in blocks of about this many bytes; a longer text is a block of its own
+BLOCK_BYTES = 1 << 20  # texts are handled in blocks of about this many bytes; a longer text is a block of its own
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
