@@ -13,6 +13,7 @@ exactly once, whichever executors are lost.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoweave.llm.base import query, stored, table
-from ontoweave.llm.chunks import ChunkEncoder, blocks, tokenizer_path
+from ontoweave.llm.chunks import ChunkEncoder, blocks, kept_in_worker, tokenizer_path
 
 MAGIC = b"OWPLANE1"
 BLOCK_IDS = 1 << 16  # ids in a transposed block
@@ -102,21 +103,44 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, bounds, np.concatenate([np.empty(0, np.uint32), *(read_block(content, bits, e) for e in entries)])
 
 
+MARK = "\x7f"  # one token of its own; stands between chunks that the library encodes together
+TOGETHER = 64
+
+
 def _library_encoder(path: str) -> ChunkEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return ChunkEncoder(lambda chunks: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    (mark,) = ids_of([MARK])[0].tolist()
+
+    def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [c if MARK not in c else "" for c in chunks]
+        lines = [f" {MARK} ".join(plain[k : k + TOGETHER]) + f" {MARK} " for k in range(0, len(plain), TOGETHER)]
+        ids = np.concatenate(ids_of(lines))
+        marked = ids == mark
+        bounds = np.concatenate([[0], np.cumsum(~marked)[marked]])
+        ids = ids[~marked]
+        odd = [k for k, c in enumerate(chunks) if MARK in c]
+        if odd:  # chunks with the mark itself are encoded alone
+            parts = np.split(ids, bounds[1:-1])
+            for k, part in zip(odd, ids_of([chunks[k] for k in odd])):
+                parts[k] = part
+            ids, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return ids, bounds
+
+    return ChunkEncoder(encode_new)
 
 
 def _write(path: str, end_id: int, bits: bool):
     def run(batches):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = _library_encoder(path)
+        encoder = kept_in_worker("library", path, _library_encoder)
         docs, parts, held, seq = [], [], 0, 0
 
         def close():

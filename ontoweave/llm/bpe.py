@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ontoweave.llm.base import query, table
-from ontoweave.llm.chunks import ChunkEncoder, blocks, tokenizer_path
+from ontoweave.llm.chunks import ChunkEncoder, blocks, kept_in_worker, tokenizer_path
 
 
 def byte_symbols() -> list[str]:
@@ -147,7 +147,7 @@ class BpeTokenizer:
             text = unicodedata.normalize("NFC", text)
         return [p.encode() for p in self._pieces(text.lower())]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self._cut(c) for c in chunks]
         number = {p: k for k, p in enumerate(dict.fromkeys(p for pieces in cut for p in pieces))}
         plain = [p if isinstance(p, bytes) else b"" for p in number]
@@ -157,9 +157,15 @@ class BpeTokenizer:
         ends = bounds[1:][np.diff(bounds) > 0] - 1
         symbols[ends] = self._last[data[ends]]
         merged, at = self._merger.merge(symbols, bounds)
-        ids = [merged[at[k] : at[k + 1]] if plain[k] else np.array([self.special[p]], np.int32) for p, k in number.items()]
-        none = np.empty(0, np.int32)
-        return [ids[number[p[0]]] if len(p) == 1 else np.concatenate([none, *(ids[number[x]] for x in p)]) for p in cut]
+        for p, k in number.items():
+            if not plain[k]:
+                special = np.array([self.special[p]], np.int32)
+                merged, at = np.concatenate([merged[: at[k]], special, merged[at[k] :]]), at + (np.arange(len(at)) > k)
+        pieces = np.fromiter((number[p] for piece in cut for p in piece), np.int64)
+        length = np.diff(at)[pieces]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = merged[np.repeat(at[:-1][pieces] - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum([0, *map(len, cut)])]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the bounds of each text in them."""
@@ -178,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
     kept = [c for c in docs.columns if c != "ids"]
 
     def run(batches):
-        tokenizer = BpeTokenizer(path)
+        tokenizer = kept_in_worker("own", path, BpeTokenizer)
         for batch in batches:
             for first, texts in blocks(batch.column(batch.schema.get_field_index("_text"))):
                 ids, bounds = tokenizer.encode(texts)
@@ -198,7 +204,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches):
-        tokenizer = BpeTokenizer(path)
+        tokenizer = kept_in_worker("own", path, BpeTokenizer)
         for batch in batches:
             for first, texts in blocks(batch.column(1)):
                 ids, bounds = tokenizer.encode(texts)

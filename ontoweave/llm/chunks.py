@@ -1,19 +1,20 @@
 """Token ids of whole texts by way of their distinct blank-free chunks.
 
 The tokenizers handled here drop white space and never look across it, so a text's ids
-are those of its chunks in order; each distinct chunk is encoded once per task.
+are those of its chunks in order; each distinct chunk is encoded once per worker.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
 _CHUNK = re.compile(r"[^ \t\n\r]+").findall
-KNOWN = 1 << 20  # chunks remembered before the memory starts anew
+KNOWN = 3 << 18  # chunks remembered before the memory starts anew
 BLOCK = 1 << 22  # characters encoded together
 
 
@@ -23,40 +24,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+class _Numbered(dict):
+    """Numbers each new key as it is asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class ChunkEncoder:
-    """``encode_new`` gives the ids of distinct chunks it is asked for once."""
+    """``encode_new`` gives the ids of distinct chunks, all in one array, and the bounds of each."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[np.ndarray]]):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self._encode_new = encode_new
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[str, int] = {}
+        self._index = _Numbered()
         self._ids = np.empty(0, np.uint32)
         self._start = np.zeros(1, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self._index) + len(chunks) > KNOWN:
-            self._forget()
-        new = [c for c in dict.fromkeys(chunks) if c not in self._index]
-        if new:
-            found = self._encode_new(new)
-            self._index.update(zip(new, range(len(self._index), len(self._index) + len(new))))
-            self._ids = np.concatenate([self._ids, *found]).astype(np.uint32)
-            self._start = np.concatenate([self._start, self._start[-1] + np.cumsum([len(f) for f in found])])
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the bounds of each text in them."""
+        if len(self._index) > KNOWN:
+            self._forget()
         cut = [_CHUNK(t) for t in texts]
         chunks = [c for text in cut for c in text]
-        self._learn(chunks)
+        known = len(self._index)
         at = np.fromiter(map(self._index.__getitem__, chunks), np.int64, len(chunks))
+        new = list(islice(self._index, known, None))
+        if new:
+            ids, bounds = self._encode_new(new)
+            self._ids = np.concatenate([self._ids, ids.astype(np.uint32)])
+            self._start = np.concatenate([self._start, self._start[-1] + bounds[1:]])
         length = self._start[at + 1] - self._start[at]
         ends = np.concatenate([[0], np.cumsum(length)])
         ids = self._ids[np.repeat(self._start[at] - ends[:-1], length) + np.arange(ends[-1])]
         return ids, ends[np.cumsum([0, *map(len, cut)])]
 
 
+_kept: dict[tuple[str, str], object] = {}
+
+
+def kept_in_worker(kind: str, path: str, make: Callable[[str], object]):
+    """One encoder for a file in each Python worker, so that tasks share what it has learnt."""
+    if (kind, path) not in _kept:
+        _kept[kind, path] = make(path)
+    return _kept[kind, path]
+
+
 def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in blocks of bounded size; null is an empty text."""
     first, held, size = 0, [], 0

@@ -208,7 +208,7 @@ def train(labelled: DataFrame) -> LanguageModel | None:
     pick = labelled.filter("text is not null and lang is not null")
     keys = pick.select("id", "lang", F.xxhash64("id").alias("h"))
     first = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= SAMPLE)
-    sample = pick.join(first.select("id", "lang").distinct(), ["id", "lang"], "left_semi").select("id", "lang", "text")
+    sample = pick.join(F.broadcast(first.select("id", "lang").distinct()), ["id", "lang"], "left_semi").select("id", "lang", "text")
     sample = sample.persist()
     counted = (
         sample.select("lang", "text").mapInArrow(_count, "lang string, k int, gram long, history long, suffix long, n long")

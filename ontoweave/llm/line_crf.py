@@ -253,7 +253,7 @@ def train_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     [pa.array(m.line_text + block.first, pa.int64()), pa.array(list(m.features()), pa.list_(pa.int64())), pa.array(m.weak_labels())], ["text", "features", "label"]
                 )
 
-    rows = short.join(ids, "id", "left_semi").select("text").mapInArrow(lines, "text long, features array<long>, label long")
+    rows = short.join(F.broadcast(ids), "id", "left_semi").select("text").mapInArrow(lines, "text long, features array<long>, label long")
     rows = rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "*").toPandas().sort_values("at")
     if rows.empty:
         return Chain(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.array([0.0, 1.0]))

@@ -49,7 +49,7 @@ def train_domains(docs: DataFrame, labels: DataFrame) -> Softmax:
     texts = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & F.col("doc_id").isNotNull())
     ids = texts.select("doc_id").join(known, "doc_id").select("doc_id", "domain", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE)
     ids = ids.select("doc_id", "domain").distinct()
-    rows = texts.join(ids, "doc_id").select("text", "domain").mapInArrow(_features, "ids array<int>, domain long").toPandas()
+    rows = texts.join(F.broadcast(ids), "doc_id").select("text", "domain").mapInArrow(_features, "ids array<int>, domain long").toPandas()
     if rows.empty:
         return Softmax(np.zeros((1 << 16, len(DOMAINS))), np.zeros(len(DOMAINS)))
     features = joined([Sparse(np.asarray(x, np.int64), np.array([0, len(x)])) for x in rows["ids"]])

@@ -123,7 +123,7 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = fit_labels(unpack(counts["code"].to_numpy(np.int64)), counts["n"].to_numpy(np.float64))  # at most 3^8 patterns
     short = texts.filter((F.octet_length("text") <= SAMPLE_BYTES) & F.col("id").isNotNull())
     ids = short.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE).select("id").distinct()
-    rows = short.join(ids, "id", "left_semi").mapInArrow(_sampled(labels), "ids array<int>, good double").toPandas()
+    rows = short.join(F.broadcast(ids), "id", "left_semi").mapInArrow(_sampled(labels), "ids array<int>, good double").toPandas()
     parts = [np.asarray(x, np.int64) for x in rows["ids"]]
     features = joined([Sparse(x, np.array([0, len(x)])) for x in parts])
     good = rows["good"].to_numpy(np.float64)
