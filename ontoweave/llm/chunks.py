@@ -13,8 +13,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-_CHUNK = re.compile(r"[^ \t\n\r]+").findall
-KNOWN = 3 << 18  # chunks remembered before the memory starts anew
+# A full stop or comma after a plain word is a chunk of its own: no tokenizer here joins it to letters.
+_CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[ \t\n\r]|$))|[.,](?=[ \t\n\r]|$)|[^ \t\n\r]+").findall
+KNOWN = 5 << 18  # chunks remembered before the memory starts anew
 BLOCK = 1 << 22  # characters encoded together
 
 
