@@ -66,7 +66,7 @@ def _placed(axes: dict[int, np.ndarray], width: float):
                 at = _unit(np.stack(part["v"].to_numpy())) @ axes[d]
                 out.append(part.assign(at=list(at), cell=list(np.floor(at / width).astype(np.int64))))
             if out:
-                yield pd.concat(out)[["label", "id", "v", "at", "cell"]]
+                yield pd.concat(out)[["label", "id", "copies", "v", "at", "cell"]]
 
     return run
 
@@ -111,10 +111,27 @@ def _exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
+def _lowest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0 .. n - 1 and the links (i, j), the lowest node each is connected to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, root[i], low)
+        np.minimum.at(after, root[j], low)
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def _joined(cosine: float, reach: float):
+    """(id, others, root) of every vector with a link in two intervals: the rows it links with, and the lowest of its class there."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
-        out = []
+        out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("id", "others", "root")})]
         for d, a in left.groupby(left["v"].map(len)):
             b = right[right["v"].map(len) == d]
             if not len(b):
@@ -123,9 +140,16 @@ def _joined(cosine: float, reach: float):
             va, vb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
             same = bool(left["home"].iloc[0] == left["other"].iloc[0])
             i, j = _pairs_within(_unit(va), np.stack(a["at"].to_numpy()), _unit(vb), np.stack(b["at"].to_numpy()), same, cosine - SLACK, reach)
-            exact = _exact_cosine(va[i], vb[j]) >= cosine if len(i) else np.empty(0, bool)
-            out.append(pd.DataFrame({"src": a["id"].to_numpy()[i[exact]], "dst": b["id"].to_numpy()[j[exact]]}))
-        return pd.concat(out) if out else none
+            if not len(i):
+                continue
+            exact = _exact_cosine(va[i], vb[j]) >= cosine
+            one, other = a["id"].to_numpy()[i[exact]], b["id"].to_numpy()[j[exact]]
+            n_one, n_other = a["copies"].to_numpy()[i[exact]], b["copies"].to_numpy()[j[exact]]
+            ids, place = np.unique(np.concatenate([one, other]), return_inverse=True)
+            x, y = place[: len(one)], place[len(one) :]
+            others = np.bincount(x, n_other, len(ids)) + np.bincount(y, n_one, len(ids))
+            out.append(pd.DataFrame({"id": ids, "others": others.astype(np.int64), "root": ids[_lowest(x, y, len(ids))]}))
+        return pd.concat(out)
 
     return run
 
@@ -150,8 +174,8 @@ def near_vectors(
     )
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     axes = principal_directions(alike)
-    kinds = f"label {alike.schema['label'].dataType.simpleString()}, id long, v array<double>, at array<double>, cell array<bigint>"
-    placed = alike.select("label", "id", "v").mapInPandas(_placed(axes, reach), kinds)
+    kinds = f"label {alike.schema['label'].dataType.simpleString()}, id long, copies long, v array<double>, at array<double>, cell array<bigint>"
+    placed = alike.select("label", "id", "copies", "v").mapInPandas(_placed(axes, reach), kinds)
     # grid order: cells compared from the first direction on; ranks count within a range partition, so no label is one task
     placed = placed.repartitionByRange("label", "cell", "id").sortWithinPartitions("label", "cell", "id").drop("cell")
     ranked = stored(placed.withColumn("rank", F.monotonically_increasing_id()), "grid_order").withColumn("home", F.shiftright("rank", INTERVAL_BITS))
@@ -171,15 +195,14 @@ def near_vectors(
     pairs = a.join(b, met & (distance <= reach * reach)).select(F.col("a.label").alias("label"), F.col("a.home").alias("home"), F.col("b.home").alias("other"))
     pairs = stored(pairs.distinct(), "interval_pairs")
     keys = ["label", "home", "other"]
-    left = ranked.join(pairs, ["label", "home"]).select(*keys, "id", "v", "at", "rank")
-    right = ranked.withColumnRenamed("home", "other").join(pairs, ["label", "other"]).select(*[F.col(c).alias(c) for c in [*keys, "id", "v", "at", "rank"]])
-    links = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_joined(cosine, reach), "src long, dst long"), "vector_links")
-
-    copies = alike.select("id", "copies")
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    near = both.join(copies.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.sum("copies").alias("others"))
+    left = ranked.join(pairs, ["label", "home"]).select(*keys, "id", "copies", "v", "at", "rank")
+    right = ranked.withColumnRenamed("home", "other").join(pairs, ["label", "other"]).select(*[F.col(c).alias(c) for c in [*keys, "id", "copies", "v", "at", "rank"]])
+    met_rows = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_joined(cosine, reach), "id long, others long, root long")
+    met_rows = stored(met_rows, "vector_links")
+    near = met_rows.groupBy("id").agg(F.sum("others").alias("others"))
+    links = met_rows.filter("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))
     classes = connected_components(links).select(F.col("node").alias("id"), "component")
-    found = alike.join(near.withColumnRenamed("src", "id"), "id", "left").join(classes, "id", "left").select(
+    found = alike.join(near, "id", "left").join(classes, "id", "left").select(
         "label", "v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
     linked = rows.filter(usable).join(found, ["label", "v"]).select("id", "n_links", "component_id")
