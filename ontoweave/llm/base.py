@@ -24,7 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes: ten thousand long texts in one batch would fill a Python worker and the memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
