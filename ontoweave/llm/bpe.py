@@ -186,13 +186,13 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> Data
     def run(batches):
         tokenizer = BpeTokenizer(path)
         for batch in batches:
-            for first, texts in blocks(batch.column(batch.schema.get_field_index("_text"))):
+            for first, texts in blocks(batch.column(batch.schema.get_field_index("__whole_text"))):
                 ids, bounds = tokenizer.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
                 rows = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(kept))), lists], [*kept, "ids"])
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__whole_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
     return frame.mapInArrow(run, f"{kinds}, ids array<int>")
 

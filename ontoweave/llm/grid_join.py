@@ -34,7 +34,8 @@ def _moments(batches):
             x = _unit(np.stack(part["v"].to_numpy()))
             x1 = np.hstack([x, np.ones((len(x), 1))])
             sums[d] = sums.get(d, 0) + x1.T @ x1
-    yield pd.DataFrame({"d": list(sums), "m": [m.ravel() for m in sums.values()]}, columns=["d", "m"])
+    if sums:
+        yield pd.DataFrame({"d": list(sums), "m": [m.ravel() for m in sums.values()]})
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -254,7 +254,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for texts in text_blocks(text_column(batch, "_text")):
+            for texts in text_blocks(text_column(batch, "__whole_text")):
                 n = len(texts)
                 if shared.value is None:
                     at, score, ok = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
@@ -266,7 +266,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
                     [*(rows.column(i) for i in range(len(kept))), pa.array(pred, pa.string()), pa.array(score), pa.array(ok)], [*kept, "lang_pred", "score", "accepted"]
                 )
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__whole_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
     return frame.mapInArrow(run, f"{kinds}, lang_pred string, score double, accepted boolean")
 

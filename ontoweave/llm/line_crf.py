@@ -276,7 +276,7 @@ def judge_quality(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(text_column(batch, "_text")):
+            for block in text_blocks(text_column(batch, "__whole_text")):
                 m = measure(block)
                 n = len(block)
                 bounds = np.searchsorted(m.line_text, np.arange(n + 1))
@@ -291,7 +291,7 @@ def judge_quality(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
                     [*kept, *names],
                 )
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__whole_text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in kept)
     return frame.mapInArrow(run, kinds + RESULT)
 

@@ -180,14 +180,14 @@ def mixed_documents(docs: DataFrame, model: Softmax, rates: Rates, id_col: str =
 
     def run(batches):
         for batch in batches:
-            for block in text_blocks(text_column(batch, "_text")):
+            for block in text_blocks(text_column(batch, "__whole_text")):
                 sparse, n_words = word_features(block)
                 rows = batch.slice(block.first, len(block))
                 luck = rows.column(len(columns)).to_numpy(zero_copy_only=False)
                 copies = np.floor(rates.of(n_words, shared.value.posteriors(sparse)) + luck).astype(np.int64)
                 yield rows.select(columns).take(pa.array(np.repeat(np.arange(len(block)), copies)))
 
-    frame = docs.select("*", _luck(F.col(id_col)).alias("_luck"), F.col(text_col).alias("_text"))
+    frame = docs.select("*", _luck(F.col(id_col)).alias("__luck"), F.col(text_col).alias("__whole_text"))
     return frame.mapInArrow(run, docs.schema)
 
 

@@ -144,7 +144,7 @@ def rate_quality(docs: DataFrame, labels: LabelModel, scorer: Softmax, text_col:
     def run(batches):
         own_labels, own_scorer = shared.value
         for batch in batches:
-            for block in text_blocks(text_column(batch, "_text")):
+            for block in text_blocks(text_column(batch, "__whole_text")):
                 sparse, n_words = word_features(block)
                 good = np.where(n_words > 0, own_scorer.posteriors(sparse)[:, 1], 0.0)
                 rows = batch.slice(block.first, len(block))
@@ -152,7 +152,7 @@ def rate_quality(docs: DataFrame, labels: LabelModel, scorer: Softmax, text_col:
                     [*(rows.column(i) for i in range(len(kept))), pa.array(own_labels.posterior(votes(block))), pa.array(good), pa.array(good >= 0.5)], [*kept, *names]
                 )
 
-    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__whole_text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in kept)
     return frame.mapInArrow(run, kinds + "weak_good double, score double, kept boolean")
 
