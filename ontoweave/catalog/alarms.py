@@ -58,16 +58,16 @@ def _any(words: list[str]) -> str:
 def _flags_sql() -> str:
     lock = f"(contains(x, '闭锁') AND NOT ({_any(alarms.BENIGN_LOCK)} AND NOT {_any(alarms.TRUE_LOCK)}))"
     context = (
-        f"(NOT regexp_matches(x, '{alarms.DENIED}') AND NOT {_any(['消失', '复归', '完成', '执行完毕'])} AND NOT (contains(x, '停运') AND {_any(['操作', '投退', '泵停运'])})"
-        f" AND NOT (contains(x, '闭锁顺序') AND NOT {_any(['极闭锁', '双极闭锁', '闭锁动作'])}))"
+        f"(NOT regexp_matches(x, '{alarms.DENIED_BEFORE}') AND NOT regexp_matches(x, '{alarms.DENIED_AFTER}') AND NOT {_any(alarms.CLEARED)}"
+        f" AND NOT (contains(x, '停运') AND {_any(alarms.PLANNED_STOP)}) AND NOT (contains(x, '闭锁顺序') AND NOT {_any(alarms.LOCK_ACTIONS)}))"
     )
     abnormal = _any(alarms.ABNORMAL_TERMS)
     flags = {
         "normal_completion": _any(alarms.NORMAL_TERMS), "abnormal_signal": abnormal,
         "severe_signal": f"({_any(alarms.SEVERE_TERMS)} OR {lock})", "negative_outcome": f"({_any(alarms.NEGATIVE_TERMS)} AND {context})",
-        "recorder": _any(["录波"]), "protection": _any(["保护动作", "低电压保护", "保护出口"]), "control_switch": _any(["A切至B", "A套", "B套", "切换"]),
-        "operation": _any(["解锁", "合闸", "投入", "投退", "分接", "功率升降"]),
-        "valve_cooling_abnormal": f"(contains(x, '阀冷') AND {abnormal} AND NOT {_any(['阀冷控制系统', '闭锁顺序/阀冷控制系统'])})",
+        "recorder": _any(["录波"]), "protection": _any(alarms.PROTECTION_TERMS), "control_switch": _any(alarms.SWITCH_TERMS),
+        "operation": _any(alarms.OPERATION_TERMS),
+        "valve_cooling_abnormal": f"(contains(x, '阀冷') AND {abnormal} AND NOT {_any(alarms.COOLING_NAMES)})",
     }
     systems = ", ".join(f"CASE WHEN {_any(w)} THEN '{n}' END" for n, w in alarms.SUBSYSTEMS.items())
     cols = ", ".join(f"{v} AS {k}" for k, v in flags.items())

@@ -150,7 +150,7 @@ def _dual(name: str, structure: str, site: str) -> str:
     return f"""pt_{name} AS (SELECT request_id, point_id, distance_m, {site} AS site, row_number() OVER (PARTITION BY request_id ORDER BY distance_m, point_id) AS k FROM near JOIN f USING (feeder_id)),
 pr_{name} AS (SELECT a.request_id, a.k, a.point_id AS p1, b.point_id AS p2, a.distance_m AS d1, b.distance_m AS d2 FROM pt_{name} a JOIN pt_{name} b ON a.request_id = b.request_id AND a.k < b.k AND a.site <> b.site),
 ct_{name} AS (SELECT request_id, k, SUM(count(*)) OVER (PARTITION BY request_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pr_{name} GROUP BY request_id, k),
-dual_{name} AS (SELECT concat_ws('-', p.request_id, p1, p2, m) AS plan_id, p.request_id, '{structure}' AS source_structure, '两路电源' || m || '({structure})' AS operation_mode, p1 || ',' || p2 AS point_ids,
+dual_{name} AS (SELECT concat_ws('-', p.request_id, '{structure}', p1, p2, m) AS plan_id, p.request_id, '{structure}' AS source_structure, '两路电源' || m || '({structure})' AS operation_mode, p1 || ',' || p2 AS point_ids,
   {sql_round('d1 + d2', 1)} AS total_distance_m FROM pr_{name} p JOIN ct_{name} c ON c.request_id = p.request_id AND c.k = p.k, (SELECT unnest(['同时供电互为备用', '同时供电', '一主一备']) AS m) WHERE coalesce(before, 0) * 3 < 15)"""
 
 

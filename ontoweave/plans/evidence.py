@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +34,35 @@ TAP_SEARCHES = [
     ("分接开关 控制系统 冗余 指令 同步 A套 B套", SPEC_ROLE),
 ]
 HANDLING_SUFFIX = " 设备异常 故障应急 处理 复归 跳闸 闭锁"
-MAX_SEARCHES = 6
+# Searches of a question: (words of the question, its intents, searches to run); empty words or intents ask nothing.
+# {query} stands for the question.
+SEARCH_PLAN = [
+    (REDUNDANCY_WORDS, (), REDUNDANCY_SEARCHES),
+    (TAP_WORDS, (), TAP_SEARCHES),
+    ((), ("diagnosis", "handling"), [("{query}" + HANDLING_SUFFIX, PRIMARY_ROLE)]),
+    ((), (), [("{query}", "")]),
+]
+# Points of a chunk: (intents, words of the question, role, words of the chunk, whether they must be there, points, points otherwise).
+ANSWER_POINTS = [
+    (("concept",), (), SPEC_ROLE, (), True, 80.0, 0.0),
+    (("concept",), (), "", ("冗余", "双重化", "两套系统", "值班", "备用", "Active", "Standby", "active", "standby"), True, 50.0, 0.0),
+    (("concept",), (), PRIMARY_ROLE, ("控制保护主机", "冗余", "双套"), False, -60.0, 0.0),
+    (("diagnosis", "handling"), (), PRIMARY_ROLE, (), True, 80.0, 0.0),
+    (("diagnosis", "handling"), (), "", ("处理", "处理原则", "处理预案", "异常", "不一致", "无法调节"), True, 35.0, 0.0),
+    ((), ("分接", "档位", "站用变", "降压变"), "", ("分接", "分接开关", "档位"), True, 60.0, -50.0),
+    ((), ("A/B", "A套", "B套", "双套"), "", ("A套", "B套", "双套", "两套系统", "冗余", "值班", "备用", "Active", "Standby"), True, 45.0, 0.0),
+]
+TOC_PENALTY = 200.0
 STATION_BOOST = 35.0
 
 
+def _asked(query: str, intent: str, words, intents) -> bool:
+    """Whether a row of a table is for this question."""
+    return (not words or any(w in query for w in words)) and (not intents or intent in intents)
+
+
 def question_intent(query: str) -> str:
-    for intent, words in INTENTS:
-        if any(w in query for w in words):
-            return intent
-    return "document_answer"
+    return next((intent for intent, words in INTENTS if _asked(query, "", words, ())), "document_answer")
 
 
 def query_terms(query: str) -> list[str]:
@@ -56,15 +78,8 @@ def query_terms(query: str) -> list[str]:
 
 def scenario_searches(query: str, intent: str) -> list[tuple[str, str]]:
     """(query text, document role) pairs to run for a question, the question itself last."""
-    plan: list[tuple[str, str]] = []
-    if any(w in query for w in REDUNDANCY_WORDS):
-        plan += REDUNDANCY_SEARCHES
-    if any(w in query for w in TAP_WORDS):
-        plan += TAP_SEARCHES
-    if intent in ("diagnosis", "handling"):
-        plan.append((query + HANDLING_SUFFIX, PRIMARY_ROLE))
-    plan.append((query, ""))
-    return list(dict.fromkeys(plan))[:MAX_SEARCHES]
+    rows = [searches for words, intents, searches in SEARCH_PLAN if _asked(query, intent, words, intents)]
+    return list(dict.fromkeys((text.replace("{query}", query), role) for searches in rows for text, role in searches))
 
 
 def scored_searches(chunks: DataFrame, searches: list[tuple[str, str]], prefer_primary: bool, keep: int) -> DataFrame:
@@ -92,20 +107,16 @@ def scored_searches(chunks: DataFrame, searches: list[tuple[str, str]], prefer_p
 def answer_rank(query: str, intent: str) -> Column:
     """Score of a merged chunk for this kind of question."""
     text = F.concat_ws(" ", "title", "heading", "content")
-    score = F.col("score") - F.when(F.col("is_toc"), 200.0).otherwise(0.0)
-    role = F.col("doc_role")
-    if intent == "concept":
-        score = score + F.when(role == SPEC_ROLE, 80.0).otherwise(0.0)
-        score = score + F.when(tx.any_of(text, ["冗余", "双重化", "两套系统", "值班", "备用", "Active", "Standby", "active", "standby"]), 50.0).otherwise(0.0)
-        score = score - F.when((role == PRIMARY_ROLE) & ~tx.any_of(text, ["控制保护主机", "冗余", "双套"]), 60.0).otherwise(0.0)
-    elif intent in ("diagnosis", "handling"):
-        score = score + F.when(role == PRIMARY_ROLE, 80.0).otherwise(0.0)
-        score = score + F.when(tx.any_of(text, ["处理", "处理原则", "处理预案", "异常", "不一致", "无法调节"]), 35.0).otherwise(0.0)
-    if any(w in query for w in ("分接", "档位", "站用变", "降压变")):
-        score = score + F.when(tx.any_of(text, ["分接", "分接开关", "档位"]), 60.0).otherwise(-50.0)
-    if any(w in query for w in ("A/B", "A套", "B套", "双套")):
-        score = score + F.when(tx.any_of(text, ["A套", "B套", "双套", "两套系统", "冗余", "值班", "备用", "Active", "Standby"]), 45.0).otherwise(0.0)
-    return score
+
+    def points(role: str, words, wanted: bool, yes: float, no: float) -> Column:
+        test = (F.col("doc_role") == role) if role else F.lit(True)
+        if words:
+            test = test & (tx.any_of(text, list(words)) == F.lit(wanted))
+        return F.when(test, yes).otherwise(no)
+
+    rows = [rest for intents, asked, *rest in ANSWER_POINTS if _asked(query, intent, asked, intents)]
+    start = F.col("score") - F.when(F.col("is_toc"), TOC_PENALTY).otherwise(0.0)
+    return reduce(lambda total, row: total + points(*row), rows, start)
 
 
 def answer_context(chunks: DataFrame, query: str, limit: int = 5, station: str = "") -> DataFrame:

@@ -196,7 +196,7 @@ def compose_dual(candidates: DataFrame, feeders: DataFrame, structure: str) -> D
     spread = kept.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in PLAN_MODES])))
     staged = with_rounded(spread, 1, total_distance_m=F.col("first.distance_m") + F.col("place.distance_m"))
     return staged.select(
-        F.concat_ws("-", "request_id", "first.point_id", "place.point_id", "mode").alias("plan_id"), "request_id",
+        F.concat_ws("-", "request_id", F.lit(structure), "first.point_id", "place.point_id", "mode").alias("plan_id"), "request_id",
         F.lit(structure).alias("source_structure"),
         F.concat(F.lit("两路电源"), "mode", F.lit(f"({structure})")).alias("operation_mode"),
         F.concat_ws(",", "first.point_id", "place.point_id").alias("point_ids"), "total_distance_m",

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ontoweave.operators.signs import any_sign
 from ontoweave.plans import alarms, docgraph, documents, grid, launch, payroll, schemes, toll
 
 
@@ -117,7 +118,7 @@ def test_alarm_texts(spark):
 def test_lock_wording(spark):
     texts = ["闭锁顺序进入", "极闭锁 闭锁顺序", "闭锁", "停运操作", "停运"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = df.select(alarms.true_lock(F.col("t")).alias("l"), alarms.negative_context(F.col("t")).alias("n")).collect()
+    rows = df.select(alarms.LOCKED.column(F.col("t")).alias("l"), (~any_sign(F.col("t"), alarms.HARMLESS)).alias("n")).collect()
     assert [r["l"] for r in rows] == [False, True, True, False, False]
     assert [r["n"] for r in rows] == [False, True, True, False, True]
 
