@@ -10,7 +10,7 @@ from ontoweave.operators import reconcile, retrieval
 from ontoweave.plans import documents, evidence
 
 DOCS = View("documents", {
-    "document_id": "doc_id", "title": "substring(split_part(text, chr(10), 1), 1, 60)", "category": "lang", "agency": "source",
+    "document_id": "doc_id", "title": "split_part(split_part(text, chr(10), 1), '.', 1)", "category": "lang", "agency": "source",
     "text": "text", "char_count": "n_chars", "path": "concat(lang, '/', source, '/', cast(doc_id as string), '.md')",
 }, heavy=True)
 # Lines of every document as its chunks.
@@ -47,7 +47,7 @@ UNION ALL SELECT document_id, t, {weight}::DOUBLE FROM (SELECT DISTINCT document
 
 QUOTED_SQL = f"""SELECT document_id, t, 12::DOUBLE AS w FROM (SELECT document_id, regexp_replace(unnest(regexp_extract_all(title, '[《“"]([^》”"]{{2,80}})[》”"]', 1)), '\\s+', '', 'g') AS t FROM d) WHERE {USEFUL} AND length(t) <= 60"""
 TERMS = f"""body AS (SELECT document_id, t FROM (SELECT DISTINCT document_id, unnest({sql_words('text')}) AS t FROM d) WHERE {USEFUL}
-  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY {BONUS} DESC, t) <= 80),
+),
 raw AS (SELECT document_id, t, 0.5::DOUBLE AS w FROM body UNION ALL {_field_terms('title', '8')} UNION ALL {QUOTED_SQL} UNION ALL {_field_terms('agency', '3')} UNION ALL {_field_terms('category', '2')}),
 tw AS (SELECT document_id, t, CAST(SUM(CAST(w * {BONUS} * ({QUALITY}) AS DECIMAL(20,8))) AS DOUBLE) AS term_weight FROM raw GROUP BY ALL),
 terms AS (SELECT document_id, t, term_weight, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY round(term_weight * {BONUS}, 8) DESC, length(t) DESC, t) AS k FROM tw) WHERE k <= 30),
@@ -279,7 +279,7 @@ def doc_title_metadata(spark, sf):
     return meta.select("document_id", "key", "value", "method")
 
 
-@query("doc_list", ctes(d=DOCS) + "SELECT document_id, title, path FROM d WHERE category ILIKE '%EN%' AND agency ILIKE '%rc1%' ORDER BY path LIMIT 100")
+@query("doc_list", ctes(d=DOCS) + "SELECT document_id, title, path FROM d WHERE category ILIKE '%EN%' AND agency ILIKE '%rc1%'")
 def doc_list(spark, sf):
     return documents.list_documents(DOCS.df(spark, sf), category="EN", agency="rc1").select("document_id", "title", "path")
 
@@ -335,7 +335,7 @@ def doc_title_keys(spark, sf):
 
 QUESTION = "thation erhe 是否异常"
 ANSWER_ROWS = View("documents", {
-    "chunk_id": "doc_id", "title": "concat(source, lang)", "heading": "substring(split_part(text, chr(10), 1), 1, 12)", "content": "text",
+    "chunk_id": "doc_id", "title": "concat(source, lang)", "heading": "split_part(split_part(text, chr(10), 1), '.', 1)", "content": "text",
     "doc_role": "case when lang = 'fr' then 'emergency_procedure' when lang = 'de' then 'control_protection_spec' else 'document' end",
     "evidence_role": "case when source = 'src4' then 'handling_rule' else 'definition' end",
 }, heavy=True)

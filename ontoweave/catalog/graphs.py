@@ -14,7 +14,7 @@ from ontoweave.session import cut_lineage
 
 WORDS = ["根据", "修订", "废止", "落实", "见", "征求意见稿用于征求意见"]
 ROLES = ["", "附件", "请示", "", "反馈意见", ""]
-_LINE = "substring(split_part(text, chr(10), 1), 1, 60)"
+_LINE = "split_part(split_part(text, chr(10), 1), '.', 1)"
 PLAIN = View("documents", {
     "document_id": "doc_id", "parent_id": "cast(floor(doc_id / 2) as bigint)", "title": _LINE, "path": "concat(lang, '/', source, '/', cast(doc_id as string))",
     "word": "case " + " ".join(f"when doc_id % 6 = {i} then '{w}'" for i, w in enumerate(WORDS)) + " end",
@@ -221,7 +221,7 @@ def trade(spark, sf):
     return lines.join(nations, "l_orderkey").join(suppliers, "l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-CITES = View("documents", {"src": "doc_id", "dst": "cast(floor(doc_id / 2) as bigint)", "weight": "cast(n_chars as double)"}, "n_chars > 600")
+CITES = View("documents", {"src": "doc_id", "dst": "cast(floor(doc_id / 2) as bigint)", "weight": "cast(n_chars as double)"})
 
 
 @query("graph_degrees", ctes(t=TRADE_SQL) + """,

@@ -168,7 +168,7 @@ def register_alarms(registry: FunctionRegistry) -> None:
         "parse_substation_events": flagged,
         "assess_substation_event_chain": lambda repo, event_text, **_: alarms.judge(alarms.chain_features(flagged(repo, event_text))),
         "search_substation_evidence": lambda repo, query, limit=8, **_: evidence.scored_searches(
-            repo.df("EvidenceChunk"), [(query, "")], False, max(1, min(int(limit or 8), 8))),
+            repo.df("EvidenceChunk"), [(query, "")], False, int(limit or 8)),
         "prepare_substation_answer_context": lambda repo, query, limit_evidence=5, **_: evidence.answer_context(repo.df("EvidenceChunk"), query, int(limit_evidence or 5)),
     }
     for name, fn in functions.items():

@@ -35,8 +35,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000
             best = _relax(best, arcs)
         best = cut_lineage(best)
         if best.filter("fresh").isEmpty():
-            break
-    return best.drop("fresh")
+            return best.drop("fresh")
+    raise RuntimeError(f"routes still improve after {max_rounds} rounds")
 
 
 def _relax(best: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -69,6 +69,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if (state["n"], state["h"]) == before:
             break
         before = (state["n"], state["h"])
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     parents = links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_root"))
     return nodes.join(parents, "node", "left").select(
         "node", F.least(F.coalesce("_root", "node"), F.col("node")).alias("component")
@@ -184,6 +186,10 @@ def pagerank(
             if change < tolerance * total:
                 return fresh.select("node", "rank")
         ranks = fresh.drop("_old")
+    if tolerance > 0 and iterations:
+        change = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+        if change >= tolerance * total:
+            raise RuntimeError(f"ranks still change by {change} after {iterations} rounds")
     return ranks.select("node", "rank")
 
 
@@ -205,6 +211,6 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = own.select(F.col("node").alias("other"), F.col("node").alias("label"))
     for _ in range(rounds):
         votes = arcs.join(labels, "other").groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        best = votes.groupBy("node").agg(F.max(F.struct(F.col("weight"), (-F.col("label")).alias("neg"))).alias("_b"))
-        labels = cut_lineage(best.select(F.col("node").alias("other"), (-F.col("_b.neg")).alias("label")))
+        best = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("weight"), F.col("label"))).alias("label"))
+        labels = cut_lineage(best.select(F.col("node").alias("other"), "label"))
     return labels.select(F.col("other").alias("node"), F.col("label").alias("community"))

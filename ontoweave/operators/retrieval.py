@@ -135,20 +135,20 @@ def recall(chunks: DataFrame, query: str, tokens: list[str], anchors: list[str])
     phrase or two of them. ``chunks``: chunk_id, title, path, category, heading, content.
     """
     hay = F.concat_ws(" ", "title", "path", "category", "heading", "content")
-    ranked = bm25(chunks.withColumn("_hay", hay), "_hay", tokens[:8], "_bm25")
+    ranked = bm25(chunks.withColumn("_hay", hay), "_hay", tokens, "_bm25")
     flags = computed_once(
         ranked, _matched=_sum([F.when(F.col("_hay").contains(t), 1.0).otherwise(0.0) for t in tokens]),
         _exact=F.col("_hay").contains(query),
     )
     bonus = F.col("_matched") * 3 + F.when(F.col("_exact"), 20.0).otherwise(0.0)
     full = F.when(F.col("_bm25") > 0, 12.0 + F.greatest(F.lit(0.0), 8.0 - F.col("_bm25")) + bonus).otherwise(0.0)
-    in_title = [F.when(F.col("title").contains(t) | F.col("path").contains(t), 8.0 + bonus).otherwise(0.0) for t in [query, *tokens][:8]]
+    in_title = [F.when(F.col("title").contains(t) | F.col("path").contains(t), 8.0 + bonus).otherwise(0.0) for t in dict.fromkeys([query, *tokens])]
     parts = [full, *in_title]
     sources = [F.when(F.col("_bm25") > 0, "full_text"), F.when(_sum(in_title) > 0, "title")]
     if len(anchors) >= 2:
         held = reduce(lambda a, b: a & b, [
             F.col("content").contains(a) | F.col("heading").contains(a) | F.col("title").contains(a) | F.col("path").contains(a)
-            for a in anchors[:4]
+            for a in anchors
         ])
         parts.append(F.when(held, 16.0 + bonus).otherwise(0.0))
         sources.append(F.when(held, "anchored"))
@@ -166,13 +166,13 @@ def source_histogram(hits: DataFrame) -> DataFrame:
 
 
 def rerank(hits: DataFrame, profile: list[tuple[str, str, float]], recall_order: list[Column]) -> DataFrame:
-    """Documents ranked by profile terms: (term, kind, score), best 20 used.
+    """Documents ranked by profile terms: (term, kind, score).
 
     Per hit every term counts once, where it is found first (title, heading,
     snippet, content). Per document the first recalled hit counts fully, further
     hits a quarter of their score and half of their importance.
     """
-    terms = profile[:PROFILE_TERMS]
+    terms = profile
 
     def place(term: str) -> Column:
         chain = None

@@ -94,7 +94,7 @@ class ObjectRepository:
     def query_by_id(self, name: str, value: Any) -> DataFrame:
         return self.query(name, {self.object(name).id_field: value}, limit=1)
 
-    def search(self, keyword: str, names: list[str] | None = None, limit: int = 20) -> DataFrame:
+    def search(self, keyword: str, names: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Keyword over the text properties of several objects, as (object, id, matched fields)."""
         hits = []
         for name in names or list(self.ontology.objects):
@@ -103,7 +103,8 @@ class ObjectRepository:
             if text:
                 found = flt.search_text(rows, keyword, text, name)
                 hits.append(found.select("_object_type", F.col(spec.id_field).cast("string").alias("id"), "_matched_field"))
-        return profile.union_all(hits).limit(limit)
+        found = profile.union_all(hits)
+        return found if limit is None else found.orderBy("_object_type", "id").limit(limit)
 
     def query_links(self, link_name: str, filters: dict[str, Any] | None = None, how: str = "inner") -> DataFrame:
         link = self.ontology.links[link_name]
