@@ -67,7 +67,7 @@ SERIES = f"""sk AS (SELECT document_id, {SERIES_KEY} AS k, {TITLE_KEY} AS t FROM
 series AS (SELECT a.document_id AS source_document_id, b.document_id AS target_document_id, CASE WHEN a.t = b.t THEN 'same_matter' ELSE 'same_series' END AS relation_type, CASE WHEN a.t = b.t THEN 0.78 ELSE 0.68 END::DOUBLE AS confidence, 'rule' AS method
   FROM sk a JOIN ss USING (k) JOIN sk b ON b.k = a.k AND a.document_id <> b.document_id)"""
 NUMBERS = f"""nn AS (SELECT DISTINCT document_id, regexp_replace(number, '号$', '') AS n FROM c), ng AS (SELECT n FROM nn GROUP BY 1 HAVING count(*) BETWEEN 1 AND 5),
-numbers AS (SELECT c.document_id AS source_document_id, nn.document_id AS target_document_id, {_type_sql(AROUND.format(n="nn.n"), 'cites_by_doc_no')} AS relation_type, 0::DOUBLE AS confidence, 'doc_number' AS method
+numbers AS (SELECT c.document_id AS source_document_id, nn.document_id AS target_document_id, {_type_sql("(c.title || chr(10) || " + AROUND.format(n="nn.n") + ")", 'cites_by_doc_no')} AS relation_type, 0::DOUBLE AS confidence, 'doc_number' AS method
   FROM c JOIN nn ON nn.n = regexp_replace(c.cited, '号$', '') JOIN ng ON ng.n = nn.n WHERE c.document_id <> nn.document_id),
 numbered AS (SELECT source_document_id, target_document_id, relation_type, {_map_sql('relation_type', docgraph.TYPE_CONFIDENCE, 0.74)}::DOUBLE AS confidence, method FROM numbers)"""
 TITLES = f"""tk AS (SELECT document_id, path, title, {TITLE_KEY} AS title_key FROM c),

@@ -142,13 +142,17 @@ def series_relations(docs: DataFrame) -> DataFrame:
 
 
 def number_citations(docs: DataFrame) -> DataFrame:
-    """Citations by document number. ``docs``: document_id, own_numbers, cited_numbers, relation_text."""
-    own = docs.select("document_id", F.explode(F.slice("own_numbers", 1, 6)).alias("number")).distinct()
+    """Citations by document number, typed by the title and the words around it.
+
+    ``docs``: document_id, title, own_numbers, cited_numbers, relation_text.
+    """
+    own = docs.select("document_id", F.explode("own_numbers").alias("number")).distinct()
     sizes = own.groupBy("number").agg(F.count("*").alias("_n")).filter(F.col("_n").between(*NUMBER_GROUP)).select("number")
     targets = own.join(sizes, "number", "left_semi").withColumnRenamed("document_id", "target_document_id")
-    cited = docs.select(F.col("document_id").alias("source_document_id"), "relation_text", F.explode("cited_numbers").alias("number"))
+    cited = docs.select(F.col("document_id").alias("source_document_id"), "title", "relation_text", F.explode("cited_numbers").alias("number"))
     j = cited.join(targets, "number").filter("source_document_id <> target_document_id")
-    kind = relation_type(F.lit(""), context_around(F.col("relation_text"), F.col("number")), "cites_by_doc_no")
+    wording = F.concat_ws("\n", "title", context_around(F.col("relation_text"), F.col("number")))
+    kind = relation_type(F.lit(""), wording, "cites_by_doc_no")
     staged = j.withColumn("relation_type", kind)
     return staged.select(
         "source_document_id", "target_document_id", "relation_type",

@@ -13,6 +13,7 @@ from ontoweave.operators.grouping import last_wins
 START = "开始"
 COMPLETED, FAILED, NOT_STARTED = "completed", "failed", "not_started"
 INTERLOCK_NORMAL, INTERLOCK_TRIPPED = "正常", "触发"
+SYNC_NODES = ["同步触发", "泵浦触发准备", "开关触发准备"]
 READINESS_CHECKS = {
     "诊断设备发射准备": "diagnostics_ready",
     "测量打靶运动准备": "measurement_ready",

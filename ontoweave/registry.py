@@ -8,10 +8,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoweave.functions.text import stable_id
 from ontoweave.model import Function
-from ontoweave.operators import guards
+from ontoweave.operators import guards, profile
 from ontoweave.plans import emergency, launch, toll
 from ontoweave.repository import ObjectRepository
+from ontoweave.session import cut_lineage
 
 _CASTS = {"int": int, "float": float, "str": str, "bool": lambda v: v if isinstance(v, bool) else str(v).lower() in ("1", "true", "yes")}
 
@@ -138,6 +140,72 @@ def register_launch(registry: FunctionRegistry) -> None:
         runs = repo.query("FlowNode", {"mission_id": mission_id})
         return launch.check_readiness(mission, runs, ["node_id"])
 
+    def mission_of(repo, mission_id):
+        return repo.query("LaunchMission", {"mission_id": mission_id})
+
+    def run_node(repo, mission_id, node_name, beam_ids="", **_):
+        """Outcome of one node; a run row is stored unless the interlock blocks it. Run ids of a mission ascend."""
+        runs = repo.query("FlowNode", {"mission_id": mission_id})
+        known = repo.query("NodeDefinition", {"node_name": node_name}).dropDuplicates(["node_name"])
+        wanted = known.select(F.lit(mission_id).alias("mission_id"), "node_name")
+        outcome = launch.execute_nodes(mission_of(repo, mission_id), wanted, repo.df("FlowEdge"), runs, ["node_id"])
+        number = F.lpad(F.lit(str(runs.count() + 1)), 8, "0")
+        names = [c for c in known.columns if c not in ("mission_id", "status", "detail")]
+        staged = outcome.join(known.select(*names), "node_name").withColumns({
+            "node_id": F.concat_ws("-", F.lit("N"), "mission_id", number),
+            "preconditions_met": F.when(F.col("detail") == "", "通过").otherwise(F.concat(F.lit("未满足: "), "detail")),
+            "error_message": F.when(F.col("detail") == "", "").otherwise(F.concat(F.lit("前置节点未完成: "), "detail")),
+            "input_params": F.to_json(F.struct(F.lit(beam_ids or "").alias("beam_ids"))),
+        })
+        if "subsystem_type" in known.columns:
+            staged = staged.withColumn("subsystem_id", F.col("subsystem_type"))
+        staged = cut_lineage(staged)
+        repo.insert("FlowNode", staged.filter(F.col("status") != "blocked"))
+        return staged
+
+    def run_nodes(repo, mission_id, node_names, **_):
+        """Each name in turn: a later one sees what the earlier ones completed."""
+        names = [n.strip() for n in node_names.split(",") if n.strip()]
+        return profile.union_all([run_node(repo, mission_id, n) for n in names])
+
+    def subsystem(repo, subsystem_id, **_):
+        key = repo.object("SubsystemConfig").id_field
+        by = F.when(F.col(key) == subsystem_id, 0).when((F.col("subsystem_type") == subsystem_id) | (F.col("name") == subsystem_id), 1)
+        return repo.df("SubsystemConfig").withColumn("_by", by).filter("_by is not null").orderBy("_by", key).limit(1).drop("_by")
+
+    def node_status(repo, mission_id, node_name, **_):
+        wanted = repo.spark.createDataFrame([(mission_id, node_name)], "mission_id string, node_name string")
+        return launch.node_status(wanted, repo.query("FlowNode", {"mission_id": mission_id}), ["node_id"])
+
+    def stored(repo, name, rows):
+        repo.insert(name, rows)
+        return rows
+
+    def reserve(repo, mission_id, subsystem_types, **_):
+        wanted = repo.spark.createDataFrame([(mission_id, subsystem_types)], "mission_id string, subsystem_types string")
+        return stored(repo, "ServiceReservation", launch.reserve_subsystems(wanted))
+
+    def interlock(repo, mission_id, **_):
+        checks = [F.lit(True).alias(c) for c in ("shield_door_locked", "personnel_count_zero", "vacuum_normal")]
+        return mission_of(repo, mission_id).select("mission_id", F.coalesce("safety_interlock", F.lit("未知")).alias("interlock_status"), *checks)
+
+    def trip(repo, mission_id, trigger_type, **_):
+        return stored(repo, "SafetyInterlockEvent", launch.interlock_events(mission_of(repo, mission_id).select("mission_id"), trigger_type))
+
+    def emergency(repo, mission_id, action_type, reason="", **_):
+        rows = repo.spark.createDataFrame([(mission_id, action_type, reason or "")], "mission_id string, action_type string, trigger_reason string")
+        named = rows.withColumns({
+            "action_id": F.concat(F.lit("EA"), stable_id(F.concat_ws("|", *rows.columns), 8)), "target_subsystem": launch.emergency_target(F.col("action_type")),
+        })
+        return stored(repo, "EmergencyAction", named)
+
+    functions = {
+        "execute_node": run_node, "execute_parallel_nodes": run_nodes, "get_subsystem": subsystem, "get_node_status": node_status,
+        "trigger_sync": lambda repo, mission_id, **_: run_nodes(repo, mission_id, ",".join(launch.SYNC_NODES)),
+        "reserve_subsystems": reserve, "check_interlock": interlock, "trigger_interlock": trip, "emergency_action": emergency,
+    }
+    for name, fn in functions.items():
+        registry.register(name, fn)
     registry.register("get_next_executable_nodes", frontier)
     registry.register("check_readiness", readiness)
     registry.register("get_flow_edges", lambda repo, phase="", from_node="", **_: launch.flow_edges(repo.df("FlowEdge"), phase or "", from_node or ""))

@@ -82,3 +82,30 @@ def test_removed_documents_leave_every_table(spark):
     }
     left = remove_documents(tables, spark.createDataFrame([("b",)], "document_id string"))
     assert left["documents"].count() == 1 and [tuple(r) for r in left["relations"].collect()] == [("c", "d")]
+
+
+def test_launch_functions(spark):
+    repo = ObjectRepository(spark, ontology_from_dict({"objects": _objects(
+        LaunchMission="mission_id str, safety_interlock str", FlowEdge="edge_id str, from_node str, to_node str, phase str",
+        FlowNode="node_id str, mission_id str, node_name str, status str, command str, preconditions_met str, error_message str",
+        NodeDefinition="node_name str, phase str, subsystem_type str, command str", SubsystemConfig="subsystem_id str, subsystem_type str, name str",
+        ServiceReservation="reservation_id str, mission_id str, subsystem_type str, status str", SafetyInterlockEvent="event_id str, mission_id str, trigger_type str, status str",
+        EmergencyAction="action_id str, mission_id str, action_type str, target_subsystem str, trigger_reason str",
+    ), "functions": {}}))
+    _rows(spark, repo, "LaunchMission", ("M1", "正常"), ("M2", "触发"))
+    _rows(spark, repo, "FlowEdge", ("E1", "开始", "同步触发", "p"), ("E2", "同步触发", "泵浦触发准备", "p"), ("E3", "缺", "开关触发准备", "p"))
+    _rows(spark, repo, "NodeDefinition", *[(n, "p", "S", f"run {n}") for n in ("同步触发", "泵浦触发准备", "开关触发准备")])
+    _rows(spark, repo, "SubsystemConfig", ("S1", "泵浦", "S2"), ("S2", "同步", "x"))
+    reg = full_registry(repo)
+    assert reg.call("get_subsystem", subsystem_id="S2").first()["subsystem_type"] == "同步" and reg.call("get_subsystem", subsystem_id="泵浦").first()["subsystem_id"] == "S1"
+    assert reg.call("get_node_status", mission_id="M1", node_name="同步触发").first()["status"] == "not_started"
+    early = reg.call("execute_node", mission_id="M1", node_name="泵浦触发准备").first()
+    assert (early["status"], early["preconditions_met"]) == ("failed", "未满足: 同步触发")
+    states = {r["node_name"]: r["status"] for r in reg.call("trigger_sync", mission_id="M1").collect()}
+    assert states == {"同步触发": "completed", "泵浦触发准备": "completed", "开关触发准备": "failed"}
+    assert reg.call("get_node_status", mission_id="M1", node_name="泵浦触发准备").first()["status"] == "completed" and repo.count("FlowNode") == 4
+    assert reg.call("execute_parallel_nodes", mission_id="M2", node_names="同步触发").first()["status"] == "blocked" and repo.count("FlowNode") == 4
+    assert reg.call("reserve_subsystems", mission_id="M1", subsystem_types="泵浦, 同步").count() == 2 == repo.count("ServiceReservation")
+    assert reg.call("check_interlock", mission_id="M2").first()["interlock_status"] == "触发"
+    assert reg.call("trigger_interlock", mission_id="M1", trigger_type="人工").count() == 1 == repo.count("SafetyInterlockEvent")
+    assert reg.call("emergency_action", mission_id="M1", action_type="能量泄放").first()["target_subsystem"] == "泵浦分系统" and repo.count("EmergencyAction") == 1
