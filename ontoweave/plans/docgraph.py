@@ -367,42 +367,38 @@ def semantic_relations(
 ) -> DataFrame:
     """Nearest documents of the focus documents by cosine of unit vectors.
 
-    ``vectors`` and ``focus``: document_id, vector. The focus set (changed
-    documents of an incremental run) is scanned in blocks of ``block_rows``
-    unit vectors; each pass multiplies the block with every Arrow batch of the
-    corpus and keeps only the best rows.
+    ``vectors`` and ``focus``: document_id, vector. Both sides are dealt into
+    blocks of about ``block_rows`` rows; each pair of blocks is one matrix
+    product in one task, which keeps the best ``targets`` of each of its rows.
     """
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-focus.count() // block_rows))
-    numbered = focus.withColumn("_block", F.pmod(F.xxhash64("document_id"), F.lit(blocks)))
-    parts = []
-    for block in range(blocks):
-        rows = numbered.filter(F.col("_block") == block).select("document_id", "vector").toPandas()
-        if rows.empty:
-            continue
-        ids = rows["document_id"].to_numpy()
-        matrix = np.stack(rows["vector"].to_numpy()).astype("float64")
-
-        def nearest(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if batch.empty:
-                    continue
-                sims = matrix @ np.stack(batch["vector"].to_numpy()).astype("float64").T
-                other = batch["document_id"].to_numpy()
-                i, j = np.nonzero((sims >= threshold) & (ids[:, None] != other[None, :]))
-                frame = pd.DataFrame({"source_document_id": ids[i], "target_document_id": other[j], "similarity": sims[i, j]})
-                order = ["source_document_id", "similarity", "target_document_id"]
-                yield frame.sort_values(order, ascending=[True, False, False]).groupby("source_document_id").head(targets)
-
-        kind = vectors.schema["document_id"].dataType.simpleString()
-        parts.append(vectors.select("document_id", "vector").mapInPandas(
-            nearest, f"source_document_id {kind}, target_document_id {kind}, similarity double"
-        ))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    def dealt(df: DataFrame, own: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block_rows))
+        return df.select("document_id", "vector", F.pmod(F.xxhash64("document_id"), F.lit(n)).alias(own)), n
+
+    def spread_over(df: DataFrame, other: str, n: int) -> DataFrame:
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+
+    asked, n_asked = dealt(focus, "_f")
+    corpus, n_corpus = dealt(vectors, "_c")
+    kind = vectors.schema["document_id"].dataType.simpleString()
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"source_document_id": [], "target_document_id": [], "similarity": []})
+        sims = np.stack(left["vector"].to_numpy()).astype("float64") @ np.stack(right["vector"].to_numpy()).astype("float64").T
+        ids, other = left["document_id"].to_numpy(), right["document_id"].to_numpy()
+        i, j = np.nonzero((sims >= threshold) & (ids[:, None] != other[None, :]))
+        frame = pd.DataFrame({"source_document_id": ids[i], "target_document_id": other[j], "similarity": sims[i, j]})
+        order = ["source_document_id", "similarity", "target_document_id"]
+        return frame.sort_values(order, ascending=[True, False, False]).groupby("source_document_id").head(targets)
+
+    found = (
+        spread_over(asked, "_c", n_corpus).groupBy("_f", "_c").cogroup(spread_over(corpus, "_f", n_asked).groupBy("_f", "_c"))
+        .applyInPandas(nearest, f"source_document_id {kind}, target_document_id {kind}, similarity double")
+    )
     best = top_per_group(found, ["source_document_id"], [F.col("similarity").desc(), F.col("target_document_id").desc()], targets)
     return best.select(
         "source_document_id", "target_document_id", F.lit("semantically_related").alias("relation_type"),
