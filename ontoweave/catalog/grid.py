@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ontoweave.catalog.base import View, ctes, query, sql_haversine, sql_round
+from ontoweave.functions.numeric import haversine, with_rounded
+from ontoweave.operators.geo import EARTH_M
 from ontoweave.plans import grid, schemes
 from ontoweave.session import cut_lineage
 
@@ -299,7 +301,7 @@ SCHEME_REQUESTS = View("supplier", {
     "user_importance_level": "case when s_acctbal < 2000 then '一级' when s_acctbal < 6000 then '二级' else '普通' end",
     "load_level": "case when s_nationkey < 10 then '一级负荷' when s_nationkey < 18 then '二级负荷' else '三级负荷' end",
     "requested_supply_mode": "case when s_nationkey = 20 then '双电源' when s_nationkey = 21 then '双回路' else '' end",
-    "requested_power_source_count": "case when s_nationkey = 12 then 3 else 1 end", "enable_new_line": "s_nationkey > 4",
+    "requested_power_source_count": "case when s_nationkey = 12 then 3 when s_nationkey = 13 then 4 else 1 end", "enable_new_line": "s_nationkey > 4",
     "force_new_line": "s_nationkey = 7",
 })
 MODE_RULES = View("nation", {
@@ -408,21 +410,38 @@ def scheme_check_capacity(spark, sf):
     )
 
 
-TRANSFERS = f"""over AS (SELECT DISTINCT request_id, feeder_id AS source, single_route_capacity_kva AS need FROM checks WHERE moves),
+# An expansion also asks to relieve its original feeder.
+ORIGINAL_KEY = "request_id * 15 + 2"
+TRANSFERS = f"""og AS (SELECT q.request_id, p.point_id AS access_point_id, {sql_round(sql_haversine('q.lng', 'q.lat', 'p.lng', 'p.lat', EARTH), 1)} AS distance_m, p.feeder_id, f.feeder_substation_id AS substation_id,
+  f.feeder_busbar_id AS busbar_id, f.feeder_transformer_id AS transformer_id, cap.need AS single_route_capacity_kva
+  FROM q JOIN cap USING (request_id) JOIN p ON p.point_id = q.{ORIGINAL_KEY} JOIN f ON f.feeder_id = p.feeder_id WHERE business_type = '增容'),
+over AS (SELECT request_id, feeder_id AS source, single_route_capacity_kva AS need FROM checks WHERE moves UNION SELECT request_id, feeder_id, single_route_capacity_kva FROM og),
 tie AS (SELECT source_feeder_id AS source, target_feeder_id AS target, switch_id FROM w UNION ALL SELECT target_feeder_id, source_feeder_id, switch_id FROM w),
 mv AS (SELECT request_id, o.source, tie.target, switch_id, least(0.99::DOUBLE, current_load_rate + need / 50000) AS post FROM over o JOIN tie USING (source) JOIN f ON f.feeder_id = tie.target WHERE feeder_available_kva >= need)"""
 
 
-def _feeder_moves(checks, feeders, spark, sf):
-    over = checks.filter("requires_load_transfer").select("request_id", F.col("feeder_id").alias("source"), "single_route_capacity_kva").distinct()
+def _originals(spark, sf, state):
+    requests, _, sized, _, feeders, _ = state
+    asked = requests.filter("business_type = '增容'").select("request_id", "lng", "lat", F.expr(ORIGINAL_KEY).alias("point_id"))
+    points = POINTS.df(spark, sf).select("point_id", "feeder_id", F.col("lng").alias("_lng"), F.col("lat").alias("_lat"))
+    placed = asked.join(points, "point_id").join(sized, "request_id").join(feeders, "feeder_id")
+    return with_rounded(placed, 1, distance_m=haversine(F.col("lng"), F.col("lat"), F.col("_lng"), F.col("_lat"), EARTH_M)).select(
+        "request_id", F.col("point_id").alias("access_point_id"), "distance_m", "feeder_id", F.col("feeder_substation_id").alias("substation_id"),
+        F.col("feeder_busbar_id").alias("busbar_id"), F.col("feeder_transformer_id").alias("transformer_id"), "single_route_capacity_kva",
+    )
+
+
+def _feeder_moves(spark, sf, state):
+    checks, feeders = state[3], state[4]
+    pressed = checks.filter("requires_load_transfer").unionByName(_originals(spark, sf, state), allowMissingColumns=True)
+    over = pressed.select("request_id", F.col("feeder_id").alias("source"), "single_route_capacity_kva").distinct()
     ties = grid.ties(SWITCHES.df(spark, sf), "source_feeder_id", "target_feeder_id")
     return cut_lineage(schemes.feeder_transfer_plans(over, ties, feeders))
 
 
 @query("scheme_feeder_transfers", SCHEME_CTES + f", {TRANSFERS} SELECT request_id, source, target, switch_id, {sql_round('post', 3)} AS post_transfer_load_rate, post <= 0.8 AS is_feasible FROM mv")
 def scheme_feeder_transfers(spark, sf):
-    _, _, _, checks, feeders, _ = _scheme_state(spark, sf)
-    return _feeder_moves(checks, feeders, spark, sf)
+    return _feeder_moves(spark, sf, _scheme_state(spark, sf))
 
 
 @query("scheme_transformer_transfers", SCHEME_CTES + f""",
@@ -449,8 +468,8 @@ LINE_CTES = ctes(q=SCHEME_REQUESTS, r=MODE_RULES, p=POINTS, f=SCHEME_FEEDERS, t=
 
 
 def _new_lines(spark, sf, state):
-    requests, _, sized, checks, feeders, transformers = state
-    moves = _feeder_moves(checks, feeders, spark, sf)
+    requests, _, sized, checks, _, transformers = state
+    moves = _feeder_moves(spark, sf, state)
     lines = schemes.decide_new_line(
         requests.join(sized, "request_id"), checks, moves, SUBSTATIONS.df(spark, sf), BAYS.df(spark, sf), transformers, threshold_kva=1500.0
     )
@@ -475,10 +494,12 @@ FROM {joins} WHERE a0.minimum_route_count = {k}""" + "".join(f" AND {c}" for c i
 
 
 RANKED = f"""res AS (SELECT DISTINCT request_id, source FROM mv WHERE post <= 0.8),
-us AS (SELECT * FROM checks WHERE usable OR (moves AND ((request_id, feeder_id) IN (SELECT request_id, source FROM res) OR (request_id, transformer_id) IN (SELECT request_id, source FROM res)))),
+us AS (SELECT request_id, access_point_id, distance_m, substation_id, busbar_id FROM checks WHERE usable OR (moves AND ((request_id, feeder_id) IN (SELECT request_id, source FROM res) OR (request_id, transformer_id) IN (SELECT request_id, source FROM res)))
+  UNION ALL SELECT request_id, access_point_id, distance_m, substation_id, busbar_id FROM og WHERE ((request_id, feeder_id) IN (SELECT request_id, source FROM res) OR (request_id, transformer_id) IN (SELECT request_id, source FROM res))
+    AND (request_id, access_point_id) NOT IN (SELECT request_id, access_point_id FROM checks)),
 uk AS (SELECT us.request_id, access_point_id, distance_m, minimum_route_count, required_supply_mode, CASE WHEN required_different_substations THEN 's' || substation_id WHEN required_different_busbars THEN 'b' || substation_id || '/' || busbar_id ELSE 'p' || access_point_id END AS site,
   row_number() OVER (PARTITION BY us.request_id ORDER BY distance_m, access_point_id) AS n FROM us JOIN dec USING (request_id)),
-allc AS ({_combos_sql(1)} UNION ALL {_combos_sql(2)} UNION ALL {_combos_sql(3)}
+allc AS ({_combos_sql(1)} UNION ALL {_combos_sql(2)} UNION ALL {_combos_sql(3)} UNION ALL {_combos_sql(4)}
 UNION ALL SELECT nl.request_id, 'new_substation_outgoing_line', '新出线', '', coalesce(minimum_route_count, 1), 0, NULL FROM nl LEFT JOIN dec USING (request_id) WHERE is_triggered AND is_feasible),
 sc AS (SELECT *, greatest(0::DOUBLE, 100 - dist / 20) AS ds, CASE WHEN scheme_source_type = 'existing_access_point' THEN 70::DOUBLE ELSE 80::DOUBLE END AS cs,
   (CASE route_count WHEN 1 THEN 60 WHEN 2 THEN 85 WHEN 3 THEN 95 ELSE 60 END + CASE operation_mode WHEN '双电源' THEN 95 WHEN '双回路' THEN 85 WHEN '单电源' THEN 65 ELSE 75 END)::DOUBLE / 2 AS rs FROM allc),
@@ -486,12 +507,17 @@ sd AS (SELECT *, {sql_round('ds * 0.35::DOUBLE + cs * 0.35::DOUBLE + rs * 0.3::D
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY total DESC, o NULLS LAST) AS INTEGER) AS rank FROM sd)"""
 
 
+def _ranked(spark, sf, state):
+    moves, lines = _new_lines(spark, sf, state)
+    pool = schemes.with_original_supplies(state[3], _originals(spark, sf, state), moves)
+    return schemes.rank_schemes(schemes.usable_points(pool, moves), state[1], lines, RULE)
+
+
 @query("scheme_ranked", LINE_CTES + f", {RANKED}" + f"""
 SELECT request_id, scheme_source_type, operation_mode, point_ids, CAST(route_count AS INTEGER) AS route_count, dist AS total_supply_distance_m, {sql_round('ds', 2)} AS distance_score, {sql_round('rs', 2)} AS reliability_score, total AS total_score, cs AS available_capacity_score, rank FROM ranked WHERE rank <= 3""")
 def scheme_ranked(spark, sf):
     state = _scheme_state(spark, sf)
-    moves, lines = _new_lines(spark, sf, state)
-    return schemes.rank_schemes(schemes.usable_points(state[3], moves), state[1], lines, RULE)
+    return _ranked(spark, sf, state)
 
 
 @query("scheme_no_solution", LINE_CTES + f", {RANKED}" + """,
@@ -501,6 +527,4 @@ x AS (SELECT lost.request_id, unnest(CASE WHEN ch.request_id IS NULL THEN [NULL]
 SELECT request_id, coalesce(c, '未形成满足全部约束的候选接入方案') AS failed_constraint, count(c) AS failures FROM x GROUP BY ALL""")
 def scheme_no_solution(spark, sf):
     state = _scheme_state(spark, sf)
-    moves, lines = _new_lines(spark, sf, state)
-    ranked = schemes.rank_schemes(schemes.usable_points(state[3], moves), state[1], lines, RULE)
-    return schemes.no_scheme_conclusions(state[0], ranked, state[3])
+    return schemes.no_scheme_conclusions(state[0], _ranked(spark, sf, state), state[3])

@@ -230,9 +230,27 @@ def usable_points(checks: DataFrame, transfers: DataFrame) -> DataFrame:
     return checks.filter("is_directly_usable").unionByName(rescued)
 
 
-def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_routes: int = 3) -> DataFrame:
+def with_original_supplies(checks: DataFrame, originals: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Checked points and the original supply points of expansions that a feasible transfer relieves.
+
+    ``originals``: the point columns of ``checks`` (request_id, access_point_id, distance_m, feeder_id,
+    substation_id, busbar_id, transformer_id, single_route_capacity_kva), one row per original point.
+    A point that was checked anyway stays as it was checked.
+    """
+    relieved = transfers.filter("is_feasible").select("request_id", F.col("source").alias("_unit")).distinct()
+    fresh = originals.join(checks.select("request_id", "access_point_id"), ["request_id", "access_point_id"], "left_anti")
+    helped = [fresh.join(relieved.withColumnRenamed("_unit", unit), ["request_id", unit], "left_semi") for unit in ("feeder_id", "transformer_id")]
+    added = helped[0].unionByName(helped[1]).dropDuplicates(["request_id", "access_point_id"]).withColumns({
+        "failed_constraints": F.lit("original_source_requires_transfer"), "is_directly_usable": F.lit(False), "requires_load_transfer": F.lit(True),
+    })
+    return checks.unionByName(added.select(*[c for c in added.columns if c in checks.columns]), allowMissingColumns=True)
+
+
+def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_routes: int | None = None) -> DataFrame:
     """Independent point combinations per request, without the ones no ranking can keep.
 
+    ``max_routes`` is the largest route count among the decisions; without it that is asked from them (one row).
+
     Points of one scheme must lie at different sites: substations, busbars or,
     without a demand, just different points. The score falls with the total
     distance and ties go to the nearer points, so a point behind ``keep``
@@ -241,6 +259,8 @@ def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_ro
     both loses none of the best ``keep`` schemes and bounds the combinations
     per request by a constant.
     """
+    if max_routes is None:
+        max_routes = decisions.agg(F.max("minimum_route_count")).first()[0] or 1
     site = F.when(F.col("required_different_substations"), F.concat(F.lit("s"), "substation_id")).when(
         F.col("required_different_busbars"), F.concat(F.lit("b"), F.concat_ws("/", "substation_id", "busbar_id"))
     ).otherwise(F.concat(F.lit("p"), "access_point_id"))
@@ -249,8 +269,10 @@ def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_ro
         F.struct("distance_m", "access_point_id").alias("place"),
     )
     near = top_per_group(placed, ["request_id", "site"], [F.col("place")], keep).drop("rank")
-    sites = near.groupBy("request_id", "site").agg(F.min("place").alias("_best"))
-    kept_sites = top_per_group(sites, ["request_id"], [F.col("_best")], keep + max_routes - 1).select("request_id", "site")
+    sites = near.groupBy("request_id", "site").agg(F.min("place").alias("_best"), F.max("minimum_route_count").alias("_routes"))
+    kept_sites = top_per_group(sites, ["request_id"], [F.col("_best")], keep + max_routes - 1).filter(
+        F.col("rank") <= keep + F.col("_routes") - 1
+    ).select("request_id", "site")
     pool = near.join(kept_sites, ["request_id", "site"], "left_semi")
     heads = pool.select(
         "request_id", "minimum_route_count", "required_supply_mode", F.array("place").alias("places"), F.array("site").alias("sites")
