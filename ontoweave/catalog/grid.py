@@ -509,7 +509,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY to
 
 def _ranked(spark, sf, state):
     moves, lines = _new_lines(spark, sf, state)
-    pool = schemes.with_original_supplies(state[3], _originals(spark, sf, state), moves)
+    pool = cut_lineage(schemes.with_original_supplies(state[3], _originals(spark, sf, state), moves))
     return schemes.rank_schemes(schemes.usable_points(pool, moves), state[1], lines, RULE)
 
 

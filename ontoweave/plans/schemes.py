@@ -11,6 +11,7 @@ from ontoweave.functions.numeric import with_rounded
 from ontoweave.operators.grouping import first_wins
 from ontoweave.operators.ordering import top_per_group
 from ontoweave.plans.grid import access_points_in_range
+from ontoweave.session import cut_lineage
 
 # Fixed values of the domain.
 CHECKS = [
@@ -220,14 +221,19 @@ def decide_new_line(
     )
 
 
+def _relieved(points: DataFrame, transfers: DataFrame) -> DataFrame:
+    """``points`` with ``_relieved``: a feasible transfer takes load off their feeder or transformer."""
+    moved = transfers.filter("is_feasible").groupBy("request_id", F.col("source").alias("_unit")).agg(F.lit(True).alias("_hit"))
+    for unit in ("feeder_id", "transformer_id"):
+        points = points.join(moved.withColumnsRenamed({"_unit": unit, "_hit": f"_by_{unit}"}), ["request_id", unit], "left")
+    hit = F.coalesce("_by_feeder_id", "_by_transformer_id", F.lit(False))
+    return points.withColumn("_relieved", hit).drop("_by_feeder_id", "_by_transformer_id")
+
+
 def usable_points(checks: DataFrame, transfers: DataFrame) -> DataFrame:
     """Directly usable points, plus those whose feeder or transformer has a feasible transfer."""
-    relieved = transfers.filter("is_feasible").select("request_id", F.col("source").alias("_unit")).distinct()
-    blocked = checks.filter("not is_directly_usable and requires_load_transfer")
-    rescued = blocked.join(relieved.withColumnRenamed("_unit", "feeder_id"), ["request_id", "feeder_id"], "left_semi") \
-        .unionByName(blocked.join(relieved.withColumnRenamed("_unit", "transformer_id"), ["request_id", "transformer_id"], "left_semi")) \
-        .distinct()
-    return checks.filter("is_directly_usable").unionByName(rescued)
+    found = _relieved(checks, transfers).filter("is_directly_usable or (requires_load_transfer and _relieved)")
+    return found.select(*checks.columns)
 
 
 def with_original_supplies(checks: DataFrame, originals: DataFrame, transfers: DataFrame) -> DataFrame:
@@ -237,10 +243,8 @@ def with_original_supplies(checks: DataFrame, originals: DataFrame, transfers: D
     substation_id, busbar_id, transformer_id, single_route_capacity_kva), one row per original point.
     A point that was checked anyway stays as it was checked.
     """
-    relieved = transfers.filter("is_feasible").select("request_id", F.col("source").alias("_unit")).distinct()
     fresh = originals.join(checks.select("request_id", "access_point_id"), ["request_id", "access_point_id"], "left_anti")
-    helped = [fresh.join(relieved.withColumnRenamed("_unit", unit), ["request_id", unit], "left_semi") for unit in ("feeder_id", "transformer_id")]
-    added = helped[0].unionByName(helped[1]).dropDuplicates(["request_id", "access_point_id"]).withColumns({
+    added = _relieved(fresh, transfers).filter("_relieved").dropDuplicates(["request_id", "access_point_id"]).withColumns({
         "failed_constraints": F.lit("original_source_requires_transfer"), "is_directly_usable": F.lit(False), "requires_load_transfer": F.lit(True),
     })
     return checks.unionByName(added.select(*[c for c in added.columns if c in checks.columns]), allowMissingColumns=True)
@@ -273,7 +277,7 @@ def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_ro
     kept_sites = top_per_group(sites, ["request_id"], [F.col("_best")], keep + max_routes - 1).filter(
         F.col("rank") <= keep + F.col("_routes") - 1
     ).select("request_id", "site")
-    pool = near.join(kept_sites, ["request_id", "site"], "left_semi")
+    pool = cut_lineage(near.join(kept_sites, ["request_id", "site"], "left_semi"))  # each level reads it
     heads = pool.select(
         "request_id", "minimum_route_count", "required_supply_mode", F.array("place").alias("places"), F.array("site").alias("sites")
     )
@@ -284,10 +288,10 @@ def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_ro
         grown = levels[-1].filter(F.col("minimum_route_count") > F.size("places")).join(extra, "request_id").filter(
             (F.col("_place") > F.element_at("places", -1)) & ~F.array_contains("sites", F.col("_site"))
         )
-        levels.append(grown.select(
+        levels.append(cut_lineage(grown.select(
             "request_id", "minimum_route_count", "required_supply_mode",
             F.concat("places", F.array("_place")).alias("places"), F.concat("sites", F.array("_site")).alias("sites"),
-        ))
+        )))
     whole = levels[0]
     for level in levels[1:]:
         whole = whole.unionByName(level)
