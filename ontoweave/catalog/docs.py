@@ -134,6 +134,14 @@ def search_source_histogram(spark, sf):
 PROFILE = [("thation", "topic", 60.0), ("the", "topic", 30.0), ("erhe", "short", 20.0), ("and", "topic", 12.0), ("theres", "quoted_theme", 40.0), ("2024年", "form", 9.0)]
 
 
+def _snippet_sql(rows: str, text: str, needles: list[str]) -> str:
+    """``hw``: the rows with the text around the first hit of any needle."""
+    first = ", ".join(f"nullif(strpos(clean, '{n}'), 0)" for n in needles)
+    return f"""sn0 AS (SELECT *, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS clean FROM {rows}),
+sn1 AS (SELECT *, greatest(coalesce(least({first}), 1) - 1 - 60, 0) AS st FROM sn0),
+hw AS (SELECT * EXCLUDE (clean, st), CASE WHEN st > 0 THEN '...' ELSE '' END || substr(clean, st + 1, 260) || CASE WHEN st + 260 < length(clean) THEN '...' ELSE '' END AS snippet FROM sn1)"""
+
+
 def _rerank_sql() -> str:
     place, weights = [], []
     for i, (term, kind, score) in enumerate(PROFILE):
@@ -142,7 +150,7 @@ def _rerank_sql() -> str:
     phrase = " + ".join(f"w{i} * {w!r}::DOUBLE" for i, w in enumerate(weights))
     imp = " + ".join(f"CASE WHEN w{i} > 0 THEN {w!r}::DOUBLE ELSE 0 END" for i, w in enumerate(weights))
     anchor = " + ".join(f"CASE WHEN w{i} > 0 THEN {w!r}::DOUBLE ELSE 0 END" for i, w in enumerate(weights) if PROFILE[i][1] in tx.ANCHOR_KINDS)
-    return f"""hw AS (SELECT *, substr(content, 1, 40) AS snippet FROM recalled),
+    return f"""{_snippet_sql('recalled', 'content', ["the thation", *RECALL_TOKENS])},
 hp AS (SELECT *, {', '.join(place)} FROM hw),
 hs AS (SELECT *, least(8::DOUBLE, ln(1 + score) * 1.5::DOUBLE) + {phrase} AS rel, {imp} AS imp, {anchor} AS anc, row_number() OVER (PARTITION BY document_id ORDER BY round(score, 6) DESC, ordinal) AS k FROM hp),
 dd AS (SELECT document_id, sum(rel) AS r, sum(imp) AS i, sum(anc) AS a, max(CASE WHEN k = 1 THEN rel END) AS r1, max(CASE WHEN k = 1 THEN imp END) AS i1, max(CASE WHEN k = 1 THEN anc END) AS a1, count(*) AS n FROM hs WHERE imp > 0 GROUP BY 1)
@@ -152,7 +160,7 @@ FROM dd WHERE i1 + 0.5 * (i - i1) >= 8 AND a1 + 0.5 * (a - a1) >= 3"""
 
 @query("search_rerank", ctes(d=DOCS, c=CHUNKS_SQL) + f", {_recall_sql()}, {_rerank_sql()}")
 def search_rerank(spark, sf):
-    hits = _recalled(spark, sf).withColumn("snippet", F.substring("content", 1, 40))
+    hits = _recalled(spark, sf).withColumn("snippet", tx.snippet(F.col("content"), "the thation", RECALL_TOKENS))
     ranked = retrieval.rerank(hits, PROFILE, [-F.round("score", 6), F.col("ordinal")])
     rounded = [F.round(c, 6).alias(c) for c in ("related_score", "matched_importance", "anchor_importance")]
     return ranked.select("document_id", "matched_chunk_count", *rounded)
@@ -353,8 +361,7 @@ def _answer_sql() -> str:
     return f"""h AS (SELECT *, lower(title || chr(10) || heading || chr(10) || content) AS low, title || ' ' || heading || ' ' || content AS txt,
   len(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS n FROM a),
 runs AS ({runs}),
-sc AS (SELECT *, hits + CASE WHEN evidence_role = 'handling_rule' THEN 8 ELSE 0 END + CASE WHEN doc_role = 'emergency_procedure' THEN 100 ELSE 0 END AS score FROM runs WHERE hits > 0
-  QUALIFY row_number() OVER (PARTITION BY search ORDER BY score DESC, chunk_id) <= 5),
+sc AS (SELECT *, hits + CASE WHEN evidence_role = 'handling_rule' THEN 8 ELSE 0 END + CASE WHEN doc_role = 'emergency_procedure' THEN 100 ELSE 0 END AS score FROM runs WHERE hits > 0),
 mg AS (SELECT chunk_id, any_value(title) AS title, any_value(heading) AS heading, any_value(doc_role) AS doc_role, any_value(txt) AS txt, max(score) AS score FROM sc GROUP BY 1),
 rk AS (SELECT *, score + CASE WHEN doc_role = 'emergency_procedure' THEN 80 ELSE 0 END + CASE WHEN contains(txt, '处理') OR contains(txt, '异常') OR contains(txt, '不一致') OR contains(txt, '无法调节') THEN 35 ELSE 0 END AS answer_score FROM mg)
 SELECT chunk_id, title, heading, score, answer_score FROM rk QUALIFY row_number() OVER (PARTITION BY title, heading ORDER BY answer_score DESC, chunk_id) = 1 ORDER BY answer_score DESC, chunk_id LIMIT 5"""
@@ -372,7 +379,7 @@ rk AS (SELECT document_id, r1 + 0.25 * (r - r1) AS related_score FROM dd WHERE i
 rd AS (SELECT c.document_id, c.ordinal, SUM(length(c.content)) OVER (PARTITION BY c.document_id ORDER BY c.ordinal ROWS UNBOUNDED PRECEDING) AS s FROM c JOIN rk USING (document_id))
 SELECT document_id, ordinal, CAST(s AS BIGINT) AS running_chars FROM rd WHERE s <= 1500""".replace("), ,", "),"))
 def doc_answer_reading(spark, sf):
-    hits = _recalled(spark, sf).withColumn("snippet", F.substring("content", 1, 40))
+    hits = _recalled(spark, sf).withColumn("snippet", tx.snippet(F.col("content"), "the thation", RECALL_TOKENS))
     ranked = retrieval.rerank(hits, PROFILE, [-F.round("score", 6), F.col("ordinal")]).withColumn("related_score", F.round("related_score", 6))
     read = documents.answer_context(ranked, chunks(spark, sf), limit_docs=4, max_chars=1500)
     return read.select("document_id", "ordinal", "running_chars")

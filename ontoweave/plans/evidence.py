@@ -82,8 +82,8 @@ def scenario_searches(query: str, intent: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys((text.replace("{query}", query), role) for searches in rows for text, role in searches))
 
 
-def scored_searches(chunks: DataFrame, searches: list[tuple[str, str]], prefer_primary: bool, keep: int) -> DataFrame:
-    """Best ``keep`` chunks of every search, all searches scored in one pass over the chunks.
+def _with_hits(chunks: DataFrame, searches: list[tuple[str, str]], prefer_primary: bool) -> DataFrame:
+    """Chunks with ``is_toc`` and ``_hits``: (search, score) of every search that finds them, in one pass.
 
     ``chunks``: chunk_id, title, heading, content, doc_role, evidence_role.
     """
@@ -93,15 +93,25 @@ def scored_searches(chunks: DataFrame, searches: list[tuple[str, str]], prefer_p
         boosts = boosts + F.when(F.col("doc_role") == PRIMARY_ROLE, 100.0).otherwise(0.0)
 
     def one(i: int, text: str, role: str) -> Column:
-        terms = query_terms(text)
-        hits = retrieval.keyword_score(hay, terms)
+        hits = retrieval.keyword_score(hay, query_terms(text))
         fits = hits > 0 if not role else (hits > 0) & (F.col("doc_role") == role)
-        return F.when(fits, F.struct(F.lit(i).alias("search"), (hits + boosts).alias("_s")))
+        score = hits + boosts - F.when(F.col("is_toc"), 80.0).otherwise(0.0)
+        return F.when(fits & (score > 0), F.struct(F.lit(i).alias("search"), score.alias("score")))
 
     toc = computed_once(chunks, is_toc=retrieval.is_toc(F.col("heading"), F.col("content")))
-    runs = toc.select("*", F.inline(F.filter(F.array(*[one(i, t, r) for i, (t, r) in enumerate(searches)]), lambda x: x.isNotNull())))
-    scored = runs.withColumn("score", F.col("_s") - F.when(F.col("is_toc"), 80.0).otherwise(0.0)).drop("_s").filter("score > 0")
-    return top_per_group(scored, ["search"], [F.col("score").desc(), F.col("chunk_id")], keep).drop("rank")
+    return computed_once(toc, _hits=F.filter(F.array(*[one(i, t, r) for i, (t, r) in enumerate(searches)]), lambda x: x.isNotNull()))
+
+
+def scored_searches(chunks: DataFrame, searches: list[tuple[str, str]], prefer_primary: bool, keep: int) -> DataFrame:
+    """The best ``keep`` chunks of every search."""
+    runs = _with_hits(chunks, searches, prefer_primary).select("*", F.inline("_hits")).drop("_hits")
+    return top_per_group(runs, ["search"], [F.col("score").desc(), F.col("chunk_id")], keep).drop("rank")
+
+
+def merged_searches(chunks: DataFrame, searches: list[tuple[str, str]], prefer_primary: bool) -> DataFrame:
+    """Every chunk that some search finds, once, with its best score: no shuffle, and no search loses a row."""
+    found = _with_hits(chunks, searches, prefer_primary).filter(F.size("_hits") > 0)
+    return found.withColumn("score", F.array_max(F.transform("_hits", lambda h: h["score"]))).drop("_hits")
 
 
 def answer_rank(query: str, intent: str) -> Column:
@@ -122,10 +132,9 @@ def answer_rank(query: str, intent: str) -> Column:
 def answer_context(chunks: DataFrame, query: str, limit: int = 5, station: str = "") -> DataFrame:
     """Evidence for a question: best chunk per (title, heading), no tables of contents."""
     intent = question_intent(query)
-    found = scored_searches(chunks, scenario_searches(query, intent), intent in ("diagnosis", "handling"), max(5, limit))
+    merged = merged_searches(chunks, scenario_searches(query, intent), intent in ("diagnosis", "handling"))
     if station:
-        found = found.withColumn("score", F.col("score") + F.when(F.col("title").contains(station), STATION_BOOST).otherwise(0.0))
-    merged = first_wins(found.drop("search").withColumn("_o", -F.col("score")), ["chunk_id"], ["_o"]).drop("_o")
+        merged = merged.withColumn("score", F.col("score") + F.when(F.col("title").contains(station), STATION_BOOST).otherwise(0.0))
     ranked = merged.filter(~F.col("is_toc")).withColumn("answer_score", answer_rank(query, intent))
     best = first_wins(ranked.withColumn("_o", -F.col("answer_score")), ["title", "heading"], ["_o", "chunk_id"]).drop("_o")
     return best.orderBy(F.col("answer_score").desc(), "chunk_id").limit(limit)
