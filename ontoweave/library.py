@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoweave.library_schemes import register_schemes
 from ontoweave.operators import filters, links
 from ontoweave.operators.geo import EARTH_M, within_range
 from ontoweave.plans import alarms, docgraph, documents, emergency, evidence, grid, payroll
 from ontoweave.registry import FunctionRegistry, register_launch, register_lookups, register_missing, register_toll
 from ontoweave.repository import ObjectRepository
+from ontoweave.session import cut_lineage
 
 
 def _either(repo: ObjectRepository, key: str, value: str, kinds: list[str], tag: str) -> DataFrame:
@@ -93,17 +95,39 @@ def register_grid(registry: FunctionRegistry) -> None:
             units = repo.df(kind).select(
                 F.col(key).alias("unit_id"), F.col(rate).alias("load_rate"), F.col("openable_capacity_kva").cast("double").alias("openable"), rated.alias("rated")
             )
-            return grid.transfer_load(need, grid.ties(repo.df(switches), f"source_{key}", f"target_{key}"), units, feeder_rule)
+            moved = cut_lineage(grid.transfer_load(need, grid.ties(repo.df(switches), f"source_{key}", f"target_{key}"), units, feeder_rule))
+            store = "FeederLoadTransfer" if feeder_rule else "TransformerLoadTransfer"
+            if store in repo.ontology.objects:
+                repo.insert(store, moved.filter("target is not null").withColumnsRenamed({"source": f"source_{key}", "target": f"target_{key}"}))
+            return moved
 
         return run
 
+    def supplement(repo, request_id, search_radius_m=2000.0, **_):
+        row = with_columns(request(repo, request_id), "target_source_structure")
+        checks = source_check(repo, request_id).select("request_id", "required_source_structure", "declared_source_structure")
+        needed = row.join(checks, "request_id").select(
+            "request_id", "lng", "lat", "capacity_kva", "original_point_id", "declared_source_structure",
+            F.coalesce("required_source_structure", "target_source_structure").alias("required_source_structure"))
+        return grid.supplementary_sources(needed, repo.df("AccessPoint"), repo.df("Feeder"), repo.df("MainTransformer"), float(search_radius_m or 2000.0))
+
+    def verify(repo, request_id, **_):
+        """Stored transfers of a request in the order of their ids."""
+        def transfers(name, key):
+            return repo.query(name, {"request_id": request_id}).select(
+                "request_id", F.col(f"source_{key}").alias("source"), "transfer_capacity_kva", "source_load_rate_after", F.col(repo.object(name).id_field).alias("switch_id"))
+
+        return grid.verify_transfer(
+            request(repo, request_id), repo.df("AccessPoint"), repo.df("Feeder"), repo.df("MainTransformer"),
+            transfers("FeederLoadTransfer", "feeder_id"), transfers("TransformerLoadTransfer", "transformer_id"), source_check(repo, request_id))
+
     def ties(object_type: str, key: str):
         columns = [f"source_{key}", f"target_{key}"]
         return lambda repo, **params: repo.df(object_type).filter(filters.either_equals(columns, params[f"source_{key}"]))
 
     functions = {
         "get_request": request, "validate_source_requirement": source_check, "search_sources": search, "filter_sources": screen,
-        "compose_plans": compose, "score_plans": score,
+        "compose_plans": compose, "score_plans": score, "search_supplementary_sources": supplement, "verify_transfer_result": verify,
         "finalize_plans": lambda repo, request_id, **_: grid.finalize_plans(score(repo, request_id)),
         "get_access_points": lambda repo, lng, lat, radius_m=1000.0, **_: within_range(repo.df("AccessPoint"), lng, lat, radius_m, EARTH_M, 1, "distance_m"),
         "get_feeder_tie_switches": ties("FeederTieSwitch", "feeder_id"),
@@ -208,7 +232,7 @@ def full_registry(repo: ObjectRepository) -> FunctionRegistry:
     objects = repo.ontology.objects
     register_lookups(registry)
     for needed, register in [
-        ("TollUnit", register_toll), ("DroneBase", register_emergency), ("AccessPoint", register_grid), ("PayrollRun", register_payroll),
+        ("TollUnit", register_toll), ("DroneBase", register_emergency), ("AccessPoint", register_grid), ("PowerAccessPoint", register_schemes), ("PayrollRun", register_payroll),
         ("LaunchMission", register_launch), ("EvidenceChunk", register_alarms), ("DocumentRelation", register_documents),
     ]:
         if needed in objects:

@@ -78,6 +78,18 @@ def radius_join(
     ).filter(F.col(distance) <= radius)
 
 
+def lng_lat(value: Column) -> tuple[Column, Column]:
+    """Coordinates of a ``"lng,lat"`` text; what is no number counts as 0, a text without a comma as (0, 0)."""
+    parts = F.split(value, ",", 2)
+    number = lambda i: F.coalesce(F.when(value.contains(","), F.get(parts, F.lit(i)).try_cast("double")), F.lit(0.0))
+    return number(0), number(1)
+
+
+def lng_lat_of_map(value: Column) -> tuple[Column, Column]:
+    """Coordinates of a map or struct with ``lng`` and ``lat``; a missing one counts as 0."""
+    return tuple(F.coalesce(value[k].cast("double"), F.lit(0.0)) for k in ("lng", "lat"))
+
+
 def ring_of(distance: Column, radii: list[float]) -> Column:
     """Smallest radius of the sequence that contains the distance; null beyond the last."""
     chain = None

@@ -17,17 +17,19 @@ def _rows(spark, repo, name, *rows):
 def test_grid_functions(spark):
     repo = ObjectRepository(spark, ontology_from_dict({"objects": _objects(
         AccessRequest="request_id str, lng float, lat float, load_level str, importance_level str, source_structure str, preferred_point_types str, capacity_kva float",
-        ExpandRequest="request_id str, lng float, lat float, load_level str, importance_level str, target_source_structure str, capacity_kva float",
+        ExpandRequest="request_id str, lng float, lat float, load_level str, importance_level str, target_source_structure str, capacity_kva float, original_point_id str",
         AccessPoint="point_id str, point_type str, feeder_id str, lng float, lat float, spare_intervals int",
         Feeder="feeder_id str, busbar_id str, substation_id str, transformer_id str, max_load_rate float, openable_capacity_kva float, connected_users int, loss_rate float",
         MainTransformer="transformer_id str, substation_id str, rated_capacity_kva float, load_rate float, openable_capacity_kva float, spare_intervals int",
         Substation="substation_id str, lng float, lat float", FeederTieSwitch="switch_id str, source_feeder_id str, target_feeder_id str",
         TransformerTieSwitch="switch_id str, source_transformer_id str, target_transformer_id str",
         SourceRequirement="requirement_id str, load_level str, importance_level str, source_structure str",
+        FeederLoadTransfer="transfer_id str, request_id str, source_feeder_id str, target_feeder_id str, transfer_capacity_kva float, source_load_rate_after float",
+        TransformerLoadTransfer="transfer_id str, request_id str, source_transformer_id str, target_transformer_id str, transfer_capacity_kva float, source_load_rate_after float",
         AccessPlan="plan_id str, request_id str, source_structure str, operation_mode str, point_ids str, total_distance_m float",
     ), "functions": {"dispatch_something": {}}}))
     _rows(spark, repo, "AccessRequest", ("R1", 100.0, 30.0, "L", "I", "双回路", "", 800.0))
-    _rows(spark, repo, "ExpandRequest", ("R2", 100.0, 30.0, "L", "I", "单电源", 800.0))
+    _rows(spark, repo, "ExpandRequest", ("R2", 100.0, 30.0, "L", "I", "单电源", 800.0, "P2"))
     _rows(spark, repo, "AccessPoint", ("P1", "环网柜", "F1", 100.001, 30.0, 3), ("P2", "环网柜", "F2", 100.002, 30.0, 1), ("P3", "架空线", "F1", 100.003, 30.0, 0))
     _rows(spark, repo, "Feeder", ("F1", "B1", "S1", "T1", 0.5, 3000.0, 10, 0.03), ("F2", "B2", "S1", "T1", 0.8, 3000.0, 10, 0.03))
     _rows(spark, repo, "MainTransformer", ("T1", "S1", 20000.0, 0.5, 9000.0, 1), ("T2", "S1", 20000.0, 0.75, 9000.0, 1))
@@ -48,6 +50,11 @@ def test_grid_functions(spark):
     assert moved["target"] == "F1" and moved["target_load_rate_after"] == round((0.5 * 3000 + 100) / 3100, 3)
     assert reg.call("transfer_transformer_load", request_id="R1", source_transformer_id="T1", required_capacity_kva=2000.0).first()["remedy"] == "考虑 new_feeder"
     assert reg.call("new_feeder", request_id="R1").first()["transformer_id"] == "T1"
+    assert [r["point_id"] for r in reg.call("search_supplementary_sources", request_id="R2").orderBy("point_id").collect()] == ["P1", "P3"]
+    before = reg.call("verify_transfer_result", request_id="R2").first()
+    reg.call("transfer_feeder_load", request_id="R2", source_feeder_id="F2", required_capacity_kva=100.0)
+    after = reg.call("verify_transfer_result", request_id="R2").first()
+    assert (before["feeder_openable_after"], after["feeder_openable_after"]) == (3000.0, 3100.0) and after["next_action"] == "补充电源点/回路"
     assert reg.call("get_feeder_tie_switches", source_feeder_id="F1").count() == 1
     assert reg.call("dispatch_something").first()["status"] == "not_implemented"
 
@@ -109,3 +116,77 @@ def test_launch_functions(spark):
     assert reg.call("check_interlock", mission_id="M2").first()["interlock_status"] == "触发"
     assert reg.call("trigger_interlock", mission_id="M1", trigger_type="人工").count() == 1 == repo.count("SafetyInterlockEvent")
     assert reg.call("emergency_action", mission_id="M1", action_type="能量泄放").first()["target_subsystem"] == "泵浦分系统" and repo.count("EmergencyAction") == 1
+
+
+def test_scheme_functions(spark):
+    checks = "feeder_available_capacity_ok bool, feeder_load_rate_ok bool, transformer_available_capacity_ok bool, transformer_load_rate_ok bool"
+    repo = ObjectRepository(spark, ontology_from_dict({"objects": _objects(
+        HighVoltageConnectionRequest="request_id str, business_type str, supply_voltage_kv float, approved_contract_capacity_kva float, total_receiving_transformer_capacity_kva float, "
+        "user_importance_level str, load_level str, requested_power_source_count int, requested_operation_mode str, receiving_point_coordinate str",
+        ExpansionOriginalSupplyInfo="original_supply_info_id str, request_id str, original_access_point_id str, original_feeder_id str, original_transformer_id str, incremental_capacity_kva float",
+        ConnectionReasoningConfig="config_id str, request_id str, allowed_source_device_types list[str], enable_new_substation_outgoing_line bool, pms_preselected_source_type str",
+        PowerAccessPoint="access_point_id str, device_type str, coordinate str, distance_to_receiving_point_m float, feeder_id str, busbar_id str, substation_id str, incoming_source_id str, available_bay_count int, is_available bool",
+        Feeder="feeder_id str, substation_id str, historical_max_load_rate float, current_load_rate float, available_capacity_kva float, connected_user_count int, line_loss_rate_after_connection float",
+        SubstationTransformer="transformer_id str, substation_id str, available_capacity_kva float, current_load_rate float",
+        Substation="substation_id str, coordinate str", SubstationOutgoingBay="outgoing_bay_id str, substation_id str, transformer_id str, is_available bool",
+        FeederTieSwitch="switch_id str, source_feeder_id str, target_feeder_id str", ConnectionScopeRule="rule_id str, allowed_business_types list[str], required_supply_voltage_kv float, max_total_receiving_transformer_capacity_kva float",
+        PowerSupplyModeRule="rule_id str, user_importance_level str, load_level str, required_supply_mode str, minimum_route_count int, minimum_source_count int, source_independence_requirement str",
+        ExistingAccessPointConstraintRule="rule_id str, max_feeder_historical_load_rate float", NewSubstationOutgoingLineTriggerRule="rule_id str, single_route_capacity_threshold_kva float",
+        NewSubstationOutgoingLineFeasibilityRule="rule_id str, search_radius_km float", RedlineBoundaryDeviceRule="rule_id str, boundary_device_type str",
+        SchemeScoringRule="rule_id str, distance_weight float, max_output_count int",
+        ScopeValidationResult="validation_id str, request_id str, is_in_scope bool, failed_reasons list[str]",
+        SupplyModeDecision="decision_id str, request_id str, required_supply_mode str, minimum_route_count int, minimum_source_count int, required_different_substations bool, required_different_busbars bool",
+        PowerSourceSearchBatch="search_batch_id str, request_id str, stopped_radius_m float, found_access_point_ids list[str], distinct_feeder_count int, satisfies_required_line_count bool",
+        AccessPointCapacityCheck="check_id str, request_id str, access_point_id str, single_route_capacity_kva float, is_directly_usable bool, requires_load_transfer bool, failed_constraints list[str], " + checks,
+        OriginalSupplyCapacityCheck="check_id str, request_id str, original_supply_info_id str, is_original_supply_usable bool, requires_load_transfer bool, failed_constraints list[str], " + checks,
+        LoadTransferPlan="transfer_plan_id str, request_id str, overloaded_object_type str, overloaded_feeder_id str, overloaded_transformer_id str, receiver_feeder_id str, receiver_transformer_id str, is_feasible bool, infeasible_reason str",
+        NewSubstationOutgoingLineDecision="decision_id str, request_id str, is_triggered bool, trigger_reasons list[str], selected_substation_id str, is_feasible bool, no_solution_reason str",
+        CandidateConnectionScheme="scheme_id str, request_id str, scheme_source_type str, operation_mode str, selected_access_point_ids list[str], route_count int, power_source_count int, total_supply_distance_m float",
+        SchemeScore="score_id str, request_id str, scheme_id str, total_score float, rank int", RankedConnectionSchemeSet="result_id str, request_id str, scheme_ids list[str], generation_status str, no_solution_reason str",
+        NoAvailableConnectionSchemeConclusion="conclusion_id str, request_id str, failed_constraints list[str], explanation str",
+    ), "functions": {}}))
+    _rows(spark, repo, "HighVoltageConnectionRequest", ("R1", "增容", 10.0, 900.0, 0.0, "一级", "一级负荷", 1, "", "100.0,30.0"), ("R2", "销户", 35.0, 900.0, 0.0, "x", "x", 1, "", ""))
+    _rows(spark, repo, "ExpansionOriginalSupplyInfo", ("O1", "R1", "P4", "F4", "T1", 300.0))
+    _rows(spark, repo, "ConnectionReasoningConfig", ("C1", "", ["环网柜"], True, ""))
+    _rows(spark, repo, "PowerAccessPoint", *[
+        (f"P{i}", "环网柜", f"{100.0 + i / 1000},30.0", 96.0 * i, f"F{i}", f"B{i}", f"S{i % 2}", "T1", 3, i != 4) for i in range(1, 5)
+    ], ("P9", "架空线", "100.0001,30.0", 10.0, "F9", "B9", "S9", "T1", 3, True))
+    _rows(spark, repo, "Feeder", *[(f"F{i}", "S", 0.5, 0.95 if i == 4 else 0.5, 3000.0, 10, 0.03) for i in range(1, 5)])
+    _rows(spark, repo, "SubstationTransformer", ("T1", "S0", 9000.0, 0.5), ("T2", "S0", 9000.0, 0.9))
+    _rows(spark, repo, "Substation", ("S0", "100.01,30.0"))
+    _rows(spark, repo, "SubstationOutgoingBay", ("Y1", "S0", "T1", True))
+    _rows(spark, repo, "FeederTieSwitch", ("W1", "F4", "F1"))
+    _rows(spark, repo, "PowerSupplyModeRule", ("M1", "一级", "一级负荷", "双电源", 2, 2, "different_substation"))
+    _rows(spark, repo, "NewSubstationOutgoingLineTriggerRule", ("N1", 400.0))
+    reg = full_registry(repo)
+    one = lambda name, **kw: reg.call(name, request_id="R1", **kw)
+    assert one("validate_connection_scope").first()["is_in_scope"] and reg.call("validate_connection_scope", request_id="R2").first()["failed_reasons"] == ["business_type", "voltage"]
+    assert one("apply_reasoning_config_constraints").first()["allowed_source_device_types"] == "环网柜"
+    assert one("decide_supply_mode").first()["minimum_route_count"] == 2 and one("decide_supply_mode").count() == 1
+    assert [r["access_point_id"] for r in one("search_power_access_points").collect()] == ["P1", "P2"]  # two feeders are enough
+    assert [r["access_point_id"] for r in one("search_power_access_points", required_distinct_feeder_count=3).collect()] == ["P1", "P2", "P3"]
+    checked = one("check_access_point_capacity").collect()
+    assert len(checked) == 3 and all(r["is_directly_usable"] and r["single_route_capacity_kva"] == 450.0 for r in checked)
+    assert not one("check_original_supply_capacity").first()["is_original_supply_usable"]
+    plan = one("generate_load_transfer_plan", overloaded_object_type="Feeder", overloaded_object_id="F4").first()
+    assert plan["is_feasible"] and plan["receiver_feeder_id"] == "F1" and plan["switches_used"] == ["W1"]
+    assert one("generate_load_transfer_plan", overloaded_object_type="SubstationTransformer", overloaded_object_id="T1").first()["infeasible_reason"] != ""
+    assert repo.count("LoadTransferPlan") == 2
+    assert one("evaluate_new_substation_outgoing_line").first()["selected_substation_id"] == "S0"
+    made = {",".join(r["selected_access_point_ids"]) for r in one("generate_candidate_connection_schemes").collect()}
+    assert made == {"P1,P2", "P2,P3", "P1,P4", "P3,P4", ""}
+    best = one("score_and_rank_schemes").collect()
+    assert [r["rank"] for r in best] == [1, 2, 3] and repo.query("RankedConnectionSchemeSet", {"request_id": "R1"}).first()["generation_status"] == "成功"
+    assert reg.call("score_and_rank_schemes", request_id="R2").count() == 0
+    assert one("generate_no_available_scheme_conclusion").first()["failed_constraints"] == ["feeder_load_rate_ok"]
+
+
+def test_coordinates(spark):
+    from pyspark.sql import functions as F
+
+    from ontoweave.operators.geo import lng_lat, lng_lat_of_map
+
+    rows = spark.createDataFrame([("100.5, 30.25", {"lng": "1", "lat": "2"}), ("x,3", {"lng": "y"}), ("7", {}), (None, None)], "t string, m map<string,string>")
+    texts = [tuple(r) for r in rows.select(*[c.alias(n) for c, n in zip(lng_lat(F.col("t")), "ab")]).collect()]
+    assert texts == [(100.5, 30.25), (0.0, 3.0), (0.0, 0.0), (0.0, 0.0)]
+    assert rows.withColumn("m", F.transform_values("m", lambda k, v: v.try_cast("double"))).select(*[c.alias(n) for c, n in zip(lng_lat_of_map(F.col("m")), "ab")]).first() == (1.0, 2.0)
