@@ -292,6 +292,24 @@ def graph_bounded_paths(spark, sf):
     )
 
 
+@query("graph_paths_between", ctes(e=CITES, d=DOCS) + """,
+ar AS (SELECT src AS a, dst AS b, weight, 'outgoing' AS way FROM e UNION ALL SELECT dst, src, weight, 'incoming' FROM e),
+p1 AS (SELECT b AS node, [a, b] AS path, weight AS score, [way] AS ways FROM ar JOIN d ON document_id = a WHERE category = 'de' AND agency = 'src1' AND a <> b),
+p2 AS (SELECT b AS node, list_append(path, b) AS path, score + weight AS score, list_append(ways, way) AS ways FROM p1 JOIN ar ON a = node WHERE NOT list_contains(path, b)),
+p3 AS (SELECT b AS node, list_append(path, b) AS path, score + weight AS score, list_append(ways, way) AS ways FROM p2 JOIN ar ON a = node WHERE NOT list_contains(path, b)),
+al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+SELECT array_to_string(path, '>') AS path, array_to_string(ways, '>') AS directions, CAST(score AS DOUBLE) AS score, CAST(len(ways) AS INTEGER) AS depth FROM al
+WHERE node IN (SELECT document_id FROM d WHERE category = 'en')""")
+def graph_paths_between(spark, sf):
+    d = DOCS.df(spark, sf)
+    edges = CITES.df(spark, sf).select("src", "dst", F.lit("cites").alias("label"), F.col("weight").cast("double").alias("score"))
+    starts = d.filter("category = 'de' and agency = 'src1'").select(F.col("document_id").alias("src"))
+    ends = d.filter("category = 'en'").select(F.col("document_id").alias("dst"))
+    paths = graph.bounded_paths(edges, starts, max_depth=3, direction="both", ends=ends)
+    return paths.select(
+        F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.array_join("directions", ">").alias("directions"), "score", "depth")
+
+
 def _communities_sql(rounds: int) -> str:
     steps = ["l0 AS (SELECT node, node AS label FROM own)"]
     for i in range(1, rounds + 1):

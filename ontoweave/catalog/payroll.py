@@ -217,3 +217,23 @@ def payroll_cumulative_withholding(spark, sf):
         F.col("o_custkey").alias("employee_id"), F.year("o_orderdate").alias("tax_year"), F.month("o_orderdate").alias("tax_month")
     ).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("income"))
     return payroll.cumulative_withholding(months, payroll.tax_brackets(spark))
+
+
+RUNS = View("nation", {"payroll_run_id": "n_nationkey"})
+INPUTS = View("orders", {
+    "payroll_run_id": "cast(o_custkey % 20 as int)", "snapshot_id": "o_orderkey", "snapshot_time": "cast(cast(o_orderdate as date) as string)",
+    "payroll_period": "substr(cast(cast(o_orderdate as date) as string), 1, 7)", "status": "case when o_orderstatus = 'F' then 'frozen' else '' end",
+})
+RUN_SNAPSHOTS = View("lineitem", {"snapshot_id": "l_orderkey"})
+RUN_LINES = View("lineitem", {"payroll_run_id": "cast(l_suppkey % 23 as int)"})
+VALIDATIONS = View("orders", {"payroll_run_id": "cast(o_orderkey % 25 as int)", "severity": "case when o_orderpriority = '1-URGENT' then 'warning' else 'info' end"})
+
+
+@query("payroll_snapshot_status", ctes(r=RUNS, i=INPUTS, s=RUN_SNAPSHOTS, l=RUN_LINES, v=VALIDATIONS) + """,
+n AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY payroll_run_id ORDER BY snapshot_time DESC, snapshot_id DESC) = 1)
+SELECT r.payroll_run_id, CASE WHEN snapshot_id IS NULL THEN 'missing_snapshot' WHEN status = '' THEN 'built' ELSE status END AS status, snapshot_id, snapshot_time, payroll_period,
+  (SELECT count(*) FROM s WHERE s.snapshot_id = n.snapshot_id) AS employee_snapshot_count, (SELECT count(*) FROM l WHERE l.payroll_run_id = r.payroll_run_id) AS payroll_line_count,
+  (SELECT count(*) FROM v WHERE v.payroll_run_id = r.payroll_run_id AND severity = 'warning') AS validation_warning_count
+FROM r LEFT JOIN n ON n.payroll_run_id = r.payroll_run_id""")
+def payroll_snapshot_status(spark, sf):
+    return payroll.snapshot_status(*[v.df(spark, sf) for v in (RUNS, INPUTS, RUN_SNAPSHOTS, RUN_LINES, VALIDATIONS)])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoweave.functions import text as tx
 from ontoweave.library_schemes import register_schemes
-from ontoweave.operators import filters, links
+from ontoweave.operators import filters, graph, links, retrieval
 from ontoweave.operators.geo import EARTH_M, within_range
 from ontoweave.plans import alarms, docgraph, documents, emergency, evidence, grid, payroll
 from ontoweave.registry import FunctionRegistry, register_launch, register_lookups, register_missing, register_toll
@@ -174,8 +175,13 @@ def register_payroll(registry: FunctionRegistry) -> None:
             repo.df("SalaryProfile").join(employees.select("employee_id"), "employee_id", "left_semi"), repo.df("Company"), as_of_date,
         )
 
+    def snapshot(repo, payroll_run_id, **_):
+        names = ["PayrollRun", "PayrollInputSnapshot", "PayrollEmployeeSnapshot", "PayrollLine", "PayrollValidationResult"]
+        runs, inputs, people, drafted, found = [repo.df(n) for n in names]
+        return payroll.snapshot_status(runs.filter(F.col("payroll_run_id") == payroll_run_id), inputs, people, drafted, found)
+
     functions = {
-        "generate_payroll_lines": lines, "calculate_contributions": paid, "calculate_payroll": calculate, "resolve_employee_state_at": state,
+        "build_payroll_snapshot": snapshot, "generate_payroll_lines": lines, "calculate_contributions": paid, "calculate_payroll": calculate, "resolve_employee_state_at": state,
         "resolve_rules_at": lambda repo, company_id, period, **_: payroll.rules_at(
             repo.query("Company", {"company_id": company_id}), repo.df("SocialInsuranceRule"), repo.df("HousingFundRule"), period),
     }
@@ -203,7 +209,56 @@ def register_documents(registry: FunctionRegistry) -> None:
     def focus(repo, document_id):
         return repo.query("Document", {"document_id": document_id}).select("document_id")
 
+    def search(repo, query, category="", agency="", doc_type="", limit=8, rerank=False, semantic=False, **_):
+        """Best chunks of the lexical recall with the text around the hit."""
+        if rerank or semantic:
+            raise ValueError("search_documents ranks by lexical recall; rerank and semantic merging are operators of ontoweave.operators.retrieval")
+        chunks = repo.df("DocumentChunk")
+        if category or agency or doc_type:
+            chunks = chunks.join(documents.list_documents(repo.df("Document"), category or "", agency or "", doc_type or "").select("document_id"), "document_id", "left_semi")
+        tokens = tx.query_tokens(query)
+        hits = retrieval.recall(chunks, query, tokens, tx.anchor_terms(query)).withColumn("snippet", tx.snippet(F.col("content"), query, tokens))
+        return hits.orderBy(F.col("score").desc(), "chunk_id").limit(int(limit or 8))
+
+    def read(repo, document_id="", path="", chunk_id="", heading="", max_chars=6000, **_):
+        """Leading chunks of the asked document that fit the budget, with their text, in the order of their numbers."""
+        wanted = filters.present({"document_id": document_id, "path": path, "chunk_id": chunk_id, "heading__like": heading})
+        if not wanted:
+            raise ValueError("read_document: name a document, path, chunk or heading")
+        number = F.coalesce(F.regexp_extract("chunk_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
+        order = Window.partitionBy("document_id").orderBy(number, "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+        sized = repo.query("DocumentChunk", wanted).withColumn("running_chars", F.sum(F.length("content")).over(order))
+        return sized.filter(F.col("running_chars") <= int(max_chars or 6000)).orderBy("document_id", "running_chars")
+
+    def edges(repo, relation_types="", min_confidence=0.0):
+        rows = repo.df("DocumentRelation").filter(F.col("confidence") >= float(min_confidence or 0.0))
+        wanted = [t.strip() for t in (relation_types or "").split(",") if t.strip()]
+        rows = rows.filter(F.col("relation_type").isin(wanted)) if wanted else rows
+        return rows.select(
+            F.col("source_document_id").alias("src"), F.col("target_document_id").alias("dst"), F.col("relation_type").alias("label"), docgraph.edge_score().alias("score"))
+
+    def placed(repo, document_id, path, title_like, name):
+        wanted = filters.present({"document_id": document_id, "path": path, "title__like": title_like})
+        return repo.query("Document", wanted).select(F.col("document_id").alias(name)) if wanted else None
+
+    def paths(repo, start_document_id="", start_path="", start_title_like="", end_document_id="", end_path="", end_title_like="", relation_types="",
+              direction="both", max_depth=3, limit=10, **_):
+        start = placed(repo, start_document_id, start_path, start_title_like, "src")
+        if start is None:
+            raise ValueError("find_document_relation_paths: name a start document")
+        found = graph.bounded_paths(edges(repo, relation_types), start, int(max_depth or 3), direction=direction or "both",
+                                    ends=placed(repo, end_document_id, end_path, end_title_like, "dst"))
+        scored = found.withColumn("score", F.round(F.col("score") + F.size(F.array_distinct("labels")) * 0.2, 6))
+        return scored.orderBy(F.col("score").desc(), "depth", F.array_join("path", ">")).limit(int(limit or 10))
+
+    def analyze(repo, relation_types="", top_n=10, min_confidence=0.0, **_):
+        """Degree, rank and community of the best connected documents."""
+        arcs = cut_lineage(edges(repo, relation_types, min_confidence).select("src", "dst", F.col("score").alias("weight")))
+        joined = graph.degrees(arcs).join(graph.pagerank(arcs), "node").join(graph.communities(arcs), "node")
+        return joined.orderBy(F.col("weighted_degree").desc(), "node").limit(int(top_n or 10))
+
     functions = {
+        "search_documents": search, "read_document": read, "find_document_relation_paths": paths, "analyze_document_graph": analyze,
         "list_documents": lambda repo, category="", agency="", doc_type="", title_like="", limit=100, **_: documents.list_documents(
             repo.df("Document"), category or "", agency or "", doc_type or "", title_like or "", int(limit or 100)),
         "find_document_relations": lambda repo, document_id, direction="both", **_: docgraph.find_relations(

@@ -7,6 +7,8 @@ replays the current round. The driver sees counters, never rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +102,24 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def bounded_paths(
-    edges: DataFrame, starts: DataFrame, max_depth: int, fan_out: int | None = None, order: list[Column] | None = None
+    edges: DataFrame, starts: DataFrame, max_depth: int, fan_out: int | None = None, order: list[Column] | None = None,
+    direction: str = "outgoing", ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Simple paths of 1..max_depth edges from the start nodes.
+    """Simple paths of 1..max_depth edges from the start nodes, with the direction of each step.
+
+    ``direction``: edges are followed ``outgoing``, ``incoming`` or ``both`` ways.
+    ``ends`` (dst) keeps only the paths that end there.
 
     ``edges``: src, dst, label, score. ``fan_out`` keeps the best edges per node
     in ``order``, applied once to the edge table.
     """
-    arcs = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), "label", "score")
+    ways = {"outgoing": ("src", "dst"), "incoming": ("dst", "src")}
+    sides = [(name, *cols) for name, cols in ways.items() if direction in (name, "both")]
+    if not sides:
+        raise ValueError(f"unknown direction {direction!r}")
+    arcs = reduce(DataFrame.unionByName, [
+        edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"), "label", "score", F.lit(name).alias("_way")) for name, a, b in sides
+    ])
     if fan_out:
         from ontoweave.operators.ordering import top_per_group
 
@@ -117,6 +129,7 @@ def bounded_paths(
     level = starts.select(
         F.col("src").alias("node"), F.array("src").alias("path"),
         F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).alias("depth"),
+        F.array().cast("array<string>").alias("directions"),
     )
     found = []
     for _ in range(max_depth):
@@ -128,14 +141,13 @@ def bounded_paths(
                 F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"),
                 F.concat("labels", F.array("label")).alias("labels"),
                 (F.col("_score") + F.col("score")).alias("score"), (F.col("depth") + 1).alias("depth"),
+                F.concat("directions", F.array("_way")).alias("directions"),
             )
         )
         level = cut_lineage(level)
         found.append(level)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    out = reduce(DataFrame.unionByName, found)
+    return out if ends is None else out.join(ends.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

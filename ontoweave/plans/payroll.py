@@ -87,6 +87,23 @@ def rules_at(companies: DataFrame, social: DataFrame, housing: DataFrame, period
     return companies.select("company_id", "company_name").join(s, "company_id", "left").join(h, "company_id", "left")
 
 
+def snapshot_status(runs: DataFrame, inputs: DataFrame, snapshots: DataFrame, lines: DataFrame, validations: DataFrame) -> DataFrame:
+    """Latest input snapshot of every payroll run and what hangs on it; runs without one are ``missing_snapshot``."""
+    latest = last_wins(
+        inputs.select("payroll_run_id", "snapshot_id", "snapshot_time", "payroll_period", "status"), ["payroll_run_id"], ["snapshot_time", "snapshot_id"])
+    j = runs.select("payroll_run_id").join(latest, "payroll_run_id", "left")
+    for rows, key, name in [
+        (snapshots, "snapshot_id", "employee_snapshot_count"), (lines, "payroll_run_id", "payroll_line_count"),
+        (validations.filter("severity = 'warning'"), "payroll_run_id", "validation_warning_count"),
+    ]:
+        j = j.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    told = F.coalesce(F.nullif("status", F.lit("")), F.lit("built"))
+    return j.select(
+        "payroll_run_id", F.when(F.col("snapshot_id").isNull(), "missing_snapshot").otherwise(told).alias("status"), "snapshot_id", "snapshot_time",
+        "payroll_period", "employee_snapshot_count", "payroll_line_count", "validation_warning_count",
+    )
+
+
 def _adjustments(adjustments: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif("adjustment_type", F.lit("")), F.lit(OTHER))
     amount = as_number(F.col("amount")).cast("decimal(18,2)")

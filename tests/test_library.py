@@ -190,3 +190,22 @@ def test_coordinates(spark):
     texts = [tuple(r) for r in rows.select(*[c.alias(n) for c, n in zip(lng_lat(F.col("t")), "ab")]).collect()]
     assert texts == [(100.5, 30.25), (0.0, 3.0), (0.0, 0.0), (0.0, 0.0)]
     assert rows.withColumn("m", F.transform_values("m", lambda k, v: v.try_cast("double"))).select(*[c.alias(n) for c, n in zip(lng_lat_of_map(F.col("m")), "ab")]).first() == (1.0, 2.0)
+
+
+def test_document_functions(spark):
+    repo = ObjectRepository(spark, ontology_from_dict({"objects": _objects(
+        Document="document_id str, title str, path str, category str, agency str, doc_type str",
+        DocumentChunk="chunk_id str, document_id str, title str, path str, category str, heading str, content str",
+        DocumentRelation="relation_id str, source_document_id str, target_document_id str, relation_type str, confidence float",
+    ), "functions": {}}))
+    _rows(spark, repo, "Document", *[(d, f"title {d}", f"p/{d}", "c", "g", "t") for d in "abcd"])
+    _rows(spark, repo, "DocumentChunk", *[(f"a#{i}", "a", "title a", "p/a", "c", "", f"part {i} of water rules") for i in (1, 2, 10)], ("b#1", "b", "title b", "p/b", "c", "", "nothing here"))
+    _rows(spark, repo, "DocumentRelation", ("1", "a", "b", "cites", 0.9), ("2", "c", "b", "cites", 0.8), ("3", "c", "d", "amends", 0.7))
+    reg = full_registry(repo)
+    assert {r["chunk_id"] for r in reg.call("search_documents", query="water rules").collect()} == {"a#1", "a#2", "a#10"}
+    assert [r["chunk_id"] for r in reg.call("read_document", document_id="a").collect()] == ["a#1", "a#2", "a#10"]
+    assert [r["chunk_id"] for r in reg.call("read_document", document_id="a", max_chars=45).collect()] == ["a#1", "a#2"]
+    found = reg.call("find_document_relation_paths", start_document_id="a", end_document_id="d").collect()
+    assert [(r["path"], r["directions"]) for r in found] == [(["a", "b", "c", "d"], ["outgoing", "incoming", "outgoing"])]
+    assert reg.call("find_document_relation_paths", start_document_id="a", end_document_id="d", direction="outgoing").count() == 0
+    assert [r["node"] for r in reg.call("analyze_document_graph", top_n=2).collect()] == ["b", "c"]
