@@ -1,15 +1,16 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on the labelled documents gives every document a posterior over
-domains. Distributed projected-gradient least squares then finds a nonnegative rate for
-each document so that the expected tokens of each domain match their targets. The steps
-are taken in the metric of the documents' own second moments, where a step of one is
-safe, and a pass over the documents replays the few step vectors so far instead of
-rewriting the rates.
+domains. Distributed least squares then finds a nonnegative rate for each document so that
+the expected tokens of each domain match their targets: of all such rates those nearest to
+one. Such a rate is max(0, 1 - mass . g) with one vector g for all documents, which Newton
+steps find. Each pass over the documents sums up, for a few lengths of the step, the tokens
+of the domains and the second moments of the documents whose rate is still positive.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,10 @@ SAMPLE = 4000  # labelled documents the classifier is trained on at most, by the
 SAMPLE_BYTES = 100_000
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.1, "toxic": 0.05}
-ROUNDS = 40
-CLOSE = 1e-4  # of the total: the largest gap of a domain at which the steps stop
+ROUNDS = 40  # Newton steps at most with one damping; a fit that needs more of them fails
+CLOSE = 1e-4  # of the total: the gap of a domain, or the distance from the least gap, at which the steps stop
+DAMPINGS = (1e-8, 1e-10, 1e-12)  # of the trace of the moments, the next where the last leaves the least gap open
+LENGTHS = 0.25 ** np.arange(16)  # of a step, tried in one pass
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -79,6 +82,7 @@ class Rates:
 
     steps: list[np.ndarray]
     scale: float  # of the masses, so that sums stay near one
+    gap: np.ndarray | None = None  # share of each domain less its target; above CLOSE only where no rates come nearer
 
     def of(self, n_tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
         mass = p * (n_tokens / self.scale)[:, None]
@@ -94,49 +98,92 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray]:
     return n, flat.reshape(len(n), -1)
 
 
-def _totals(members: DataFrame, rates: Rates, k: int) -> np.ndarray:
-    """Expected tokens of each domain under the rates, over all documents."""
-
-    def run(batches):
-        total = np.zeros(k)
-        for batch in batches:
-            n, p = _arrays(batch)
-            if len(n):
-                total += (p * (n * rates.of(n, p))[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], ["i", "x"])
+@dataclass
+class Look:
+    """Sums over the documents at one point g."""
 
-    rows = members.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    return np.array([r["x"] for r in rows]) if rows else np.zeros(k)
+    tokens: np.ndarray  # of each domain
+    squares: float  # of the rates
+    moments: np.ndarray  # mass mass' of documents with a positive rate
+    edge: float  # least cosine of a document's posteriors with g
 
 
-def _moments(members: DataFrame, scale: float, k: int) -> np.ndarray:
-    """Sum over documents of mass mass'."""
+def _looks(members: DataFrame, scale: float, points: np.ndarray) -> list[Look]:
+    """The sums at each point, from one pass."""
+    n_points, k = points.shape
+    norms = np.linalg.norm(points, axis=1)
+    norms[norms == 0] = 1
 
     def run(batches):
-        total = np.zeros((k, k))
+        sums, edges = np.zeros((n_points, k + 1 + k * k)), np.ones(n_points)
         for batch in batches:
             n, p = _arrays(batch)
-            if len(n):
-                mass = p * (n / scale)[:, None]
-                total += mass.T @ mass
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], ["i", "x"])
-
-    rows = members.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    return np.array([r["x"] for r in rows]).reshape(k, k) if rows else np.zeros((k, k))
+            n, p = n[n > 0], p[n > 0]
+            if not len(n):
+                continue
+            mass = p * (n / scale)[:, None]
+            for i, point in enumerate(points):
+                rate = np.maximum(0, 1 - mass @ point)
+                left = mass[rate > 0]
+                sums[i] += np.concatenate([rate @ mass, [rate @ rate], (left.T @ left).ravel()])
+                edges[i] = min(edges[i], ((p @ point) / np.linalg.norm(p, axis=1)).min() / norms[i])
+        x = np.concatenate([sums.ravel(), edges])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x)], ["i", "x"])
+
+    rows = members.select("n_tokens", "p").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"), F.min("x").alias("low")).orderBy("i").collect()
+    sums = np.array([r["x"] for r in rows[:-n_points]]).reshape(n_points, -1)
+    edges = [r["low"] for r in rows[-n_points:]]
+    return [Look(x[:k], x[k], x[k + 1 :].reshape(k, k), edge) for x, edge in zip(sums, edges)]
+
+
+def _least_gap(edge: float, point: np.ndarray, targets: np.ndarray) -> float:
+    """A length that the gap of no nonnegative rates falls below.
+
+    With u along g and every mass at least ``edge`` times its length along u, the domains'
+    tokens x have x . u >= min(edge, 0) sum(x), so x cannot come near targets far on the other side.
+    """
+    length = np.linalg.norm(point)
+    if not length:
+        return 0.0
+    short = max(0.0, -edge)
+    return float(max(0.0, -(targets @ point) / length - short * targets.sum()) / (1 + short * np.sqrt(len(targets))))
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
-    """Rates whose expected domain tokens are the shares ``targets`` of all tokens, as near as nonnegative rates come."""
-    k = len(targets)
+    """Rates whose expected domain tokens are the shares ``targets`` of all tokens, as near as nonnegative rates come.
+
+    Ends when every gap is within CLOSE, or when the gap is proved to be within CLOSE of the
+    least one; otherwise it raises. ``gap`` of the result is what is left.
+    """
     total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-    rates = Rates([], max(total, 1.0))
-    inverse = np.linalg.pinv(_moments(members, rates.scale, k), rcond=1e-12)
-    for _ in range(ROUNDS):
-        gap = _totals(members, rates, k) / rates.scale - targets
-        if not total or np.abs(gap).max() <= CLOSE:
-            break
-        rates.steps.append(inverse @ gap)
-    return rates
+    if not total:
+        return Rates([], 1.0)
+    point = np.zeros(len(targets))
+    look = _looks(members, total, point[None])[0]
+    size = np.trace(look.moments)
+    for damping in DAMPINGS:
+        soft = damping * size
+
+        def height(at: np.ndarray, seen: Look) -> float:
+            return seen.squares / 2 + targets @ at + soft * (at @ at) / 2
+
+        for _ in range(ROUNDS):
+            gap = look.tokens - targets
+            slope = soft * point - gap
+            if np.abs(gap).max() <= CLOSE or np.linalg.norm(gap) - _least_gap(look.edge, point, targets) <= CLOSE:
+                if np.abs(gap).max() > CLOSE:
+                    warnings.warn(f"no rates meet the targets: gap {gap.tolist()} of all tokens", stacklevel=2)
+                return Rates([point], total, gap)
+            if np.abs(slope).max() <= CLOSE / 1000:
+                break
+            step = np.linalg.solve(look.moments + soft * np.eye(len(point)), -slope)
+            points = point + LENGTHS[:, None] * step
+            looks = _looks(members, total, points)
+            heights = np.array([height(x, seen) for x, seen in zip(points, looks)])
+            now = height(point, look)
+            best = 0 if heights[0] <= now + 1e-4 * (slope @ step) + 1e-13 * abs(now) else int(heights.argmin())
+            point, look = points[best], looks[best]
+    raise RuntimeError(f"rates not fitted after {ROUNDS} steps with each damping: gap {(look.tokens - targets).tolist()} of all tokens")
 
 
 def _luck(id_: Column) -> Column:

@@ -313,6 +313,29 @@ def test_clipped_rates_reach_the_optimum(spark):
     assert b < 0.01 and all(r["rate"] >= 0 for r in rows)
 
 
+def test_mixing_with_few_very_long_documents(spark):
+    rng = np.random.default_rng(5)
+    domain = rng.choice(3, 10_000, p=[0.5, 0.3, 0.2])
+    rows = [(i, int(n), [0.99 if d == j else 0.005 for j in range(3)]) for i, (n, d) in enumerate(zip(rng.integers(100, 400, 10_000), domain))]
+    for long, words in ((30, 20_000), (9, 200_000)):
+        more = [(10_000 + i, words, [0.99, 0.005, 0.005] if i % 3 else [0.005, 0.99, 0.005]) for i in range(long)]
+        members = spark.createDataFrame(rows + more, "doc_id long, n_tokens long, p array<double>")
+        targets = np.array([0.85, 0.1, 0.05])
+        rates = mixing.fit_rates(members, targets)
+        n, p = np.array([r[1] for r in rows + more], float), np.array([r[2] for r in rows + more])
+        rate = rates.of(n, p)
+        gap = (p * (n * rate)[:, None]).sum(axis=0) / n.sum() - targets
+        assert np.abs(gap).max() <= mixing.CLOSE and rate.min() >= 0
+
+
+def test_mixing_tells_a_gap_that_no_rates_close(spark):
+    members = spark.createDataFrame([(i, 10, [0.9, 0.1] if i % 2 else [0.6, 0.4]) for i in range(40)], "doc_id long, n_tokens long, p array<double>")
+    rates = mixing.fit_rates(members, np.array([0.2, 0.8]))
+    # the nearest point of the ray along (0.6, 0.4)
+    best = np.array([0.6, 0.4]) * (0.6 * 0.2 + 0.4 * 0.8) / (0.36 + 0.16) - [0.2, 0.8]
+    assert np.abs(rates.gap - best).max() < 5e-3 and np.linalg.norm(rates.gap) - np.linalg.norm(best) <= mixing.CLOSE
+
+
 def test_mixing_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = documents(spark, ODD)
