@@ -260,42 +260,46 @@ def _column(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def _shapes(batches):
-    """(host, shape, path, low, high): distinct shapes, and the range of text hashes at each path, of some pages."""
+    """(host, shape, path, low, high, first, last): distinct shapes, and at each path the range of text hashes and of the hashes of the pages that hold it."""
+    names = ("host", "shape", "path", "low", "high", "first", "last")
     for batch in batches:
         shapes: set[tuple[str, str]] = set()
         texts: dict[tuple[str, str], list[int]] = {}
         for host, page in zip(_column(batch, "host"), _column(batch, "html")):
             root = parse(page)
             shapes.add((host, _encode(shape_of(root))))
-            for b in blocks_of(root):
+            found = blocks_of(root)
+            whole = xxhash.xxh64_intdigest("\n".join(b.text for b in found)) >> 1  # pages of equal texts are copies
+            for b in found:
                 h = xxhash.xxh64_intdigest(b.text) >> 1
-                seen = texts.setdefault((host, b.path), [h, h])
-                seen[0], seen[1] = min(seen[0], h), max(seen[1], h)
-        rows = [(h, s, None, None, None) for h, s in sorted(shapes)] + [(h, None, p, lo, hi) for (h, p), (lo, hi) in texts.items()]
+                seen = texts.setdefault((host, b.path), [h, h, whole, whole])
+                seen[:] = min(seen[0], h), max(seen[1], h), min(seen[2], whole), max(seen[3], whole)
+        rows = [(h, s, *[None] * 5) for h, s in sorted(shapes)] + [(h, None, p, *seen) for (h, p), seen in texts.items()]
         yield pa.RecordBatch.from_pylist(
-            [dict(zip(("host", "shape", "path", "low", "high"), r)) for r in rows],
-            pa.schema([("host", pa.string()), ("shape", pa.string()), ("path", pa.string()), ("low", pa.int64()), ("high", pa.int64())]),
+            [dict(zip(names, r)) for r in rows], pa.schema([(c, pa.string() if c in names[:3] else pa.int64()) for c in names])
         )
 
 
 def _infer(key, frames):
-    """The wrapper of a host from its distinct shapes, largest first."""
+    """The wrapper of a host from its distinct shapes, largest first and then in text order, however they arrive."""
     wrapper = None
     for frame in frames:
-        for text in frame.sort_values("shape", key=lambda s: s.str.len(), ascending=False, kind="stable")["shape"]:
+        for text in sorted(frame["shape"], key=lambda s: (-len(s), s)):
             shape = _decode(text)
             wrapper = shape if wrapper is None else align(wrapper, shape)
     yield pd.DataFrame({"host": [key[0]], "wrapper": [_encode(wrapper)]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, constant): expression of each host's pages, and the paths whose text never differs."""
-    spread = stored(pages.select("host", "html").mapInArrow(_shapes, "host string, shape string, path string, low long, high long"), "shapes")
+    """(host, wrapper, constant): expression of each host's pages, and the paths whose text several different pages hold and none changes."""
+    kinds = "host string, shape string, path string, low long, high long, first long, last long"
+    spread = stored(pages.select("host", "html").mapInArrow(_shapes, kinds), "shapes")
     shapes = spread.filter("shape is not null").select("host", "shape").distinct()
     wrappers = shapes.groupBy("host").applyInPandas(lambda key, frame: next(_infer(key, [frame])), "host string, wrapper string")
     fixed = (
-        spread.filter("path is not null").groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"))
-        .filter("low = high and n > 1").groupBy("host").agg(F.collect_set("path").alias("constant"))
+        spread.filter("path is not null").groupBy("host", "path")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .filter("low = high and first < last").groupBy("host").agg(F.collect_set("path").alias("constant"))
     )
     return wrappers.join(fixed, "host", "left")
 

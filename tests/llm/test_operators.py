@@ -373,6 +373,17 @@ def test_pages_without_article_drop_constant_slots(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_constant_slots_do_not_depend_on_batches_or_copies(spark):
+    menu = "<body><div class=top>Welcome</div><div class=body>story {}</div>{}</body>"
+    pages = [(i, "http://h/x", menu.format(i, "")) for i in range(5)] + [(i, "http://h/x", menu.format(7, "<blockquote>said once</blockquote>")) for i in (7, 8)]
+    want = {i: f"story {i}" for i in range(5)} | {7: "story 7\nsaid once", 8: "story 7\nsaid once"}
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 7):
+        assert {r["page_id"]: r["text"] for r in wrappers.extract(frame.repartition(parts)).collect()} == want
+    copies = frame.filter("page_id >= 7").unionByName(frame.filter("page_id = 7"))
+    assert {r["text"] for r in wrappers.extract(copies.repartition(3)).collect()} == {"Welcome\nstory 7\nsaid once"}
+
+
 # op9
 
 
