@@ -1,8 +1,8 @@
 """Main text of HTML pages through wrappers inferred per host.
 
 A page's markup is a tree in which adjacent equal subtrees are folded into a repeated
-group and texts are slots. The distinct trees of a host are aligned one after the other
-into a union-free expression: what only some pages have becomes optional, what follows
+group and texts are slots. The distinct trees of a host are aligned, by parts and then the
+parts, into a union-free expression: what only some pages have becomes optional, what follows
 itself becomes repeated, and text slots stay. Slots inside the article that no menu, form,
 notice or other side matter encloses are the main text; a host without an article falls
 back to the slots of its body whose text differs between pages. A page's text is read from
@@ -16,15 +16,15 @@ import json
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoweave.llm.base import query, stored, table
 from ontoweave.llm.url_filter import host_of
 
+SALTS = 64  # parts of a host whose shapes are aligned first, each on its own
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$|(?=<))", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -280,14 +280,31 @@ def _shapes(batches):
         )
 
 
-def _infer(key, frames):
-    """The wrapper of a host from its distinct shapes, largest first and then in text order, however they arrive."""
-    wrapper = None
-    for frame in frames:
-        for text in sorted(frame["shape"], key=lambda s: (-len(s), s)):
+def _fold(batches):
+    """(host, shape): one expression of the shapes of each key, whose rows stand together."""
+    key, wrapper = None, None
+    for batch in batches:
+        out = []
+        for host, salt, text in zip(_column(batch, "host"), batch.column(batch.schema.get_field_index("salt")).to_pylist(), _column(batch, "shape")):
             shape = _decode(text)
-            wrapper = shape if wrapper is None else align(wrapper, shape)
-    yield pd.DataFrame({"host": [key[0]], "wrapper": [_encode(wrapper)]})
+            if key == (host, salt):
+                wrapper = align(wrapper, shape)
+                continue
+            if key is not None:
+                out.append((key[0], _encode(wrapper)))
+            key, wrapper = (host, salt), shape
+        yield _expressions(out)
+    yield _expressions([] if key is None else [(key[0], _encode(wrapper))])
+
+
+def _expressions(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["host", "shape"])
+
+
+def folded(shapes: DataFrame, salt: Column) -> DataFrame:
+    """The (host, shape) of each host and salt aligned into one, largest first and then in text order, however they arrive."""
+    keyed = shapes.select("host", "shape", salt.alias("salt")).repartition("host", "salt")
+    return keyed.sortWithinPartitions("host", "salt", F.length("shape").desc(), "shape").mapInArrow(_fold, "host string, shape string")
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -295,7 +312,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     kinds = "host string, shape string, path string, low long, high long, first long, last long"
     spread = stored(pages.select("host", "html").mapInArrow(_shapes, kinds), "shapes")
     shapes = spread.filter("shape is not null").select("host", "shape").distinct()
-    wrappers = shapes.groupBy("host").applyInPandas(lambda key, frame: next(_infer(key, [frame])), "host string, wrapper string")
+    partial = folded(shapes, F.pmod(F.xxhash64("shape"), F.lit(SALTS)))
+    wrappers = folded(partial, F.lit(0).cast("long")).withColumnRenamed("shape", "wrapper")
     fixed = (
         spread.filter("path is not null").groupBy("host", "path")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"))

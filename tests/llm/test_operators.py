@@ -373,6 +373,15 @@ def test_pages_without_article_drop_constant_slots(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_shapes_of_a_host_are_aligned_in_parts(spark):
+    shapes = [wrappers.shape_of(wrappers.parse(f"<body><div class=c{i}><p>a</p></div>{'<ul><li>1</ul>' * (i % 3)}<p>b</body>")) for i in range(200)]
+    frame = spark.createDataFrame([("h", wrappers._encode(s)) for s in shapes] + [("g", wrappers._encode(shapes[0]))], "host string, shape string")
+    partial = wrappers.folded(frame, F.pmod(F.xxhash64("shape"), F.lit(wrappers.SALTS)))
+    assert 30 < partial.filter("host = 'h'").count() <= wrappers.SALTS
+    found = {r["host"]: wrappers._decode(r["shape"]) for r in wrappers.folded(partial.repartition(5), F.lit(0)).collect()}
+    assert set(wrappers.slots(found["h"])) == {p for s in shapes for p in wrappers.slots(s)} and found["g"] == shapes[0]
+
+
 def test_constant_slots_do_not_depend_on_batches_or_copies(spark):
     menu = "<body><div class=top>Welcome</div><div class=body>story {}</div>{}</body>"
     pages = [(i, "http://h/x", menu.format(i, "")) for i in range(5)] + [(i, "http://h/x", menu.format(7, "<blockquote>said once</blockquote>")) for i in (7, 8)]
