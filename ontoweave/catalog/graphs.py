@@ -106,6 +106,15 @@ def relation_series(spark, sf):
     return docgraph.dedupe_relations(docgraph.series_relations(citing(spark, sf)))
 
 
+@query("relation_members", HEAD + f""", gm AS (SELECT DISTINCT 'quote' AS kind, quote_key AS group_key, document_id FROM qk WHERE length(quote_key) >= 6
+UNION ALL SELECT DISTINCT 'series', k, document_id FROM (SELECT document_id, {SERIES_KEY} AS k FROM c) WHERE length(k) >= 8
+UNION ALL SELECT DISTINCT 'number', regexp_replace(number, '号$', ''), document_id FROM c)
+SELECT *, min(document_id) OVER (PARTITION BY kind, group_key) AS representative, count(*) OVER (PARTITION BY kind, group_key) AS size FROM gm""")
+def relation_members(spark, sf):
+    docs = citing(spark, sf)
+    return docgraph.relation_members(docs.withColumn("own_numbers", tx.doc_numbers(F.col("number"))), quotes_of(docs))
+
+
 @query("relation_title_citations", HEAD + f", {TITLES} {_dedupe_sql('SELECT * FROM titled')}")
 def relation_title_citations(spark, sf):
     docs = citing(spark, sf)

@@ -118,6 +118,28 @@ def _group_pairs(members: DataFrame, key: str, bounds: tuple[int, int], extra: l
     return left.join(right, key).filter("source_document_id <> target_document_id")
 
 
+def relation_members(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(kind, group_key, document_id, representative, size): one row a member of each quote, series and number, of any group size.
+
+    ``docs``: document_id, title, own_numbers. ``quotes``: document_id, quote.
+    """
+    own = (
+        quotes.select(F.lit("quote").alias("kind"), tx.relation_text_key(F.col("quote")).alias("group_key"), "document_id").filter(F.length("group_key") >= 6)
+        .unionByName(docs.select(F.lit("series").alias("kind"), tx.series_key(F.col("title")).alias("group_key"), "document_id").filter(F.length("group_key") >= 8))
+        .unionByName(docs.select(F.lit("number").alias("kind"), F.explode("own_numbers").alias("group_key"), "document_id"))
+    ).distinct()
+    sizes = own.groupBy("kind", "group_key").agg(F.min("document_id").alias("representative"), F.count("*").alias("size"))
+    return own.join(sizes, ["kind", "group_key"]).select("kind", "group_key", "document_id", "representative", "size")
+
+
+def focus_pairs(members: DataFrame, focus: DataFrame) -> DataFrame:
+    """(kind, group_key, source_document_id, target_document_id) of the asked documents with all others of their groups, large ones too."""
+    asked = members.join(focus.select("document_id").distinct(), "document_id", "left_semi")
+    source = asked.select("kind", "group_key", F.col("document_id").alias("source_document_id"))
+    target = members.select("kind", "group_key", F.col("document_id").alias("target_document_id"))
+    return source.join(target, ["kind", "group_key"]).filter("source_document_id <> target_document_id")
+
+
 def shared_references(quotes: DataFrame) -> DataFrame:
     """Documents that quote the same title. ``quotes``: document_id, quote."""
     keyed = quotes.withColumn("quote_key", tx.relation_text_key(F.col("quote"))).filter(F.length("quote_key") >= 6)

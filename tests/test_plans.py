@@ -213,3 +213,14 @@ def test_tap_change_and_anchors(spark):
     assert tx.anchor_terms("查询 2024 交通局 市委 批示 数字经济") == ["批示", "交通局", "市委", "数字经济"]
     m = spark.createDataFrame([({"a": "", "b": "x"},)], "m map<string,string>")
     assert m.select(tx.compact_map(F.col("m"))).first()[0] == {"b": "x"}
+
+
+def test_members_of_large_groups_are_kept(spark):
+    docs = spark.createDataFrame([(i, "关于做好安全生产工作的通知", ["国办发〔2020〕7"]) for i in range(12)], "document_id long, title string, own_numbers array<string>")
+    quotes = spark.createDataFrame([(i, "安全生产管理条例") for i in range(12)], "document_id long, quote string")
+    members = docgraph.relation_members(docs, quotes)
+    rows = members.collect()
+    assert {(r["kind"], r["document_id"]) for r in rows} == {(k, i) for k in ("quote", "series", "number") for i in range(12)}
+    assert {(r["representative"], r["size"]) for r in rows} == {(0, 12)} and len(rows) == 36
+    pairs = docgraph.focus_pairs(members, spark.createDataFrame([(3,)], "document_id long"))
+    assert pairs.count() == 33 and {r["target_document_id"] for r in pairs.collect()} == set(range(12)) - {3}
