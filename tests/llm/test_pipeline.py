@@ -42,3 +42,12 @@ def test_stages_take_odd_rows(spark):
             assert out.columns == docs.columns, name
             assert out.count() <= 2 * frame.count(), name
     assert np.array([len(corpus_pipeline.STAGES)]) == 5
+
+
+def test_different_texts_of_one_id_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    one, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("apple", "brick", "cloud"))
+    rows = [(5, one, "en", "s", len(one)), (5, other, "en", "s", len(other)), (5, one, "en", "s", len(one)), (7, other, "en", "s", len(other)), (8, third, "en", "s", len(third))]
+    frame = spark.createDataFrame(rows, docs.schema)
+    kept = corpus_pipeline.near_duplicates(spark, frame, SF)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(5, one), (5, other), (8, third)]
