@@ -49,3 +49,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sql_crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB's SQL, which has no such function: eight steps of the polynomial a byte."""
+    byte = f"('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::UBIGINT"
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))"
+    start = "4294967295::UBIGINT"
+    data = f"list_transform(range(0, octet_length(encode({text})), 1), lambda i: {byte})"
+    return f"xor({start}, list_reduce(list_concat([{start}], {data}), lambda c, b: {bits}))"
