@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,10 +32,13 @@ TURN = {START: AFTER_U, AFTER_S: AFTER_U, AFTER_U: AFTER_A, AFTER_A: AFTER_U}  #
 ROLE = {AFTER_U: "user", AFTER_A: "assistant"}
 FITS = {(START, "s"): AFTER_S, (START, "u"): AFTER_U, (AFTER_S, "u"): AFTER_U, (AFTER_U, "a"): AFTER_A, (AFTER_A, "u"): AFTER_U}
 ENDS = (START, AFTER_A)
+STATE_OF = {"s": AFTER_S, "u": AFTER_U, "a": AFTER_A}
+PAIR = min(COSTS[DELETE] - TRUNCATED, COSTS[INSERT], COSTS[REROLE])  # what neighbours that do not fit cost beyond their truncation
 LEGAL = {"su", "ua", "au"}
 
 PIECE = 256  # groups of equal rows in a piece
 JOINED = 16  # pieces joined at once
+SHORT = 16  # items up to which a worker remembers repairs
 
 Item = tuple[str, int, int]  # (role's initial, 1 if truncated, rows that must go: a run of them is one item)
 
@@ -53,9 +57,23 @@ class Search:
     def __init__(self, items: list[Item], ends: tuple[int, ...]):
         self.items, self.ends = items, ends
         self.least = [0] * (len(items) + 1)  # what the rest costs at least, whatever its roles
+        self.place = [0] * (len(items) + 1)  # how many rows before may stay
+        for k, (_, _, gone) in enumerate(items):
+            self.place[k + 1] = self.place[k] + (not gone)
         for k in range(len(items) - 1, -1, -1):
             _, truncated, gone = items[k]
             self.least[k] = self.least[k + 1] + (COSTS[DELETE] * gone or truncated)
+        # Neighbours whose roles do not fit need an edit of 2 or more between them or on one of them, so as many such
+        # pairs as have no row in common count in full; the end is the last row's neighbour.
+        self.staying = [initial for initial, _, gone in items if not gone]
+        m = len(self.staying)
+        self.pairs = [0] * (m + 2)
+        for j in range(m - 1, -1, -1):
+            if j == m - 1:
+                fits = STATE_OF.get(self.staying[j]) in ends
+            else:
+                fits = self.staying[j] + self.staying[j + 1] in LEGAL
+            self.pairs[j] = self.pairs[j + 1] if fits else max(self.pairs[j + 1], 1 + self.pairs[j + 2])
         self.fails: dict[tuple[int, int], int] = {}  # cost under which no path from here accepts
 
     def moves(self, k: int, state: int) -> list[tuple[str, int, int, int]]:
@@ -74,7 +92,10 @@ class Search:
         return out
 
     def bound(self, k: int, state: int) -> int:
-        return max(self.least[k], self.fails.get((k, state), 0))
+        j = self.place[k]
+        fits = (state, self.staying[j]) in FITS if j < len(self.staying) else state in self.ends
+        pairs = self.pairs[j] if fits else max(self.pairs[j], 1 + self.pairs[j + 1])
+        return max(self.least[k] + PAIR * pairs, self.fails.get((k, state), 0))
 
     def from_state(self, start: int) -> tuple[int, str]:
         """(cost, edits) from the first item; the bound grows by what the last depth found it lacks."""
@@ -106,7 +127,7 @@ class Search:
             cost += price
             if k == n and state in self.ends and cost <= bound:
                 return "".join([*(f[5] for f in frames), edits])
-            lack = price + (0 if k == n and state in self.ends else self.bound(k, state))
+            lack = price + self.bound(k, state)
             if cost - price + lack > bound:
                 top[4] = lack if top[4] is None else min(top[4], lack)
                 continue
@@ -114,26 +135,35 @@ class Search:
         return None
 
 
-def reachable(items: list[Item], start: int, end: int) -> bool:
-    """Whether edits lead from one role state to the other at all."""
-    if end == START:
-        return start == START
-    if end == AFTER_S:
-        return start == AFTER_S or start == START and any(i == "s" and not gone for i, _, gone in items)
-    return True
-
-
 def repair(items: list[Item]) -> tuple[int, str]:
     """(cost, edits) of a whole conversation."""
-    return Search(items, ENDS).from_state(START)
+    return _short_repair(tuple(items)) if len(items) <= SHORT else Search(items, ENDS).from_state(START)
+
+
+@lru_cache(maxsize=1 << 15)
+def _short_repair(items: tuple[Item, ...]) -> tuple[int, str]:
+    return Search(list(items), ENDS).from_state(START)
+
+
+def _deleted(items: list[Item]) -> tuple[int, str]:
+    edits = "".join(DELETE * (gone or 1) for _, _, gone in items)
+    return COSTS[DELETE] * len(edits), edits
 
 
 def edit_table(items: list[Item]) -> list[tuple[int, int, int, str]]:
-    """(start, end, cost, edits) between all role states that the piece can lead from and to."""
-    out = []
-    for end in range(4):
+    """(start, end, cost, edits) between all role states that the piece can lead from and to.
+
+    Only deleted rows lead from the start or from a system turn to itself, and one system turn that stays from one to the other.
+    """
+    out = [(state, state, *_deleted(items)) for state in (START, AFTER_S)]
+    system = [(truncated, -k) for k, (initial, truncated, gone) in enumerate(items) if initial == "s" and not gone]
+    if system:
+        truncated, k = min(system)
+        before, after = _deleted(items[:-k]), _deleted(items[1 - k :])
+        out.append((START, AFTER_S, before[0] + COSTS[KEEP] + truncated + after[0], before[1] + KEEP + after[1]))
+    for end in (AFTER_U, AFTER_A):
         search = Search(items, (end,))
-        out += [(start, end, *search.from_state(start)) for start in range(4) if reachable(items, start, end)]
+        out += [(start, end, *search.from_state(start)) for start in range(4)]
     return out
 
 
