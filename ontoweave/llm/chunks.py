@@ -15,8 +15,9 @@ import pyarrow as pa
 
 # A full stop or comma after a plain word is a chunk of its own: no tokenizer here joins it to letters.
 _CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[ \t\n\r]|$))|[.,](?=[ \t\n\r]|$)|[^ \t\n\r]+").findall
-KNOWN = 5 << 18  # chunks remembered before the memory starts anew
-BLOCK = 1 << 22  # characters encoded together
+KNOWN = 1 << 19  # chunks remembered before the memory starts anew
+KNOWN_CHARS = 1 << 23  # and characters in them
+BLOCK = 1 << 21  # characters encoded together
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,12 +43,13 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self._index = _Numbered()
+        self._chars = 0
         self._ids = np.empty(0, np.uint32)
         self._start = np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the bounds of each text in them."""
-        if len(self._index) > KNOWN:
+        if len(self._index) > KNOWN or self._chars > KNOWN_CHARS:
             self._forget()
         cut = [_CHUNK(t) for t in texts]
         chunks = [c for text in cut for c in text]
@@ -55,6 +57,7 @@ class ChunkEncoder:
         at = np.fromiter(map(self._index.__getitem__, chunks), np.int64, len(chunks))
         new = list(islice(self._index, known, None))
         if new:
+            self._chars += sum(map(len, new))
             ids, bounds = self._encode_new(new)
             self._ids = np.concatenate([self._ids, ids.astype(np.uint32)])
             self._start = np.concatenate([self._start, self._start[-1] + bounds[1:]])

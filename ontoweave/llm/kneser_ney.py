@@ -22,6 +22,7 @@ from ontoweave.llm.words import Texts, mix64, text_blocks, text_column
 
 ORDER = 4  # characters in the longest n-gram
 SAMPLE = 1000  # training texts a language at most, by the hash of their id: the bound of what a model can hold
+LANGUAGES = 1000  # with the most labelled rows
 UNKNOWN = "und"
 _U = np.uint64
 _EDGE = 0  # symbol before and after a run of letters
@@ -202,13 +203,21 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame) -> LanguageModel | None:
-    """Model from ``labelled`` (id, text, lang), at most SAMPLE texts a language; None without any letter."""
+    """Model from ``labelled`` (id, text, lang), at most SAMPLE different texts a language; None without any letter.
+
+    Of each language those with the smallest hashes of id and text are taken. Its number of rows gives a hash under
+    which about twice as many lie, so what meets in one task does not grow with the input, however often a row stands.
+    """
     from pyspark.sql import Window
 
-    pick = labelled.filter("text is not null and lang is not null")
-    keys = pick.select("id", "lang", F.xxhash64("id").alias("h"))
-    first = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= SAMPLE)
-    sample = pick.join(F.broadcast(first.select("id", "lang").distinct()), ["id", "lang"], "left_semi").select("id", "lang", "text")
+    pick = labelled.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    rows = {r["lang"]: r["n"] for r in pick.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    share = (F.col("h") / F.lit(2.0**64)) + 0.5
+    under = F.lit(False)
+    for lang, n in rows.items():
+        under = F.when(F.col("lang") == lang, share < 2.0 * SAMPLE / n).otherwise(under)
+    few = pick.filter(under).dropDuplicates(["lang", "h"])
+    sample = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= SAMPLE).select("lang", "text")
     sample = sample.persist()
     counted = (
         sample.select("lang", "text").mapInArrow(_count, "lang string, k int, gram long, history long, suffix long, n long")
@@ -236,6 +245,7 @@ def train(labelled: DataFrame) -> LanguageModel | None:
 
     seen = sample.select("lang", "text").mapInArrow(own_bits, "at int, bits double, letters long").filter("letters > 0").toPandas()
     sample.unpersist()
+    shared.destroy()
     for k, part in seen.groupby("at"):
         middle = float(part["bits"].median())
         model.typical[k] = middle

@@ -266,6 +266,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int)
     ids = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
     wanted = pairs.sparkSession.sparkContext.broadcast(id_filter(ids))
     sets = stored(texts.mapInArrow(_sets(wanted), "id long, elements binary"), "sets")
+    wanted.destroy()  # the stored sets are read from here on
     one = sets.select(F.col("id").alias("src"), F.col("elements").alias("set_a"))
     other = sets.select(F.col("id").alias("dst"), F.col("elements").alias("set_b"))
     return pairs.join(one, "src").join(other, "dst").mapInArrow(_linked(percent), "src long, dst long").distinct()
@@ -301,6 +302,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         .filter("members > 1").drop("members")
     )
     lists = stored(lists, "lists")
+    heavy.destroy()  # the stored lists are read from here on
     maps = sigs.select("id", "bits")
 
     hubs = (
