@@ -254,7 +254,7 @@ def register_documents(registry: FunctionRegistry) -> None:
     def analyze(repo, relation_types="", top_n=10, min_confidence=0.0, **_):
         """Degree, rank and community of the best connected documents."""
         arcs = cut_lineage(edges(repo, relation_types, min_confidence).select("src", "dst", F.col("score").alias("weight")))
-        joined = graph.degrees(arcs).join(graph.pagerank(arcs), "node").join(graph.communities(arcs), "node")
+        joined = graph.degrees(arcs).join(graph.pagerank(arcs), "node").join(graph.modularity_communities(arcs), "node")
         return joined.orderBy(F.col("weighted_degree").desc(), "node").limit(int(top_n or 10))
 
     functions = {

@@ -30,7 +30,7 @@ def test_query(spark, con, name):
 
 def test_names_are_unique_and_checked():
     assert len(QUERIES) > 100 and set(ORACLES) <= set(QUERIES)
-    assert {"doc_markdown_chunks", "doc_sections", "doc_metadata", "doc_best_year"} == set(QUERIES) - set(ORACLES)
+    assert {"doc_markdown_chunks", "doc_sections", "doc_metadata", "doc_best_year", "graph_modularity"} == set(QUERIES) - set(ORACLES)
 
 
 def test_entry(spark):
