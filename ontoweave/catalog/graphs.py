@@ -334,10 +334,3 @@ arcs AS MATERIALIZED (SELECT * FROM bi UNION ALL SELECT node, node, w FROM own),
 def graph_communities(spark, sf):
     return graph.communities(CITES.df(spark, sf), rounds=3)
 
-
-@query("graph_modularity")
-def graph_modularity(spark, sf):
-    """(node, community, modularity): tested against planted groups and small graphs, merging has no SQL."""
-    edges = CITES.df(spark, sf)
-    found = cut_lineage(graph.modularity_communities(edges))
-    return found.withColumn("modularity", F.round(graph.modularity(edges, found).select("modularity").scalar(), 6))
