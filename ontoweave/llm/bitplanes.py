@@ -30,6 +30,8 @@ MAGIC = b"OWPLANE1"
 BLOCK_IDS = 1 << 16  # ids in a transposed block
 FILE_IDS = 1 << 22  # ids after which a file is closed (a longer document stays whole)
 LEVEL = 3
+KNOWN, KNOWN_CHARS = 5 << 18, 1 << 25  # chunks that a worker remembers, and characters in them
+TEXT_BLOCK = 1 << 22  # characters encoded together
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -135,7 +137,7 @@ def _library_encoder(path: str) -> ChunkEncoder:
             ids, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return ids, bounds
 
-    return ChunkEncoder(encode_new)
+    return ChunkEncoder(encode_new, KNOWN, KNOWN_CHARS)
 
 
 def _write(path: str, end_id: int, bits: bool):
@@ -151,7 +153,7 @@ def _write(path: str, end_id: int, bits: bool):
             )
 
         for batch in batches:
-            for first, texts in blocks(batch.column(1)):
+            for first, texts in blocks(batch.column(1), TEXT_BLOCK):
                 ids, bounds = encoder.encode(texts)
                 for doc, lo, hi in zip(batch.column(0).slice(first, len(texts)).to_pylist(), bounds[:-1], bounds[1:]):
                     docs.append(doc)

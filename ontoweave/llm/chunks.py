@@ -37,8 +37,8 @@ class _Numbered(dict):
 class ChunkEncoder:
     """``encode_new`` gives the ids of distinct chunks, all in one array, and the bounds of each."""
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self._encode_new = encode_new
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], known: int = KNOWN, chars: int = KNOWN_CHARS):
+        self._encode_new, self._most, self._most_chars = encode_new, known, chars
         self._forget()
 
     def _forget(self) -> None:
@@ -49,7 +49,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the bounds of each text in them."""
-        if len(self._index) > KNOWN or self._chars > KNOWN_CHARS:
+        if len(self._index) > self._most or self._chars > self._most_chars:
             self._forget()
         cut = [_CHUNK(t) for t in texts]
         chunks = [c for text in cut for c in text]
@@ -77,12 +77,12 @@ def kept_in_worker(kind: str, path: str, make: Callable[[str], object]):
     return _kept[kind, path]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in blocks of bounded size; null is an empty text."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         text = text.as_py() or ""
-        if held and size + len(text) > BLOCK:
+        if held and size + len(text) > limit:
             yield first, held
             first, held, size = i, [], 0
         held.append(text)
