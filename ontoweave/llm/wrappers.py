@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from ontoweave.llm.base import query, stored, table
 from ontoweave.llm.url_filter import host_of
 
+LEVELS = 100  # elements nested deeper are transparent to the wrapper: their texts are slots of their ancestor at this level
 SALTS = 64  # parts of a host whose shapes are aligned first, each on its own
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$|(?=<))", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)|([^<>]*))(?:>|$|(?=<))", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -56,7 +58,7 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """Tree of a page. Unclosed and stray tags are taken as browsers take the common cases."""
+    """Tree of a page. Unclosed and stray tags are taken as browsers take the common cases; a tag with an unclosed quote ends at its first ``>``."""
     root = Node("", "", False)
     stack, at = [root], 0
     while True:
@@ -82,12 +84,13 @@ def parse(page: str) -> Node:
                 stack.pop()
             while len(stack) > 1 and name in ENDED_BY.get(stack[-1].name, ()):
                 stack.pop()
-        node = _element(name, m[3])
+        attributes = m[4] if m[3] is None else m[3]
+        node = _element(name, attributes)
         stack[-1].items.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
             at = close.end() if close else len(page)
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
+        elif name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
     if at < len(page):
         stack[-1].items.append(page[at:])
@@ -108,7 +111,7 @@ def _element(name: str, attributes: str) -> Node:
 Shape = tuple  # (key, flags, (child shapes)); flags: "" once, "?" optional, "+" repeated, "*" both
 
 
-def shape_of(node: Node) -> Shape:
+def shape_of(node: Node, level: int = 0) -> Shape:
     """Folded structure of an element: inline elements vanish, texts are slots, adjacent equals are one repeated group."""
     out: list[Shape] = []
 
@@ -119,17 +122,18 @@ def shape_of(node: Node) -> Shape:
         else:
             out.append(child)
 
-    def walk(n: Node) -> None:
-        for item in n.items:
-            if isinstance(item, str):
-                if not item.isspace():
-                    add(("#", "", ()))
-            elif item.name in INLINE:
-                walk(item)
-            elif item.name not in RAW:
-                add(shape_of(item))
-
-    walk(node)
+    open_ = [iter(node.items)]
+    while open_:
+        item = next(open_[-1], None)
+        if item is None:
+            open_.pop()
+        elif isinstance(item, str):
+            if not item.isspace():
+                add(("#", "", ()))
+        elif item.name in INLINE or (level == LEVELS and item.name not in RAW):
+            open_.append(iter(item.items))
+        elif item.name not in RAW:
+            add(shape_of(item, level + 1))
     return (node.key, "", tuple(out))
 
 
@@ -207,40 +211,54 @@ class Block:
     side: bool
 
 
+@dataclass
+class Frame:
+    """An element whose items are being read; ``block`` is false for inline elements, which belong to the block around them."""
+
+    items: Iterator[Node | str]
+    path: str
+    main: bool
+    side: bool
+    level: int
+    block: bool = True
+
+
 def blocks_of(root: Node) -> list[Block]:
-    """Texts of the page in order, one for each run of inline content, with white space collapsed."""
-    out: list[Block] = []
+    """Texts of the page in order, one for each run of inline content, with white space collapsed.
 
-    def walk(n: Node, path: str, main: bool, side: bool) -> None:
-        held: list[str] = []
-
-        def flush() -> None:
-            text = " ".join(html.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                out.append(Block(path, text, main, side))
-
-        def inner(m: Node) -> None:
-            for item in m.items:
-                if isinstance(item, str):
-                    held.append(item)
-                elif item.name == "br":
-                    held.append(" ")
-                elif item.name in INLINE:
-                    if not item.side:
-                        inner(item)
-                elif item.name not in RAW and item.name not in VOID:
-                    flush()
-                    is_main = main or item.name in ("article", "main")
-                    own_side = item.side or (item.name == "header" and not main)
-                    walk(item, f"{path}/{item.key}", is_main, side or own_side)
-                elif item.name in ("hr",):
-                    flush()
-
-        inner(n)
-        flush()
-
-    walk(root, "", False, False)
+    Character references are decoded within each text of the markup. Any depth is read.
+    """
+    out: list[Block] = []
+    held: list[str] = []
+    open_ = [Frame(iter(root.items), "", False, False, 0)]
+
+    def flush(at: Frame) -> None:
+        text = " ".join("".join(held).split())
+        held.clear()
+        if text:
+            out.append(Block(at.path, text, at.main, at.side))
+
+    while open_:
+        at = open_[-1]
+        item = next(at.items, None)
+        if item is None:
+            open_.pop()
+            if at.block:
+                flush(at)
+        elif isinstance(item, str):
+            held.append(html.unescape(item))
+        elif item.name == "br":
+            held.append(" ")
+        elif item.name in INLINE:
+            if not item.side:
+                open_.append(Frame(iter(item.items), at.path, at.main, at.side, at.level, False))
+        elif item.name not in RAW and item.name not in VOID:
+            flush(at)
+            side = at.side or item.side or (item.name == "header" and not at.main)
+            path = f"{at.path}/{item.key}" if at.level < LEVELS else at.path
+            open_.append(Frame(iter(item.items), path, at.main or item.name in ("article", "main"), side, at.level + 1))
+        elif item.name == "hr":
+            flush(at)
     return out
 
 
@@ -358,7 +376,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row.
 
     Null html is empty and gives an empty text. Pages whose url is null or has no host
-    share one wrapper. Repeated rows and null ids stay, each as its own row; an empty
+    share one wrapper. Markup may be nested to any depth; the wrapper knows its first ``LEVELS``
+    levels and no text is lost below them. Repeated rows and null ids stay, each as its own row; an empty
     table gives an empty result.
     """
     own = pages.select(

@@ -360,12 +360,25 @@ def test_wrapper_alignment():
     ("<header>H</header><nav>n</nav><article><header><h1>T &amp; x</h1></header><p>a<b>b\n c</b><br>d<p>e<div class='comments'>no</div><form>f</form></article><footer>f</footer>", "T & x\nab c d\ne"),
     ("<article><p>a<script>var t='</p>';</script>b</p><!-- c --><aside>s</aside><div class='cookie-notice'>x</div><p>c&nbsp;d</p></article>", "ab\nc d"),
     ("<article><table><tr><td>1<td>2</table><p>unclosed <b>bold", "1\n2\nunclosed bold"),
+    ('<article><p title="x>hello</p><p>b</p></article>', "hello\nb"), ("<article><p>&am<b>p;</b> &amp;lt;</p></article>", "&amp; &lt;"),
 ])
 def test_main_text(page, want):
     slots = wrappers.main_slots(wrappers.shape_of(wrappers.parse(page)), frozenset())
     assert wrappers.main_text(page, slots) == want
 
 
+def test_markup_of_any_depth_and_width(spark):
+    deep = "<div>" * 100_000 + "<nav>n</nav><p>a</p><article><p>deep</p></article>" + "</div>" * 100_000
+    shallow = "<body><article>" + "<section>" * 150 + "<p>a</p><aside>s</aside>b" + "</section>" * 150 + "<p>c</p></article></body>"
+    pages = [(1, "http://h/1", deep), (2, "http://h/2", '<p>x</p>' + '<a "' * 3001), (3, "http://g/1", shallow), (4, "http://g/2", shallow), (5, "http://h/3", "<b>" * 5000 + "bold")]
+    rows = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows[1] == "deep" and rows[2].startswith("x") and rows[3] == rows[4] == "a\nb\nc" and rows[5] == "bold"
+    page = "<body><main>" + "<div class=k>" * 99 + "<p>1</p><ul><li>2</ul>" + "</div>" * 99 + "</main></body>"
+    shape = wrappers.shape_of(wrappers.parse(page))
+    assert {b.path for b in wrappers.blocks_of(wrappers.parse(page))} == set(wrappers.slots(shape))
+    assert wrappers.align(shape, shape) == shape == wrappers._decode(wrappers._encode(shape))
+
+
 def test_pages_without_article_drop_constant_slots(spark):
     pages = [(i, "http://h/x", f"<body><div class=top>Welcome</div><div class=body>story {i}</div></body>", 1) for i in range(5)] + [(9, None, None, 1)]
     rows = {r["page_id"]: r for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text int")).collect()}
