@@ -14,16 +14,16 @@ PHRASES = [
 PICK = "cast(floor(value) as bigint)"
 
 
-def _case(index: str, words: list[str]) -> str:
+def case_of(index: str, words: list[str]) -> str:
     return "case " + " ".join(f"when {index} % {len(words)} = {i} then '{w}'" for i, w in enumerate(words)) + " end"
 
 
 FIELDS = {
     "event_id": "event_id", "kind": "event_type", "chain_id": "concat(cast(user_id as string), '-', cast(cast(ts as date) as string))",
     "t0": "substring(cast(ts as string), 1, 19)", "t1": "concat(cast(cast(ts as date) as string), ' 23:59:59')",
-    "station": _case("user_id", ["锦屏换流站", "复龙换流站", "南桥换流站", "奉贤换流站"]),
-    "device": _case("event_id", ["极1直流线路", "主循环泵P01", "换流变A相", "交流滤波器561", "测控装置"]),
-    "etype": _case("user_id", ["保护", "告警", "操作"]), "s1": _case(PICK, PHRASES), "s2": _case(f"({PICK} + 3)", PHRASES),
+    "station": case_of("user_id", ["锦屏换流站", "复龙换流站", "南桥换流站", "奉贤换流站"]),
+    "device": case_of("event_id", ["极1直流线路", "主循环泵P01", "换流变A相", "交流滤波器561", "测控装置"]),
+    "etype": case_of("user_id", ["保护", "告警", "操作"]), "s1": case_of(PICK, PHRASES), "s2": case_of(f"({PICK} + 3)", PHRASES),
     "nature": "case when value > 50 then '异常' else '正常' end", "level": "cast(1 + event_id % 5 as int)",
 }
 BASE = View("events", FIELDS, heavy=True)
@@ -55,7 +55,7 @@ def _any(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(x, '{w}')" for w in words) + ")"
 
 
-def _flags_sql() -> str:
+def flags_sql() -> str:
     lock = f"(contains(x, '闭锁') AND NOT ({_any(alarms.BENIGN_LOCK)} AND NOT {_any(alarms.TRUE_LOCK)}))"
     context = (
         f"(NOT regexp_matches(x, '{alarms.DENIED_BEFORE}') AND NOT regexp_matches(x, '{alarms.DENIED_AFTER}') AND NOT {_any(alarms.CLEARED)}"
@@ -104,7 +104,7 @@ def alarm_parse_events(spark, sf):
     return parsed(spark, sf).select(*OUT)
 
 
-@query("alarm_event_flags", PARSED + f", {_flags_sql()} SELECT chain_id, sequence, start_time, summary, subsystems, {', '.join(alarms.FLAGS)} FROM fl")
+@query("alarm_event_flags", PARSED + f", {flags_sql()} SELECT chain_id, sequence, start_time, summary, subsystems, {', '.join(alarms.FLAGS)} FROM fl")
 def alarm_event_flags(spark, sf):
     return alarms.with_flags(parsed(spark, sf)).select("chain_id", "sequence", "start_time", "summary", "subsystems", *alarms.FLAGS)
 
@@ -119,17 +119,19 @@ def features(spark, sf):
     return alarms.chain_features(alarms.with_flags(parsed(spark, sf)))
 
 
-@query("alarm_chain_features", PARSED + f", {_flags_sql()}, {FEATURES} SELECT {', '.join(FEATURE_COLUMNS)} FROM feat")
+@query("alarm_chain_features", PARSED + f", {flags_sql()}, {FEATURES} SELECT {', '.join(FEATURE_COLUMNS)} FROM feat")
 def alarm_chain_features(spark, sf):
     return features(spark, sf).select(*FEATURE_COLUMNS)
 
 
-@query("alarm_chain_judgement", PARSED + f", {_flags_sql()}, {FEATURES}" + """
-SELECT chain_id, CASE WHEN has_negative_outcome THEN '异常' WHEN has_ride_through AND has_completion THEN '正常' WHEN has_protection AND has_completion THEN '正常' WHEN has_abnormal THEN '需核查' WHEN has_operation OR has_completion THEN '正常' ELSE '证据不足' END AS event_nature,
+JUDGED = """CASE WHEN has_negative_outcome THEN '异常' WHEN has_ride_through AND has_completion THEN '正常' WHEN has_protection AND has_completion THEN '正常' WHEN has_abnormal THEN '需核查' WHEN has_operation OR has_completion THEN '正常' ELSE '证据不足' END AS event_nature,
   CASE WHEN has_ride_through OR has_protection THEN '严重' WHEN has_severe OR min_alarm_level <= 2 THEN '较高' WHEN has_abnormal THEN '一般' ELSE '低' END AS risk_level,
   CASE WHEN has_ride_through THEN CASE WHEN has_control_switch THEN '直流线路故障穿越及控保系统切换' ELSE '直流线路保护动作及故障穿越' END WHEN has_valve_cooling_abnormal THEN '阀冷系统异常及伴随事件' WHEN has_tap_change THEN '换流变分接开关档位调整'
     WHEN list_contains(string_split(subsystems, ','), 'ac_filter') AND list_contains(string_split(subsystems, ','), 'station_power') THEN '换流器解锁及交流滤波器/站用电联动操作'
-    WHEN list_contains(string_split(subsystems, ','), 'dc_control') AND has_operation THEN '直流控制操作及伴随事件' WHEN has_recorder THEN '故障录波启动及伴随告警' WHEN has_abnormal THEN '二次设备异常告警' ELSE '站内连续运行事件' END AS judged_type FROM feat""")
+    WHEN list_contains(string_split(subsystems, ','), 'dc_control') AND has_operation THEN '直流控制操作及伴随事件' WHEN has_recorder THEN '故障录波启动及伴随告警' WHEN has_abnormal THEN '二次设备异常告警' ELSE '站内连续运行事件' END AS judged_type"""
+
+
+@query("alarm_chain_judgement", PARSED + f", {flags_sql()}, {FEATURES} SELECT chain_id, {JUDGED} FROM feat")
 def alarm_chain_judgement(spark, sf):
     return alarms.judge(features(spark, sf)).select("chain_id", "event_nature", "risk_level", "judged_type")
 
@@ -142,7 +144,7 @@ def _trigger(name: str, matched: str, near: str | None, out: str) -> str:
 _REL, _FIN = "has_tap_change AND has_control_difference", "has_tap_change AND has_completion"
 
 
-@query("alarm_chain_triggers", PARSED + f", {_flags_sql()}, {FEATURES} " + " UNION ALL ".join([
+@query("alarm_chain_triggers", PARSED + f", {flags_sql()}, {FEATURES} " + " UNION ALL ".join([
     _trigger("tap_inconsistency_alarm", "has_tap_inconsistency", _REL, _FIN),
     _trigger("tap_adjustment_failed_or_unfinished", "p_tap_adjustment_failed_or_unfinished", None, _FIN),
     _trigger("tap_mechanism_abnormal", "p_tap_mechanism_abnormal", None, "has_tap_change"),
@@ -155,7 +157,7 @@ def alarm_chain_triggers(spark, sf):
     return alarms.match_triggers(features(spark, sf))
 
 
-@query("alarm_select_events", PARSED + f", {_flags_sql()}" + """
+@query("alarm_select_events", PARSED + f", {flags_sql()}" + """
 SELECT chain_id, sequence, summary, 'abnormal' AS selection FROM fl WHERE abnormal_signal OR severe_signal OR negative_outcome
 UNION ALL SELECT chain_id, sequence, summary, 'companion' FROM fl WHERE (recorder OR normal_completion) AND NOT severe_signal
 UNION ALL SELECT chain_id, sequence, summary, 'main' FROM fl WHERE operation OR protection OR severe_signal""")
