@@ -11,7 +11,7 @@ from ontoweave.functions import text as tx
 from ontoweave.library_schemes import register_schemes
 from ontoweave.operators import filters, graph, links, retrieval
 from ontoweave.operators.geo import EARTH_M, within_range
-from ontoweave.plans import alarms, docgraph, documents, emergency, evidence, grid, payroll
+from ontoweave.plans import alarms, cases, docgraph, documents, emergency, evidence, grid, payroll
 from ontoweave.registry import FunctionRegistry, register_launch, register_lookups, register_missing, register_toll
 from ontoweave.repository import ObjectRepository
 from ontoweave.session import cut_lineage
@@ -194,7 +194,33 @@ def register_alarms(registry: FunctionRegistry) -> None:
         text = repo.spark.createDataFrame([("chain", event_text, station_name)], "chain_id string, event_text string, station_name string")
         return alarms.with_flags(alarms.parse_events(text))
 
+    def sections(repo, query):
+        """Sections that answer the searches of a chain: a hit of any search counts, with its best score."""
+        return evidence.merged_searches(repo.df("EvidenceChunk"), evidence.scenario_searches(query, "diagnosis"), True)
+
+    def judged(repo, event_text, station_name="", evidence_query="", limit_evidence=cases.CASE_SECTIONS, **_):
+        """Judgement of the chain with its facts, triggers and references."""
+        found = sections(repo, evidence_query or event_text)
+        if "station" not in found.columns:
+            found = found.withColumn("station", F.lit(""))
+        return cases.conclusions(cases.judge_cases(flagged(repo, event_text, station_name), found, int(limit_evidence or cases.CASE_SECTIONS)))
+
+    def context(repo, event_text, station_name="", **asked):
+        """Facts and references of the chain with its events by kind and its timeline; the events are stored."""
+        events = flagged(repo, event_text, station_name)
+        if "StationEvent" in repo.ontology.objects:
+            repo.insert("StationEvent", events.join(repo.df("StationEvent").select("event_id"), "event_id", "left_anti"))
+        case = judged(repo, event_text, station_name, **asked).drop("reason", "description", "judged_type", "event_nature", "risk_level")
+        return case.join(cases.case_events(events), "chain_id")
+
+    def conclude(repo, event_text, **asked):
+        """Conclusions as stored: one row per conclusion id, however often the same case is judged."""
+        rows = cases.stored_conclusions(judged(repo, event_text, **asked))
+        repo.insert("EventConclusion", rows.join(repo.df("EventConclusion").select("conclusion_id"), "conclusion_id", "left_anti"))
+        return rows
+
     functions = {
+        "build_substation_case_context": context, "judge_substation_case": judged, "format_substation_conclusion": conclude,
         "parse_substation_events": flagged,
         "assess_substation_event_chain": lambda repo, event_text, **_: alarms.judge(alarms.chain_features(flagged(repo, event_text))),
         "search_substation_evidence": lambda repo, query, limit=8, **_: evidence.scored_searches(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions.numeric import computed_once
-from ontoweave.functions.text import any_of
+from ontoweave.functions.text import any_of, stable_id
 from ontoweave.operators import retrieval
 from ontoweave.operators.grouping import first_wins
 from ontoweave.operators.ordering import top_per_group
@@ -259,3 +259,32 @@ def judge_cases(flagged: DataFrame, sections: DataFrame, limit: int = CASE_SECTI
     joined = features.join(refs, keys, "left")
     joined = joined.withColumn("refs", F.coalesce("refs", none.cast(refs.schema["refs"].dataType)))
     return with_conclusion(joined).drop(*[c for c in joined.columns if c.startswith("_")])
+
+
+def conclusions(cases: DataFrame) -> DataFrame:
+    """Adds ``conclusion_id``: a hash of what was concluded and of the facts and sections behind it."""
+    said = F.to_json(F.struct("judged_type", "event_nature", "risk_level", "description", "reason", "facts", "triggers", "refs"))
+    return cases.withColumn("conclusion_id", F.concat(F.lit("concl_"), stable_id(said, 16)))
+
+
+def stored_conclusions(cases: DataFrame) -> DataFrame:
+    """Conclusions as rows of the domain object: lists as JSON."""
+    lists = {"observed_facts": "facts", "trigger_match": "triggers", "evidence_refs": "refs"}
+    return cases.select(
+        "conclusion_id", F.col("description").alias("event_description"), F.col("judged_type").alias("event_type"), "event_nature", "risk_level", "reason",
+        "evidence_summary", *[F.to_json(c).alias(name) for name, c in lists.items()],
+    ).dropDuplicates(["conclusion_id"])
+
+
+def case_events(flagged: DataFrame) -> DataFrame:
+    """Events of each chain for a reader: ``timeline`` and the ids of its main, companion and abnormal events, in order.
+
+    Lists all events of a chain in one row, so it is for the chains of one question.
+    """
+    lines = alarms.timeline(flagged).select("event_id", "line")
+    kinds = {f"{kind}_events": F.when(alarms.event_test(kind), F.struct("sequence", "start_time", "event_id")) for kind in alarms.EVENT_KINDS}
+    listed = flagged.join(lines, "event_id").groupBy("chain_id").agg(
+        F.sort_array(F.collect_list(F.struct("sequence", "start_time", "event_id", "line"))).alias("timeline"),
+        *[F.sort_array(F.collect_list(picked)).alias(name) for name, picked in kinds.items()],
+    )
+    return listed.select("chain_id", F.transform("timeline", lambda t: t["line"]).alias("timeline"), *[F.transform(k, lambda t: t["event_id"]).alias(k) for k in kinds])
