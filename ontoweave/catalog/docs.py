@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ontoweave.catalog.base import View, ctes, query, sql_words, table
 from ontoweave.functions import text as tx
 from ontoweave.operators import reconcile, retrieval
-from ontoweave.plans import documents, evidence
+from ontoweave.plans import documents, evidence, sections
 
 DOCS = View("documents", {
     "document_id": "doc_id", "title": "split_part(split_part(text, chr(10), 1), '.', 1)", "category": "lang", "agency": "source",
@@ -393,3 +393,45 @@ def doc_sections(spark, sf):
         "document_id", "ordinal", "heading", "char_start", F.length("content").alias("chars"),
         retrieval.evidence_role(F.concat_ws("\n", "heading", "content")).alias("evidence_role"),
     )
+
+
+# --- evidence for many requests ----------------------------------------------------------------
+
+LONG_WORD, KEYWORD, PER_DOCUMENT, BUDGET = 12, 10, 2, 600
+
+
+def _long_words_sql(text: str, size: int) -> str:
+    return f"list_distinct(list_filter({sql_words(f'lower({text})')}, lambda w: length(w) >= {size}))"
+
+
+@query("doc_evidence_bundles", ctes(d=DOCS, c=CHUNKS_SQL) + f""",
+rt AS (SELECT item_id AS request_id, unnest({_long_words_sql('text', LONG_WORD)}) AS term FROM benchmark),
+ct AS (SELECT chunk_id, document_id, path, title, content, {_long_words_sql("coalesce(title, '')", LONG_WORD)} AS tt, {_long_words_sql("coalesce(content, '')", LONG_WORD)} AS bt,
+  len({_long_words_sql("coalesce(content, '')", KEYWORD)}) AS nk FROM c),
+h AS (SELECT chunk_id, term, max(w) AS w FROM (SELECT chunk_id, unnest(tt) AS term, 4 AS w FROM ct UNION ALL SELECT chunk_id, unnest(bt), 1 FROM ct) GROUP BY ALL),
+s AS (SELECT request_id, chunk_id, CAST(sum(w) AS BIGINT) AS hits FROM rt JOIN h USING (term) GROUP BY ALL),
+sc AS (SELECT request_id, s.chunk_id, document_id, path, title, content, hits + least(nk, 5) AS score FROM s JOIN ct ON ct.chunk_id = s.chunk_id),
+o AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY request_id, document_id ORDER BY score DESC, chunk_id) <= {PER_DOCUMENT}),
+b AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS INTEGER) AS pick FROM o QUALIFY pick <= 4),
+f AS (SELECT b.request_id, b.pick, b.chunk_id, length('section_id: ' || chunk_id || chr(10) || 'document: ' || path || chr(10) || 'title: ' || title || chr(10)) AS hl, coalesce(content, '') AS content FROM b
+  UNION ALL SELECT item_id, 1, '0#1', length('section_id: 0#1' || chr(10) || 'document: ' || path || chr(10) || 'title: ' || title || chr(10)), content
+    FROM benchmark, c WHERE chunk_id = '0#1' AND item_id NOT IN (SELECT request_id FROM b)),
+p1 AS (SELECT *, sum(hl + length(content)) OVER (PARTITION BY request_id ORDER BY pick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+p2 AS (SELECT *, {BUDGET} - coalesce(before, 0) - hl AS room FROM p1),
+p3 AS (SELECT *, bool_or(room <= 0) OVER (PARTITION BY request_id ORDER BY pick ROWS UNBOUNDED PRECEDING) AS over FROM p2)
+SELECT request_id, pick, chunk_id AS section_id, substr(content, 1, CAST(room AS BIGINT)) AS text, CAST(coalesce(before, 0) + hl + least(room, length(content)) AS INTEGER) AS used_chars
+FROM p3 WHERE NOT over""")
+def doc_evidence_bundles(spark, sf):
+    """Every benchmark text asks with its long words; the lines of all documents are the sections."""
+    def long_words(text, size):
+        return F.array_distinct(F.filter(tx.word_array(F.lower(F.coalesce(text, F.lit("")))), lambda w: F.length(w) >= size))
+
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("request_id"), "text")
+    terms = asked.select("request_id", F.explode(long_words(F.col("text"), LONG_WORD)).alias("term"))
+    lines = chunks(spark, sf).withColumnRenamed("chunk_id", "section_id")
+    hits = lines.select("section_id", F.explode(long_words(F.col("title"), LONG_WORD)).alias("term"), F.lit(True).alias("in_title")).unionByName(
+        lines.select("section_id", F.explode(long_words(F.col("content"), LONG_WORD)).alias("term"), F.lit(False).alias("in_title")))
+    counted = lines.select("section_id", "document_id", F.size(long_words(F.col("content"), KEYWORD)).alias("n_keywords"))
+    picks = sections.choose_sections(
+        sections.section_scores(terms, counted, hits), asked.select("request_id", F.lit("0#1").alias("source_section_id")), per_document=PER_DOCUMENT)
+    return sections.evidence_bundles(picks, lines, BUDGET).drop("header")

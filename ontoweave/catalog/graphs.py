@@ -334,3 +334,21 @@ arcs AS MATERIALIZED (SELECT * FROM bi UNION ALL SELECT node, node, w FROM own),
 def graph_communities(spark, sf):
     return graph.communities(CITES.df(spark, sf), rounds=3)
 
+
+# The whole text of every document, with its number between the first line and the rest in one of four spellings.
+SPELLINGS = ["国办发〔2020〕{0}", "国办发［2020］ {0}", "国办发 [2020]{0}", "国 办发（2020）\u3000{0}"]
+_SPELLED = "case " + " ".join(f"when doc_id % 5 = {i} then concat('" + p.replace("{0}", "', cast(doc_id as string), '") + "')" for i, p in enumerate(SPELLINGS)) + " else '' end"
+SPELLED = View("documents", {
+    "document_id": "doc_id", "number": "concat('国办发〔2020〕', cast(doc_id as string))", "text": f"concat(text, '\n', {_SPELLED}, '号\n', text)",
+})
+
+
+@query("relation_number_contexts", ctes(s=SPELLED) + """,
+ch AS (SELECT document_id, number, text, string_split(text, '') AS cs FROM s),
+k AS (SELECT *, list_filter(range(1, len(cs) + 1), lambda i: NOT regexp_matches(cs[i], '[\\s\u00a0\u3000]')) AS spots, strpos(regexp_replace(translate(text, '［［[（(］]）)', '〔〔〔〔〔〕〕〕〕'), '[\\s\u00a0\u3000]+', '', 'g'), number) AS p FROM ch),
+f AS (SELECT *, CASE WHEN p > 0 THEN spots[p] ELSE 0 END AS a, CASE WHEN p > 0 THEN spots[p + length(number) - 1] ELSE 0 END AS z FROM k)
+SELECT document_id, CAST(a AS INTEGER) AS position, CASE WHEN a > 0 THEN substr(text, a, z - a + 1) ELSE '' END AS found,
+  CASE WHEN a > 0 THEN substr(text, greatest(a - 180, 1), z + 180 - greatest(a - 180, 1) + 1) ELSE substr(text, 1, 180) END AS context FROM f""")
+def relation_number_contexts(spark, sf):
+    rows = SPELLED.df(spark, sf)
+    return rows.select("document_id", docgraph.number_context(F.col("text"), F.col("number")).alias("_c")).select("document_id", "_c.*")

@@ -175,6 +175,19 @@ def grid_compose_plans(spark, sf):
     return _plans(spark, sf)
 
 
+ANYWHERE = f"""alld AS (SELECT request_id, feeder_id, point_id, {sql_round('d', 1)} AS distance_m FROM (
+  SELECT request_id, feeder_id, point_id, {sql_haversine('q.lng', 'q.lat', 'p.lng', 'p.lat', EARTH)} AS d FROM q, p)),
+nf AS (SELECT * FROM alld QUALIFY row_number() OVER (PARTITION BY request_id, feeder_id ORDER BY distance_m, point_id) = 1)"""
+
+
+@query("grid_single_plans_anywhere", ctes(q=REQUESTS, p=POINTS) + f""", {ANYWHERE}
+SELECT concat_ws('-', request_id, point_id) AS plan_id, request_id, '单电源' AS source_structure, '单电源供电' AS operation_mode, point_id AS point_ids, distance_m AS total_distance_m
+FROM nf QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance_m, point_id) <= 5""")
+def grid_single_plans_anywhere(spark, sf):
+    o = _objects(spark, sf)
+    return grid.compose_single_anywhere(o["requests"], o["points"])
+
+
 SCORES = f"""bounds AS (SELECT request_id, min(total_distance_m) AS lo, max(total_distance_m) AS hi FROM plans GROUP BY 1),
 room AS (SELECT plan_id, sum(least(100::DOUBLE, openable_capacity_kva / 100)) / count(*) AS c FROM (SELECT plan_id, CAST(unnest(string_split(point_ids, ',')) AS BIGINT) AS point_id FROM plans) JOIN p USING (point_id) JOIN f USING (feeder_id) GROUP BY 1),
 s1 AS (SELECT plans.*, {sql_round('CASE WHEN hi > lo THEN 100 * (1 - (total_distance_m - lo) / (hi - lo)) ELSE 100 END', 1)} AS distance_score, {sql_round('coalesce(c, 50)', 1)} AS capacity_score,

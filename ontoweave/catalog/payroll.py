@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ontoweave.catalog.base import View, ctes, query, sql_round, table
@@ -237,3 +238,38 @@ SELECT r.payroll_run_id, CASE WHEN snapshot_id IS NULL THEN 'missing_snapshot' W
 FROM r LEFT JOIN n ON n.payroll_run_id = r.payroll_run_id""")
 def payroll_snapshot_status(spark, sf):
     return payroll.snapshot_status(*[v.df(spark, sf) for v in (RUNS, INPUTS, RUN_SNAPSHOTS, RUN_LINES, VALIDATIONS)])
+
+
+MONTH = {"employee_id": "o_custkey", "tax_year": "cast(year(o_orderdate) as int)", "tax_month": "cast(month(o_orderdate) as int)"}
+EARNED = View("orders", MONTH | {"income": "cast(o_totalprice as decimal(18,2))"})
+DEDUCTED = View("orders", MONTH | {
+    "deduction_type": "case when o_orderstatus = 'F' then '社保' when o_orderstatus = 'O' then '公积金' else '补充' end",
+    "personal_amount": "cast(o_totalprice * 8e-2 as decimal(18,2))",
+})
+_KEYS = "employee_id, tax_year, tax_month"
+
+
+def ledgers(spark, sf):
+    """Ledger of every person and month; every third person's deductions start late, so that some lines exceed them."""
+    keys = _KEYS.split(", ")
+    running = Window.partitionBy("employee_id", "tax_year").orderBy("tax_month").rowsBetween(Window.unboundedPreceding, 0)  # at most twelve rows
+    earned = EARNED.df(spark, sf).groupBy(*keys).agg(F.sum("income").alias("_i"))
+    paid = DEDUCTED.df(spark, sf).filter("deduction_type <> '补充'").groupBy(*keys).agg(F.sum("personal_amount").alias("_p"))
+    joined = earned.join(paid, keys, "left").withColumn("_p", F.coalesce("_p", F.lit(0)))
+    return joined.select(
+        *keys, F.col("_i").cast("double").alias("current_income"), F.sum("_i").over(running).cast("double").alias("cumulative_income"),
+        F.when(F.col("employee_id") % 3 == 0, 0.0).otherwise(F.sum("_p").over(running).cast("double")).alias("cumulative_deductions"),
+    )
+
+
+@query("payroll_prior_ledger", ctes(i=EARNED, d=DEDUCTED) + f""",
+e AS (SELECT {_KEYS}, sum(income) AS income FROM i GROUP BY ALL), p AS (SELECT {_KEYS}, sum(personal_amount) AS paid FROM d WHERE deduction_type IN ('社保', '公积金') GROUP BY ALL),
+l AS (SELECT e.*, coalesce(paid, 0) AS paid, CAST(sum(income) OVER w AS DOUBLE) AS ci, CASE WHEN employee_id % 3 = 0 THEN 0 ELSE CAST(sum(coalesce(paid, 0)) OVER w AS DOUBLE) END AS cd
+  FROM e LEFT JOIN p USING ({_KEYS}) WINDOW w AS (PARTITION BY employee_id, tax_year ORDER BY tax_month ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT {_KEYS}, income, greatest({sql_round('ci - CAST(income AS DOUBLE)', 2)}, 0) AS cumulative_income, greatest({sql_round('cd - CAST(paid AS DOUBLE)', 2)}, 0) AS cumulative_deductions FROM l)
+SELECT {_KEYS}, cumulative_income, cumulative_deductions, 'historical_input_from_excel' AS source, '待计算' AS reconciliation_status, {sql_round('cumulative_income + CAST(income AS DOUBLE)', 2)} AS rolled_forward FROM b""")
+def payroll_prior_ledger(spark, sf):
+    keys = _KEYS.split(", ")
+    prior = payroll.prior_ledger(ledgers(spark, sf), DEDUCTED.df(spark, sf), keys)
+    again = payroll.roll_forward(prior, EARNED.df(spark, sf), keys).select(*keys, F.col("cumulative_income").alias("rolled_forward"))
+    return prior.select(*keys, "cumulative_income", "cumulative_deductions", "source", "reconciliation_status").join(again, keys)

@@ -1,4 +1,4 @@
-"""Distance operators: radius search, radius join, ring expansion.
+"""Distance operators: radius search, radius join, ring expansion, nearest groups.
 
 A radius join never compares all pairs. Latitude is cut into bands at least one
 radius high, every band into longitude cells at least one radius wide at its
@@ -9,11 +9,14 @@ the points there by an equi-join, which Spark splits when a cell is crowded.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions.numeric import haversine, with_rounded
+from ontoweave.operators.ordering import top_per_group
+from ontoweave.session import cut_lineage
 
 EARTH_KM = 6371.0
 EARTH_M = 6371000.0
@@ -127,3 +130,37 @@ def expand_rings(
     )
     inside = ringed.join(summary.select(key, "stopped_radius"), key).filter(F.col("_ring") <= F.col("stopped_radius"))
     return inside.drop("_ring", "stopped_radius"), summary
+
+
+def nearest_groups(
+    centres: DataFrame, points: DataFrame, key: str, group: str, tiebreak: str, k: int, earth: float = EARTH_M,
+    first_radius: float = 2000.0, growth: float = 4.0, digits: int = 1, name: str = "distance_m",
+) -> DataFrame:
+    """(key, group, tiebreak, name): of each centre the nearest point of its ``k`` nearest groups, at any distance.
+
+    Distances are rounded to ``digits``, ties go to the smallest ``tiebreak``. The ring grows only for centres
+    that miss groups: a centre is done once its k-th group lies so far inside the ring that no point
+    beyond it can round to the same distance. The last ring is the whole globe, so a centre gets
+    fewer groups only where fewer exist. ``centres``: key, center_lng, center_lat; keys are unique.
+    Centres or points without a key, group or place are left out.
+    """
+    placed = points.select(group, tiebreak, "lng", "lat").dropna()
+    pending = cut_lineage(centres.select(key, "center_lng", "center_lat").dropna())
+    wanted = placed.select(group).distinct().limit(k).count()
+    widest, radius, margin, found = math.pi * earth, min(first_radius, math.pi * earth), 2 * 10.0**-digits, []
+    while wanted:
+        met = with_rounded(radius_join(pending, placed, radius, earth, "_d"), digits, **{name: F.col("_d")})
+        nearest = met.groupBy(key, group).agg(F.min(F.struct(name, tiebreak)).alias("_best")).select(key, group, "_best.*")
+        best = cut_lineage(top_per_group(nearest, [key], [F.col(name), F.col(tiebreak)], wanted))
+        if radius >= widest:
+            found.append(best)
+            break
+        full = best.groupBy(key).agg(F.count("*").alias("_n"), F.max(name).alias("_far")).filter((F.col("_n") >= wanted) & (F.col("_far") < radius - margin))
+        found.append(best.join(full.select(key), key, "left_semi"))
+        pending = cut_lineage(pending.join(full.select(key), key, "left_anti"))
+        if pending.isEmpty():
+            break
+        radius = min(radius * growth, widest)
+    if not found:
+        return centres.join(placed, F.lit(False)).select(key, group, tiebreak, F.lit(0.0).alias(name))
+    return reduce(DataFrame.unionByName, found).select(key, group, tiebreak, name)

@@ -96,6 +96,40 @@ def context_around(text: Column, needle: Column, window: int = 180) -> Column:
     )
 
 
+# Brackets of a document number that count as the same one.
+OPENING, CLOSING = "〔\\[［(（", "〕\\]］)）"
+BLANKS = "[\\s\u00a0\u3000]*"
+
+
+def number_pattern(number: Column) -> Column:
+    """Pattern of a number in any brackets and with blanks anywhere inside."""
+    spelled = F.regexp_replace(F.regexp_replace(number, f"[\\s\u00a0\u3000]+", ""), r"([\s\S])", r"\\Q$1\\E" + BLANKS.replace("\\", "\\\\"))
+    spelled = F.regexp_replace(spelled, rf"\\Q[{OPENING}]\\E", f"[{OPENING}]".replace("\\", "\\\\"))
+    spelled = F.regexp_replace(spelled, rf"\\Q[{CLOSING}]\\E", f"[{CLOSING}]".replace("\\", "\\\\"))
+    return F.substring(spelled, F.lit(1), F.length(spelled) - len(BLANKS))
+
+
+def number_context(text: Column, number: Column, window: int = 180) -> Column:
+    """Struct (position, found, context) of a number's first place in the original text, however it is spelled there.
+
+    The number as given is looked for first, then in other brackets or with blanks. ``position`` counts from 1 and
+    is 0 where the number is nowhere, or is null or blank; the context is then the start of the text.
+    The text itself is never rewritten, so positions and words are the original's.
+    """
+    pattern = number_pattern(number)
+    literal = F.position(number, text)
+    named = F.coalesce(F.trim(number), F.lit("")) != ""
+    place = F.when(~named, 0).when(literal > 0, literal).otherwise(F.regexp_instr(text, pattern))
+    found = F.when(literal > 0, number).otherwise(F.coalesce(F.regexp_substr(text, pattern), F.lit("")))
+    place, found = F.coalesce(place, F.lit(0)), F.when(named, found).otherwise("")
+    start = F.greatest(place - 1 - window, F.lit(0))
+    around = F.substring(text, start + 1, place - 1 - start + F.length(found) + window)
+    return F.struct(
+        place.alias("position"), found.alias("found"),
+        F.coalesce(F.when(place > 0, around).otherwise(F.substring(text, 1, window)), F.lit("")).alias("context"),
+    )
+
+
 def dedupe_relations(relations: DataFrame) -> DataFrame:
     """One relation per (source, target, type, method): the most confident one; self references vanish."""
     clean = relations.filter("source_document_id <> target_document_id")

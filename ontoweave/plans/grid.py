@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions.numeric import with_rounded
-from ontoweave.operators.geo import EARTH_M, expand_rings, radius_join
+from ontoweave.operators.geo import EARTH_M, expand_rings, nearest_groups, radius_join
 from ontoweave.operators.grouping import first_wins, last_wins
 from ontoweave.operators.ordering import top_per_group
 
@@ -166,6 +166,12 @@ def compose_single(candidates: DataFrame) -> DataFrame:
     )
 
 
+def compose_single_anywhere(requests: DataFrame, points: DataFrame) -> DataFrame:
+    """``compose_single`` from all points: the five nearest feeders of a request, however far they are."""
+    asked = centres(requests.select("request_id", "lng", "lat"))
+    return compose_single(nearest_groups(asked, points, "request_id", "feeder_id", "point_id", MAX_SINGLE_PLANS))
+
+
 def compose_dual(candidates: DataFrame, feeders: DataFrame, structure: str) -> DataFrame:
     """Independent point pairs in three operation modes.
 

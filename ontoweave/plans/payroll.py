@@ -326,3 +326,37 @@ def cumulative_withholding(months: DataFrame, brackets: DataFrame, monthly_deduc
         "employee_id", "tax_year", "tax_month", "cumulative_income", "cumulative_taxable_income", "cumulative_tax",
         F.greatest(F.col("_due"), F.lit(0.0)).alias("current_tax"),
     )
+
+
+# What a ledger turned into a historical input says.
+HISTORICAL, UNCALCULATED = "historical_input_from_excel", "待计算"
+SOCIAL, HOUSING = "社保", "公积金"
+
+
+def prior_ledger(ledgers: DataFrame, deductions: DataFrame, keys: list[str]) -> DataFrame:
+    """The ledger before its period: cumulative values without the period's own income and deductions, never below zero.
+
+    ``ledgers``: keys, current_income, cumulative_income, cumulative_deductions; ``deductions``: keys, deduction_type,
+    personal_amount - lines of the period, of which social security and housing fund count. Values that are missing or no
+    numbers count as 0. What the period itself computes is empty until it is calculated again.
+    """
+    paid = F.when(F.col("deduction_type").isin(SOCIAL, HOUSING), F.col("personal_amount").try_cast("decimal(18,2)"))
+    own = deductions.groupBy(*keys).agg(F.coalesce(F.sum(paid), F.lit(0)).cast("double").alias("_paid"))
+    value = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in ("current_income", "cumulative_income", "cumulative_deductions")}
+    rounded = with_rounded(
+        ledgers.join(own, keys, "left"), 2, _income=value["cumulative_income"] - value["current_income"],
+        _deducted=value["cumulative_deductions"] - F.coalesce("_paid", F.lit(0.0)),
+    )
+    empty = F.lit(None).cast("double")
+    return rounded.select(
+        *keys, empty.alias("current_income"), F.greatest("_income", F.lit(0.0)).alias("cumulative_income"),
+        F.greatest("_deducted", F.lit(0.0)).alias("cumulative_deductions"), empty.alias("cumulative_taxable_income"),
+        empty.alias("cumulative_tax_payable"), empty.alias("current_tax"), F.lit(HISTORICAL).alias("source"), F.lit(UNCALCULATED).alias("reconciliation_status"),
+    )
+
+
+def roll_forward(prior: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, current_income, cumulative_income): a prior ledger with the period's income (keys, income) added again."""
+    period = lines.groupBy(*keys).agg(F.sum(F.col("income").try_cast("decimal(18,2)")).cast("double").alias("current_income"))
+    joined = prior.select(*keys, F.col("cumulative_income").alias("_before")).join(period, keys, "left").withColumn("current_income", F.coalesce("current_income", F.lit(0.0)))
+    return with_rounded(joined, 2, cumulative_income=F.col("_before") + F.col("current_income")).drop("_before")
