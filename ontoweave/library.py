@@ -11,7 +11,7 @@ from ontoweave.functions import text as tx
 from ontoweave.library_schemes import register_schemes
 from ontoweave.operators import filters, graph, links, retrieval
 from ontoweave.operators.geo import EARTH_M, within_range
-from ontoweave.plans import alarms, cases, docgraph, documents, emergency, evidence, grid, payroll
+from ontoweave.plans import alarms, answers, cases, docgraph, documents, emergency, evidence, grid, payroll
 from ontoweave.registry import FunctionRegistry, register_launch, register_lookups, register_missing, register_toll
 from ontoweave.repository import ObjectRepository
 from ontoweave.session import cut_lineage
@@ -235,16 +235,100 @@ def register_documents(registry: FunctionRegistry) -> None:
     def focus(repo, document_id):
         return repo.query("Document", {"document_id": document_id}).select("document_id")
 
-    def search(repo, query, category="", agency="", doc_type="", limit=8, rerank=False, semantic=False, **_):
-        """Best chunks of the lexical recall with the text around the hit."""
-        if rerank or semantic:
-            raise ValueError("search_documents ranks by lexical recall; rerank and semantic merging are operators of ontoweave.operators.retrieval")
+    def texts(repo):
+        """Documents with their whole text: their own, else their chunks in the order of their numbers."""
+        rows = repo.df("Document")
+        if "text" in rows.columns:
+            return rows
+        parts = F.array_sort(F.collect_list(F.struct(chunk_number(), "chunk_id", "content")))  # of one document
+        whole = repo.df("DocumentChunk").groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("text"))
+        return rows.join(whole, "document_id", "left")
+
+    def chunk_number():
+        return F.coalesce(F.regexp_extract("chunk_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0)).alias("ordinal")
+
+    def statistics(repo):
+        """Term statistics: stored ones, else from the documents."""
+        if "TermStatistic" in repo.ontology.objects:
+            return repo.df("TermStatistic")
+        rows = texts(repo)
+        return documents.term_statistics(documents.document_terms(rows), rows)
+
+    def chosen(repo, category="", agency="", doc_type=""):
         chunks = repo.df("DocumentChunk")
         if category or agency or doc_type:
             chunks = chunks.join(documents.list_documents(repo.df("Document"), category or "", agency or "", doc_type or "").select("document_id"), "document_id", "left_semi")
-        tokens = tx.query_tokens(query)
-        hits = retrieval.recall(chunks, query, tokens, tx.anchor_terms(query)).withColumn("snippet", tx.snippet(F.col("content"), query, tokens))
-        return hits.orderBy(F.col("score").desc(), "chunk_id").limit(int(limit or 8))
+        return chunks
+
+    def recalled(chunks, query, tokens):
+        hits = retrieval.recall(chunks, query, tokens, tx.anchor_terms(query))
+        return hits.withColumn("snippet", tx.snippet(F.col("content"), query, tokens))
+
+    def similar_chunks(repo, query_vector, min_similarity):
+        """(chunk_id, similarity) of every chunk vector at or above the threshold; none without vectors or a query vector."""
+        if not query_vector or "ChunkVector" not in repo.ontology.objects:
+            return None
+        asked = retrieval.normalize(F.array(*[F.lit(float(x)) for x in query_vector]))
+        return repo.df("ChunkVector").select("chunk_id", retrieval.dot(retrieval.normalize(F.col("vector")), asked).alias("similarity")).filter(
+            F.col("similarity") >= float(min_similarity))
+
+    def found(repo, query, category="", agency="", doc_type="", semantic=False, query_vector=None, min_similarity=0.0):
+        """Hits of the lexical recall, with the similar chunks merged in where asked."""
+        chunks, tokens = chosen(repo, category, agency, doc_type), tx.query_tokens(query)
+        hits = recalled(chunks, query, tokens)
+        similar = similar_chunks(repo, query_vector, min_similarity) if semantic else None
+        if similar is None:
+            return hits
+        return retrieval.merge_semantic(hits, chunks.withColumn("snippet", tx.snippet(F.col("content"), query, tokens)), similar)
+
+    def ranked(hits, profile):
+        return retrieval.rerank(hits, profile, [-F.round("score", 6), F.col("chunk_id")])
+
+    def profile_of(repo, query):
+        return documents.query_profile(query, statistics(repo), repo.df("Document").count(), tx.query_tokens(query))
+
+    def search(repo, query, category="", agency="", doc_type="", limit=8, rerank=False, semantic=False, query_vector=None, min_similarity=0.0, **_):
+        """Best chunks with the text around the hit; with ``rerank`` the best documents by the query's profile.
+
+        ``semantic`` merges the chunks whose stored vectors (object ChunkVector) are similar to ``query_vector``;
+        without vectors it is the lexical search. Every hit is ranked.
+        """
+        hits = found(repo, query, category, agency, doc_type, semantic, query_vector, min_similarity)
+        if not rerank:
+            return hits.orderBy(F.col("score").desc(), "chunk_id").limit(int(limit or 8))
+        return ranked(hits, profile_of(repo, query)).orderBy(F.round("related_score", 6).desc(), "document_id").limit(int(limit or 8))
+
+    def related(repo, seed_path="", seed_title="", query_hint="", limit=10, **_):
+        """Documents related to a seed: its strongest terms recall, its profile ranks; the seed itself is left out."""
+        wanted = filters.present({"path": seed_path, "title__like": seed_title})
+        if not wanted:
+            raise ValueError("find_related_documents: name a seed by path or title")
+        first = repo.query("Document", wanted).orderBy(F.length("path"), "path").select("document_id").limit(1)
+        seed = cut_lineage(texts(repo).join(first, "document_id", "left_semi"))
+        profile = documents.seed_profile(seed, statistics(repo), repo.df("Document").count(), tx.query_tokens(query_hint or ""))
+        if not profile:
+            raise ValueError("find_related_documents: no such seed, or one without terms")
+        terms = [t for t, _, _ in profile[:documents.RECALLED_TERMS]]
+        others = repo.df("DocumentChunk").join(seed.select("document_id"), "document_id", "left_anti")
+        return ranked(recalled(others, " ".join(terms), terms), profile).orderBy(F.round("related_score", 6).desc(), "document_id").limit(int(limit or 10))
+
+    def prepare(repo, query, limit_docs=6, max_chars_per_doc=4000, include_relations=True, semantic=False, query_vector=None, min_similarity=0.0, **_):
+        """Documents to read for a question with their leading chunks: ranked, related and of the asked years."""
+        if not (query or "").strip():
+            raise ValueError("prepare_answer_context: the question is empty")
+        rows = texts(repo)
+        sized = rows if "char_count" in rows.columns else rows.withColumn("char_count", F.length("text"))
+        by_document = ranked(found(repo, query), profile_of(repo, query))
+        hits = by_document.select("document_id", F.col("best_chunk_id").alias("chunk_id"), F.col("related_score").alias("score"))
+        close = similar_chunks(repo, query_vector, min_similarity) if semantic else None
+        if close is not None:
+            close = close.join(repo.df("DocumentChunk").select("chunk_id", "document_id"), "chunk_id").select("document_id", "similarity")
+        chunks = repo.df("DocumentChunk").select("document_id", "chunk_id", "content", chunk_number())
+        return answers.prepare_answer_context(
+            hits, [F.col("document_id")], sized.select("document_id", "title", "char_count"), chunks, documents.best_year(documents.document_metadata(sized)),
+            tx.query_tokens(query), documents.asked_years(query), close, repo.df("DocumentRelation") if include_relations else None,
+            int(limit_docs or 6), int(max_chars_per_doc or 4000),
+        ).orderBy(*answers.reading_order())
 
     def read(repo, document_id="", path="", chunk_id="", heading="", max_chars=6000, **_):
         """Leading chunks of the asked document that fit the budget, with their text, in the order of their numbers."""
@@ -284,7 +368,7 @@ def register_documents(registry: FunctionRegistry) -> None:
         return joined.orderBy(F.col("weighted_degree").desc(), "node").limit(int(top_n or 10))
 
     functions = {
-        "search_documents": search, "read_document": read, "find_document_relation_paths": paths, "analyze_document_graph": analyze,
+        "search_documents": search, "find_related_documents": related, "prepare_answer_context": prepare, "read_document": read, "find_document_relation_paths": paths, "analyze_document_graph": analyze,
         "list_documents": lambda repo, category="", agency="", doc_type="", title_like="", limit=100, **_: documents.list_documents(
             repo.df("Document"), category or "", agency or "", doc_type or "", title_like or "", int(limit or 100)),
         "find_document_relations": lambda repo, document_id, direction="both", **_: docgraph.find_relations(

@@ -164,6 +164,26 @@ def recall_ranked(ranked: DataFrame, query: str, tokens: list[str], anchors: lis
     )
 
 
+SEMANTIC_SCORE = 18.0  # fixed value: what a full similarity adds to a chunk
+
+
+def merge_semantic(recalled: DataFrame, chunks: DataFrame, similar: DataFrame) -> DataFrame:
+    """The lexical recall joined with similar chunks (chunk_id, similarity): a chunk of both has both scores and sources.
+
+    A chunk found only by similarity takes its columns from ``chunks``. A chunk counts with its best similarity,
+    negative or missing ones add nothing.
+    """
+    worth = F.round(F.greatest(F.col("similarity"), F.lit(0.0)) * SEMANTIC_SCORE, 3)
+    best = similar.dropna().groupBy("chunk_id").agg(F.max("similarity").alias("similarity")).withColumn("_semantic", worth)
+    columns = [c for c in chunks.columns if c in recalled.columns]
+    both = recalled.select("chunk_id", "score", "recall_sources").join(best, "chunk_id", "full_outer")
+    merged = both.select(
+        "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("_semantic", F.lit(0.0))).alias("score"), "similarity",
+        F.concat_ws(",", "recall_sources", F.when(F.col("similarity").isNotNull(), "semantic")).alias("recall_sources"),
+    )
+    return chunks.select(columns).join(merged, "chunk_id")
+
+
 def source_histogram(hits: DataFrame) -> DataFrame:
     named = F.explode(F.split(F.coalesce(F.nullif("recall_sources", F.lit("")), F.lit("unknown")), ","))
     return hits.select(named.alias("source")).groupBy("source").agg(F.count("*").alias("hits"))

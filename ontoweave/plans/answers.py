@@ -64,6 +64,14 @@ def suggested_neighbours(scored: DataFrame, relations: DataFrame, seeds: int) ->
     return fresh.groupBy("document_id").agg(strongest).select("document_id", "_b.*")
 
 
+def reading_order() -> list[Column]:
+    """Order in which selected documents are read: asked years, hits before suggestions, best first."""
+    return [
+        F.col("matches_year").desc(), (F.col("search_hit_count") == 0), F.col("out_of_range"), F.round("context_score", 6).desc(),
+        (F.coalesce("char_count", F.lit(0)) < SHORT_DOCUMENT), F.coalesce("title", F.lit("")), F.col("document_id"),
+    ]
+
+
 def select_documents(scored: DataFrame, documents: DataFrame, suggested: DataFrame | None, years: DataFrame, asked: list[str], limit: int) -> DataFrame:
     """The documents to read: hits and suggestions, those of the asked years, best first.
 
@@ -85,11 +93,7 @@ def select_documents(scored: DataFrame, documents: DataFrame, suggested: DataFra
     if asked:
         enough = dated.agg(F.count_if("matches_year") >= min(limit, 2)).scalar()
         dated = dated.filter(F.col("matches_year") | ~enough)
-    order = [
-        F.col("matches_year").desc(), (F.col("search_hit_count") == 0), F.col("out_of_range"), F.round("context_score", 6).desc(),
-        (F.coalesce("char_count", F.lit(0)) < SHORT_DOCUMENT), F.coalesce("title", F.lit("")), F.col("document_id"),
-    ]
-    return dated.orderBy(*order).limit(limit)
+    return dated.orderBy(*reading_order()).limit(limit)
 
 
 def read_selected(selected: DataFrame, chunks: DataFrame, max_chars: int) -> DataFrame:

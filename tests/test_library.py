@@ -209,3 +209,51 @@ def test_document_functions(spark):
     assert [(r["path"], r["directions"]) for r in found] == [(["a", "b", "c", "d"], ["outgoing", "incoming", "outgoing"])]
     assert reg.call("find_document_relation_paths", start_document_id="a", end_document_id="d", direction="outgoing").count() == 0
     assert [r["node"] for r in reg.call("analyze_document_graph", top_n=2).collect()] == ["b", "c"]
+
+
+def _document_store(spark):
+    repo = ObjectRepository(spark, ontology_from_dict({"objects": _objects(
+        Document="document_id str, title str, path str, category str, agency str, doc_type str",
+        DocumentChunk="chunk_id str, document_id str, title str, path str, category str, heading str, content str",
+        DocumentRelation="relation_id str, source_document_id str, target_document_id str, relation_type str, confidence float",
+    ), "functions": {}}))
+    titles = {"a": "river water supply plan 2021年", "b": "river water supply report 2022年", "c": "road works", "d": "appendix"}
+    _rows(spark, repo, "Document", *[(d, t, f"p/{d}", "c", "g", "t") for d, t in titles.items()])
+    body = {"a": ["reservoir levels of the river", "pumping station schedule"], "b": ["reservoir levels fell", "pumping stopped"], "c": ["asphalt only"], "d": ["tables"]}
+    _rows(spark, repo, "DocumentChunk", *[(f"{d}#{i}", d, titles[d], f"p/{d}", "c", "", t) for d, ts in body.items() for i, t in enumerate(ts)])
+    _rows(spark, repo, "DocumentRelation", ("1", "a", "d", "based_on", 0.9))
+    return repo
+
+
+def test_search_reranks_and_finds_related_documents(spark):
+    reg = full_registry(_document_store(spark))
+    found = reg.call("search_documents", query="reservoir levels river", rerank=True).collect()
+    assert [r["document_id"] for r in found] == ["a", "b"] and found[0]["related_score"] > found[1]["related_score"] and found[0]["best_chunk_id"] == "a#0"
+    related = reg.call("find_related_documents", seed_path="p/a").collect()
+    assert [r["document_id"] for r in related] == ["b"]
+    with pytest.raises(ValueError):
+        reg.call("find_related_documents")
+    with pytest.raises(ValueError):
+        reg.call("find_related_documents", seed_path="p/none")
+
+
+def test_semantic_hits_join_the_lexical_ones(spark):
+    from ontoweave.operators.retrieval import merge_semantic
+
+    chunks = spark.createDataFrame([("1", "A", "x"), ("2", "B", "y"), ("3", "C", "z")], "chunk_id string, document_id string, content string")
+    lexical = chunks.filter("chunk_id < '3'").selectExpr("*", "10.0D as score", "'full_text' as recall_sources")
+    similar = spark.createDataFrame([("2", 0.5), ("2", 0.25), ("3", 0.9), ("9", 1.0), (None, 1.0), ("1", -0.5)], "chunk_id string, similarity double")
+    got = {r["chunk_id"]: (r["document_id"], r["score"], r["recall_sources"]) for r in merge_semantic(lexical, chunks, similar).collect()}
+    assert got == {"1": ("A", 10.0, "full_text,semantic"), "2": ("B", 19.0, "full_text,semantic"), "3": ("C", 16.2, "semantic")}
+
+
+def test_answer_context_is_prepared(spark):
+    reg = full_registry(_document_store(spark))
+    rows = {r["document_id"]: r for r in reg.call("prepare_answer_context", query="reservoir levels river").collect()}
+    assert set(rows) == {"a", "b", "d"} and rows["d"]["reason"] == "relation:based_on" and rows["a"]["included_chunk_ids"] == ["a#0", "a#1"]
+    asked = reg.call("prepare_answer_context", query="reservoir levels river 2022年").collect()
+    assert asked[0]["document_id"] == "b" and asked[0]["matches_year"]
+    alone = reg.call("prepare_answer_context", query="reservoir levels river", include_relations=False, max_chars_per_doc=30).collect()
+    assert {r["document_id"]: (r["included_chunk_ids"], r["truncated"]) for r in alone} == {"a": (["a#0"], True), "b": (["b#0"], True)}
+    with pytest.raises(ValueError):
+        reg.call("prepare_answer_context", query=" ")
