@@ -319,7 +319,8 @@ def register_documents(registry: FunctionRegistry) -> None:
         rows = texts(repo)
         sized = rows if "char_count" in rows.columns else rows.withColumn("char_count", F.length("text"))
         by_document = ranked(found(repo, query), profile_of(repo, query))
-        hits = by_document.select("document_id", F.col("best_chunk_id").alias("chunk_id"), F.col("related_score").alias("score"))
+        # The ranking is read three times: by the fusion, for the seeds of relations, and to keep them apart.
+        hits = cut_lineage(by_document.select("document_id", F.col("best_chunk_id").alias("chunk_id"), F.col("related_score").alias("score")))
         close = similar_chunks(repo, query_vector, min_similarity) if semantic else None
         if close is not None:
             close = close.join(repo.df("DocumentChunk").select("chunk_id", "document_id"), "chunk_id").select("document_id", "similarity")
