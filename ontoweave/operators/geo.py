@@ -3,7 +3,7 @@
 A radius join never compares all pairs. Latitude is cut into bands at least one
 radius high, every band into longitude cells at least one radius wide at its
 poleward edge; a centre is sent to the few cells its circle can reach and meets
-the points there by an equi-join, which Spark splits when a cell is crowded.
+the points there by an equi-join over as many tasks as the session shuffles to.
 """
 
 from __future__ import annotations
@@ -75,7 +75,9 @@ def radius_join(
         "_cell",
         F.pmod(_cell(F.col("lng"), _cells_in_band(F.col("_band"), height)), _cells_in_band(F.col("_band"), height)),
     )
-    met = spread.join(placed, ["_band", "_cell"]).drop("_band", "_cell")
+    # Few bytes make many pairs here, so the number of tasks must not follow the bytes.
+    tasks = int(centres.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = spread.repartition(tasks, "_band", "_cell").join(placed.repartition(tasks, "_band", "_cell"), ["_band", "_cell"]).drop("_band", "_cell")
     return met.withColumn(
         distance, haversine(F.col("center_lng"), F.col("center_lat"), F.col("lng"), F.col("lat"), earth)
     ).filter(F.col(distance) <= radius)
@@ -132,22 +134,65 @@ def expand_rings(
     return inside.drop("_ring", "stopped_radius"), summary
 
 
+def search_rings(
+    centres: DataFrame, points: DataFrame, key: str, group: str, radii: list[float], required: int, earth: float = EARTH_M,
+    allowed: Column | None = None, distance: str = "_d",
+) -> tuple[DataFrame, DataFrame]:
+    """``expand_rings`` of all (centre, point) pairs within the last radius, made ring by ring.
+
+    Only centres that miss groups meet the next ring, so a crowded place costs what its own ring holds.
+    ``allowed`` filters the pairs. Keys may repeat or be null: rows of one key search together.
+    """
+    pending, found, summaries = cut_lineage(centres), [], []
+    for i, radius in enumerate(radii):
+        def inside(some: DataFrame) -> DataFrame:
+            met = radius_join(some, points, radius, earth, distance)  # noqa: B023
+            return met if allowed is None else met.filter(allowed)
+
+        counts = inside(pending).groupBy(key, group).agg(F.lit(1).alias("_one")).groupBy(key).agg(F.count("*").alias("distinct_groups"))
+        satisfied = F.col("distinct_groups") >= required
+        ended = counts if i == len(radii) - 1 else counts.filter(satisfied)
+        summary = cut_lineage(ended.select(key, F.lit(float(radius)).alias("stopped_radius"), "distinct_groups", satisfied.alias("satisfied")))
+        mine = summary.select(F.col(key).alias("_key"))
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        found.append(inside(pending.join(mine, F.col(key) == F.col("_key"), "left_semi")))
+        summaries.append(summary)
+        if i < len(radii) - 1:
+            pending = cut_lineage(pending.join(mine, same, "left_anti"))
+            if pending.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, summaries)
+
+
+def _first_radius(points: DataFrame, k: int, earth: float, most: float) -> float:
+    """Radius that would hold about four times ``k`` points if all lay evenly in their bounding box; at most ``most``."""
+    box = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("lng", "lat") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not box["n"]:
+        return most
+    high = math.radians(abs(box["hi_lat"] - box["lo_lat"])) * earth
+    wide = math.radians(abs(box["hi_lng"] - box["lo_lng"])) * earth * max(math.cos(math.radians((box["hi_lat"] + box["lo_lat"]) / 2)), 0.0)
+    even = math.sqrt(high * wide * 4 * k / (math.pi * box["n"]))
+    return min(most, max(even, most / 1024)) if math.isfinite(even) else most
+
+
 def nearest_groups(
     centres: DataFrame, points: DataFrame, key: str, group: str, tiebreak: str, k: int, earth: float = EARTH_M,
-    first_radius: float = 2000.0, growth: float = 4.0, digits: int = 1, name: str = "distance_m",
+    first_radius: float | None = None, growth: float = 4.0, digits: int = 1, name: str = "distance_m",
 ) -> DataFrame:
     """(key, group, tiebreak, name): of each centre the nearest point of its ``k`` nearest groups, at any distance.
 
     Distances are rounded to ``digits``, ties go to the smallest ``tiebreak``. The ring grows only for centres
     that miss groups: a centre is done once its k-th group lies so far inside the ring that no point
-    beyond it can round to the same distance. The last ring is the whole globe, so a centre gets
+    beyond it can round to the same distance. Without ``first_radius`` the first ring follows the density of
+    the points, 2 km at most. The last ring is the whole globe, so a centre gets
     fewer groups only where fewer exist. ``centres``: key, center_lng, center_lat; keys are unique.
     Centres or points without a key, group or place are left out.
     """
     placed = points.select(group, tiebreak, "lng", "lat").dropna()
     pending = cut_lineage(centres.select(key, "center_lng", "center_lat").dropna())
     wanted = placed.select(group).distinct().limit(k).count()
-    widest, radius, margin, found = math.pi * earth, min(first_radius, math.pi * earth), 2 * 10.0**-digits, []
+    start = _first_radius(placed, max(k, 1), earth, 2000.0) if first_radius is None else first_radius
+    widest, radius, margin, found = math.pi * earth, min(start, math.pi * earth), 2 * 10.0**-digits, []
     while wanted:
         met = with_rounded(radius_join(pending, placed, radius, earth, "_d"), digits, **{name: F.col("_d")})
         nearest = met.groupBy(key, group).agg(F.min(F.struct(name, tiebreak)).alias("_best")).select(key, group, "_best.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions.numeric import with_rounded
-from ontoweave.operators.geo import EARTH_M, expand_rings, nearest_groups, radius_join
+from ontoweave.operators.geo import EARTH_M, expand_rings, nearest_groups, radius_join, search_rings
 from ontoweave.operators.grouping import first_wins, last_wins
 from ontoweave.operators.ordering import top_per_group
 
@@ -58,15 +58,19 @@ def access_points_in_range(requests: DataFrame, points: DataFrame, radius_m: flo
 
 def search_sources(requests: DataFrame, points: DataFrame, radii: list[float] = RADII_M,
                    required: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ring search per request; ``preferred_point_types`` (comma list) narrows the point types."""
-    near = access_points_in_range(
-        requests.select("request_id", "lng", "lat", "preferred_point_types"), points, float(radii[-1])
-    )
+    """Ring search per request; ``preferred_point_types`` (comma list) narrows the point types.
+
+    A number of feeders wanted that depends on the rows (``required``) needs all pairs of the last ring.
+    """
+    asked = requests.select("request_id", "lng", "lat", "preferred_point_types")
     preferred = F.coalesce("preferred_point_types", F.lit(""))
-    allowed = near.filter((preferred == "") | F.array_contains(F.split(preferred, r"\s*,\s*"), F.col("point_type")))
-    found, summary = expand_rings(
-        allowed, "request_id", "feeder_id", "_d", radii, F.lit(TARGET_FEEDERS) if required is None else required
-    )
+    allowed = (preferred == "") | F.array_contains(F.split(preferred, r"\s*,\s*"), F.col("point_type"))
+    if required is None:
+        met, summary = search_rings(centres(asked), points, "request_id", "feeder_id", radii, TARGET_FEEDERS, allowed=allowed)
+        found = with_rounded(met, 1, distance_m=F.col("_d")).drop("center_lng", "center_lat")
+    else:
+        near = access_points_in_range(asked, points, float(radii[-1])).filter(allowed)
+        found, summary = expand_rings(near, "request_id", "feeder_id", "_d", radii, required)
     return found.drop("_d", "preferred_point_types"), summary
 
 
@@ -353,11 +357,12 @@ def new_feeder(requests: DataFrame, substations: DataFrame, transformers: DataFr
     able = transformers.filter((F.col("spare_intervals") > 0) & (F.col("load_rate") < 0.8)).select(
         "transformer_id", "substation_id", "openable_capacity_kva"
     )
-    # Radius is tested once per (request, substation); transformers join afterwards.
-    near = access_points_in_range(
-        requests.select("request_id", "lng", "lat", "capacity_kva"), substations.select("substation_id", "lng", "lat"), radius_m
-    ).drop("lng", "lat", "_d")
-    fitting = near.join(able, "substation_id").filter(F.col("openable_capacity_kva") > F.col("capacity_kva"))
+    # Transformers go to their substations first: pairs are tested and counted where they meet and never shuffled.
+    sites = substations.select("substation_id", "lng", "lat").join(able, "substation_id")
+    met = radius_join(centres(requests.select("request_id", "lng", "lat", "capacity_kva")), sites, radius_m, EARTH_M, "_d").filter(
+        F.col("openable_capacity_kva") > F.col("capacity_kva")
+    )
+    fitting = with_rounded(met, 1, distance_m=F.col("_d"))
     best = fitting.groupBy("request_id").agg(
         F.min(F.struct("distance_m", "substation_id", "transformer_id")).alias("_b"), F.count("*").alias("candidates")
     )

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from ontoweave.plans import docgraph, documents
+from ontoweave.operators import geo
+from ontoweave.plans import docgraph, documents, grid
 
 
 def plan_of(df):
@@ -55,3 +56,50 @@ def test_chunk_batches_are_bounded_by_bytes(spark):
     docs = spark.createDataFrame([(i, "word " * 400_000) for i in range(12)], "document_id bigint, text string").coalesce(1)
     assert documents.chunk_documents(docs).count() == 12
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
+def _placed(spark):
+    rnd = random.Random(3)
+    centres = [(i % 25 if i % 13 else None, 100 + rnd.random() * 0.05, 30 + rnd.random() * 0.05) for i in range(60)]
+    points = [(i, 100 + rnd.random() * 0.05, 30 + rnd.random() * 0.05, rnd.choice([None, *range(9)])) for i in range(200)]
+    return (
+        spark.createDataFrame(centres, "request_id bigint, center_lng double, center_lat double"),
+        spark.createDataFrame(points, "point_id bigint, lng double, lat double, feeder_id bigint"),
+    )
+
+
+def test_rings_made_one_by_one_hold_the_same_pairs(spark):
+    centres, points = _placed(spark)
+    for required in (1, 5, 50):
+        near = geo.radius_join(centres, points, 2000.0, geo.EARTH_M, "_d")
+        want = geo.expand_rings(near, "request_id", "feeder_id", "_d", [200, 500, 2000], F.lit(required))
+        got = geo.search_rings(centres, points, "request_id", "feeder_id", [200, 500, 2000], required)
+        for a, b in zip(got, want, strict=True):
+            assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+
+
+def test_satisfied_centres_meet_no_further_ring(spark, monkeypatch):
+    centres, points = _placed(spark)
+    asked, join = [], geo.radius_join
+    monkeypatch.setattr(geo, "radius_join", lambda c, p, radius, *rest: asked.append(radius) or join(c, p, radius, *rest))
+    grid.search_sources(centres.withColumnsRenamed({"center_lng": "lng", "center_lat": "lat"}).withColumn("preferred_point_types", F.lit("")),
+                        points.withColumn("feeder_id", F.col("point_id")).withColumn("point_type", F.lit("")), radii=[1000.0, 20000.0])
+    assert asked and max(asked) == 1000.0
+
+
+def test_first_ring_follows_the_density(spark):
+    _, points = _placed(spark)
+    assert geo._first_radius(points, 5, geo.EARTH_M, 2000.0) < 2000.0
+    assert geo._first_radius(points.limit(0), 5, geo.EARTH_M, 2000.0) == 2000.0
+
+
+def test_new_feeder_counts_pairs_where_they_meet(spark):
+    requests = spark.createDataFrame([(1, 100.0, 30.0, 5.0), (2, 100.0, 30.0, 500.0)], "request_id int, lng double, lat double, capacity_kva double")
+    sites = spark.createDataFrame([(7, 100.01, 30.0), (8, 100.02, 30.0)], "substation_id int, lng double, lat double")
+    units = spark.createDataFrame([(70, 7, 9.0, 0.1, 1), (80, 8, 99.0, 0.1, 1), (81, 8, 99.0, 0.9, 1)],
+                                  "transformer_id int, substation_id int, openable_capacity_kva double, load_rate double, spare_intervals int")
+    found = grid.new_feeder(requests, sites, units)
+    assert {(r["request_id"], r["transformer_id"], r["candidates"]) for r in found.collect()} == {(1, 70, 2), (2, None, 0)}
+    # The transformers are joined below the radius join, whose tasks do not follow its bytes.
+    plan = plan_of(found)
+    assert "REPARTITION_BY_NUM" in plan
