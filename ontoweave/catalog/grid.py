@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.catalog.base import View, ctes, query, sql_haversine, sql_round
 from ontoweave.functions.numeric import haversine, with_rounded
 from ontoweave.operators.geo import EARTH_M
 from ontoweave.plans import grid, schemes
-from ontoweave.session import cut_lineage
+from ontoweave.session import cut_lineage, stored_by
 
 # --- domain objects over the given tables ------------------------------------------------
 REQUESTS = View("supplier", {
@@ -137,10 +140,9 @@ def grid_supplementary_sources(spark, sf):
 
 
 def _candidates(o):
-    # Found points are stored with the request; the three compositions read them from there.
-    return cut_lineage(grid.access_points_in_range(o["requests"].select("request_id", "lng", "lat"), o["points"], 2000.0).select(
-        "request_id", "point_id", "feeder_id", "distance_m"
-    ))
+    # Found points are stored by request with their sites and rooms; the three compositions and their scores read them from there without a shuffle.
+    near = grid.access_points_in_range(o["requests"].select("request_id", "lng", "lat"), grid.with_feeders(o["points"], o["feeders"]), 2000.0)
+    return stored_by(near.select("request_id", "point_id", "feeder_id", "distance_m", "site", "room"), "request_id", "candidates")
 
 
 SINGLE = """single AS (SELECT request_id, point_id, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance_m, point_id) AS k FROM (
@@ -163,11 +165,22 @@ UNION ALL SELECT * FROM dual_loop UNION ALL SELECT * FROM dual_source)"""
 PLAN_CTES = ctes(q=REQUESTS, p=POINTS, f=FEEDERS) + ",\n".join(["", NEAR, SINGLE, DUAL_LOOP, DUAL_SOURCE, PLANS])
 
 
-def _plans(spark, sf, o=None):
-    o = o or _objects(spark, sf)
+def _plan_parts(spark, sf, o):
     c = _candidates(o)
     single = grid.compose_single(c).withColumn("point_ids", F.col("point_ids").cast("string"))
-    return single.unionByName(grid.compose_dual(c, o["feeders"], "双回路")).unionByName(grid.compose_dual(c, o["feeders"], "双电源"))
+    return [single, grid.compose_dual(c, o["feeders"], "双回路"), grid.compose_dual(c, o["feeders"], "双电源")]
+
+
+def _plans(spark, sf):
+    return reduce(DataFrame.unionByName, _plan_parts(spark, sf, _objects(spark, sf))).drop("room")
+
+
+def _scored(spark, sf):
+    # Each kind of plan is scored where it is composed, by request; only the bounds of all kinds meet.
+    o = _objects(spark, sf)
+    parts = _plan_parts(spark, sf, o)
+    bounds = grid.distance_bounds(reduce(DataFrame.unionByName, parts))
+    return reduce(DataFrame.unionByName, [grid.score_plans(p, o["points"], o["feeders"], bounds) for p in parts])
 
 
 @query("grid_compose_plans", PLAN_CTES + " SELECT * FROM plans")
@@ -200,17 +213,14 @@ scored AS (SELECT request_id, plan_id, source_structure, operation_mode, point_i
 
 @query("grid_score_plans", PLAN_CTES + f", {SCORES} SELECT * FROM scored")
 def grid_score_plans(spark, sf):
-    o = _objects(spark, sf)
-    return grid.score_plans(_plans(spark, sf, o), o["points"], o["feeders"])
+    return _scored(spark, sf)
 
 
 @query("grid_finalize_plans", PLAN_CTES + f", {SCORES}" + """,
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY request_id, operation_mode ORDER BY total_score DESC, plan_id) = 1)
 SELECT request_id, plan_id, operation_mode, total_score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY total_score DESC, plan_id) AS k FROM best) WHERE k <= 10""")
 def grid_finalize_plans(spark, sf):
-    o = _objects(spark, sf)
-    scored = grid.score_plans(_plans(spark, sf, o), o["points"], o["feeders"])
-    return grid.finalize_plans(scored).select("request_id", "plan_id", "operation_mode", "total_score", "rank")
+    return grid.finalize_plans(_scored(spark, sf)).select("request_id", "plan_id", "operation_mode", "total_score", "rank")
 
 
 def _transfer_sql(after: str, before: str) -> str:

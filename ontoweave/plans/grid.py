@@ -156,17 +156,41 @@ def supplementary_sources(
     )
 
 
+def point_rooms(points: DataFrame, feeders: DataFrame) -> DataFrame:
+    """(point_id, room): what the feeders of a point add to the capacity score of its plans, and how many they are."""
+    held = points.select("point_id", "feeder_id").join(feeders.select("feeder_id", "openable_capacity_kva"), "feeder_id")
+    share = F.least(F.lit(100.0), F.col("openable_capacity_kva") / 100)
+    return held.groupBy("point_id").agg(F.struct(F.sum(share).alias("total"), F.count("*").alias("n")).alias("room"))
+
+
+def with_feeders(points: DataFrame, feeders: DataFrame) -> DataFrame:
+    """Points with site and room, so that candidates found from them are composed and scored without another join.
+
+    A point with several feeder rows is one row for each, one without any has no site.
+    """
+    sites = feeders.select("feeder_id", F.struct("substation_id", "busbar_id").alias("site"))
+    return points.join(sites, "feeder_id", "left").join(point_rooms(points, feeders), "point_id", "left")
+
+
+def _added(*rooms: str) -> Column:
+    """The rooms of a plan's points as one."""
+    sums = {c: sum((F.coalesce(F.col(f"{r}.{c}"), F.lit(0).cast(t)) for r in rooms[1:]), F.coalesce(F.col(f"{rooms[0]}.{c}"), F.lit(0).cast(t)))
+            for c, t in (("total", "double"), ("n", "bigint"))}
+    return F.struct(*[v.alias(c) for c, v in sums.items()]).alias("room")
+
+
 def compose_single(candidates: DataFrame) -> DataFrame:
-    """Nearest point of each feeder, the five nearest feeders per request."""
+    """Nearest point of each feeder, the five nearest feeders per request; plans carry the ``room`` of candidates that have one."""
+    carried = [c for c in ("room",) if c in candidates.columns]
     nearest = first_wins(
-        candidates.select("request_id", "feeder_id", "point_id", "distance_m"),
+        candidates.select("request_id", "feeder_id", "point_id", "distance_m", *carried),
         ["request_id", "feeder_id"], ["distance_m", "point_id"],
     )
     kept = top_per_group(nearest, ["request_id"], [F.col("distance_m"), F.col("point_id")], MAX_SINGLE_PLANS)
     return kept.select(
         F.concat_ws("-", "request_id", "point_id").alias("plan_id"), "request_id",
         F.lit(SINGLE).alias("source_structure"), F.lit("单电源供电").alias("operation_mode"),
-        F.col("point_id").alias("point_ids"), F.col("distance_m").alias("total_distance_m"),
+        F.col("point_id").alias("point_ids"), F.col("distance_m").alias("total_distance_m"), *[_added(c) for c in carried],
     )
 
 
@@ -184,16 +208,21 @@ def compose_dual(candidates: DataFrame, feeders: DataFrame, structure: str) -> D
     point without partners has only points of its own site behind it, so all
     later ones lack partners too. Every first point that counts thus adds a
     pair, and the five nearest points suffice: 5 x n pairs, never n x n.
+    Candidates of ``with_feeders`` bring their sites, and plans carry their room.
     """
-    site = F.col("busbar_id") if structure == DUAL_LOOP else F.struct("substation_id", "busbar_id")
-    sited = candidates.select("request_id", "point_id", "feeder_id", "distance_m").join(
-        feeders.select("feeder_id", "substation_id", "busbar_id"), "feeder_id"
-    ).select("request_id", F.struct("distance_m", "point_id").alias("place"), site.alias("site"))
+    if "site" in candidates.columns:
+        known = candidates.filter(F.col("site").isNotNull())
+    else:
+        known = candidates.join(feeders.select("feeder_id", F.struct("substation_id", "busbar_id").alias("site")), "feeder_id")
+    carried = [c for c in ("room",) if c in candidates.columns]
+    site = F.col("site.busbar_id") if structure == DUAL_LOOP else F.col("site")
+    sited = known.select("request_id", F.struct("distance_m", "point_id").alias("place"), site.alias("site"), *carried)
     need = -(-MIN_DUAL_PLANS // len(PLAN_MODES))
     heads = top_per_group(sited, ["request_id"], [F.col("place")], need).select(
-        "request_id", F.col("place").alias("first"), F.col("site").alias("first_site"), "rank"
+        "request_id", F.col("place").alias("first"), F.col("site").alias("first_site"), "rank", *[F.col(c).alias(f"first_{c}") for c in carried]
     )
-    pairs = heads.join(sited, "request_id").filter(
+    # Heads, counts and bounds are few rows a request: they are hashed, so that the many pairs and plans are neither sorted nor sent.
+    pairs = sited.join(heads.hint("shuffle_hash"), "request_id").filter(
         (F.col("place") > F.col("first")) & (F.col("site") != F.col("first_site"))
     )
     taken = (
@@ -202,14 +231,14 @@ def compose_dual(candidates: DataFrame, feeders: DataFrame, structure: str) -> D
         )
     )
     before = F.element_at(F.array(*[F.col(f"_before_{r}") for r in range(1, need + 1)]), F.col("rank"))
-    kept = pairs.join(taken, "request_id").filter(before * len(PLAN_MODES) < MIN_DUAL_PLANS)
+    kept = pairs.join(taken.hint("shuffle_hash"), "request_id").filter(before * len(PLAN_MODES) < MIN_DUAL_PLANS)
     spread = kept.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in PLAN_MODES])))
     staged = with_rounded(spread, 1, total_distance_m=F.col("first.distance_m") + F.col("place.distance_m"))
     return staged.select(
         F.concat_ws("-", "request_id", F.lit(structure), "first.point_id", "place.point_id", "mode").alias("plan_id"), "request_id",
         F.lit(structure).alias("source_structure"),
         F.concat(F.lit("两路电源"), "mode", F.lit(f"({structure})")).alias("operation_mode"),
-        F.concat_ws(",", "first.point_id", "place.point_id").alias("point_ids"), "total_distance_m",
+        F.concat_ws(",", "first.point_id", "place.point_id").alias("point_ids"), "total_distance_m", *[_added(f"first_{c}", c) for c in carried],
     )
 
 
@@ -221,32 +250,39 @@ def _mapped(col: Column, table: dict[str, int], default: int, inside: bool) -> C
     return chain.otherwise(float(default))
 
 
-def score_plans(plans: DataFrame, points: DataFrame, feeders: DataFrame) -> DataFrame:
-    """40% distance (min-max per request), 30% capacity, 30% reliability."""
-    room = (
-        plans.select("plan_id", F.explode(F.split("point_ids", ",")).alias("point_id"))
-        .join(points.select("point_id", "feeder_id"), "point_id")
-        .join(feeders.select("feeder_id", "openable_capacity_kva"), "feeder_id")
-        .groupBy("plan_id")
-        .agg(
-            F.sum(F.least(F.lit(100.0), F.col("openable_capacity_kva") / 100)).alias("_sum"),
-            F.count("*").alias("_n"),
-        )
-    )
+def distance_bounds(plans: DataFrame) -> DataFrame:
+    """Shortest and longest plan of every request."""
+    return plans.groupBy("request_id").agg(F.min("total_distance_m").alias("_lo"), F.max("total_distance_m").alias("_hi"))
+
+
+def score_plans(plans: DataFrame, points: DataFrame, feeders: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """40% distance (min-max per request), 30% capacity, 30% reliability.
+
+    Plans that carry their ``room`` are scored with it; of others it is joined by the points they name.
+    ``bounds`` are given where ``plans`` are a part of the plans of their requests.
+    """
     # One bounds row per request, joined back: no window holds all plans of a request.
-    bounds = plans.groupBy("request_id").agg(F.min("total_distance_m").alias("_lo"), F.max("total_distance_m").alias("_hi"))
-    j = plans.join(bounds, "request_id").join(room, "plan_id", "left")
+    bounds = distance_bounds(plans) if bounds is None else bounds
+    j = plans.join(bounds.hint("shuffle_hash"), "request_id")
+    if "room" not in plans.columns:
+        rooms = (
+            plans.select("plan_id", F.explode(F.split("point_ids", ",")).alias("point_id"))
+            .join(point_rooms(points, feeders), "point_id")
+            .groupBy("plan_id").agg(F.struct(F.sum("room.total").alias("total"), F.sum("room.n").alias("n")).alias("room"))
+        )
+        j = j.join(rooms, "plan_id", "left")
     share = F.when(
         F.col("_hi") > F.col("_lo"), 100 * (1 - (F.col("total_distance_m") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     ).otherwise(100.0)
     source = _mapped(F.col("source_structure"), SOURCE_SCORES, 80, inside=False)
     mode = _mapped(F.col("operation_mode"), MODE_SCORES, 70, inside=True)
+    capacity = F.when(F.col("room.n") > 0, F.col("room.total") / F.col("room.n"))
     parts = with_rounded(
-        j, 1, distance_score=share, capacity_score=F.coalesce(F.col("_sum") / F.col("_n"), F.lit(50.0)),
+        j, 1, distance_score=share, capacity_score=F.coalesce(capacity, F.lit(50.0)),
         reliability_score=source * 0.5 + mode * 0.5,
     )
     total = F.col("distance_score") * 0.4 + F.col("capacity_score") * 0.3 + F.col("reliability_score") * 0.3
-    return with_rounded(parts, 1, total_score=total).drop("_lo", "_hi", "_sum", "_n")
+    return with_rounded(parts, 1, total_score=total).drop("_lo", "_hi", "room")
 
 
 def finalize_plans(scored: DataFrame) -> DataFrame:

@@ -103,3 +103,24 @@ def test_new_feeder_counts_pairs_where_they_meet(spark):
     # The transformers are joined below the radius join, whose tasks do not follow its bytes.
     plan = plan_of(found)
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_plans_are_scored_without_sending_them(spark):
+    from ontoweave.session import stored_by
+
+    rnd = random.Random(11)
+    points = spark.createDataFrame([(p, p // 2, rnd.uniform(0, 0.01), rnd.uniform(0, 0.01)) for p in range(30)] + [(3, 1, 0.004, 0.004), (40, 99, 0.003, 0.003)],
+                                   "point_id long, feeder_id long, lng double, lat double")
+    feeders = spark.createDataFrame([(f, f // 2, f // 4, float(f * 700)) for f in range(15)] + [(2, 1, 0, 9900.0)],
+                                    "feeder_id long, busbar_id long, substation_id long, openable_capacity_kva double")
+    requests = spark.createDataFrame([(r, 0.002 * r, 0.003) for r in range(4)], "request_id long, lng double, lat double")
+    near = grid.access_points_in_range(requests, grid.with_feeders(points, feeders), 2000.0)
+    carried = stored_by(near.select("request_id", "point_id", "feeder_id", "distance_m", "site", "room"), "request_id", "candidates")
+    plain = grid.access_points_in_range(requests, points, 2000.0)
+    columns = ["plan_id", "distance_score", "capacity_score", "reliability_score", "total_score"]
+    for compose in (grid.compose_single, lambda c: grid.compose_dual(c, feeders, "双回路"), lambda c: grid.compose_dual(c, feeders, "双电源")):
+        plans = compose(carried)
+        got = grid.score_plans(plans, points, feeders, grid.distance_bounds(plans)).select(*columns)
+        want = grid.score_plans(compose(plain), points, feeders).select(*columns)
+        assert sorted(map(tuple, got.distinct().collect())) == sorted(map(tuple, want.distinct().collect()))
+        assert got.count() > 0 and "Exchange hashpartitioning" not in plan_of(got)
