@@ -124,3 +124,13 @@ def test_plans_are_scored_without_sending_them(spark):
         want = grid.score_plans(compose(plain), points, feeders).select(*columns)
         assert sorted(map(tuple, got.distinct().collect())) == sorted(map(tuple, want.distinct().collect()))
         assert got.count() > 0 and "Exchange hashpartitioning" not in plan_of(got)
+
+
+def test_division_joins_nothing(spark):
+    from ontoweave.operators.grouping import divide
+
+    need = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1), ("c", None), (None, 1), ("d", 3)], "g string, i int")
+    done = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1), ("c", None), (None, 1), ("e", 5)], "g string, i long")
+    out = divide(need, done, ["g"], "i")
+    assert sorted((r["g"], r["required"]) for r in out.collect()) == [("a", 2), ("b", 2)]
+    assert "Join" not in plan_of(out)
