@@ -26,7 +26,8 @@ FIELDS = {
     "etype": case_of("user_id", ["保护", "告警", "操作"]), "s1": case_of(PICK, PHRASES), "s2": case_of(f"({PICK} + 3)", PHRASES),
     "nature": "case when value > 50 then '异常' else '正常' end", "level": "cast(1 + event_id % 5 as int)",
 }
-BASE = View("events", FIELDS, heavy=True)
+# An event takes long to parse for its few packed bytes.
+BASE = View("events", FIELDS, heavy=True, task_bytes=1 << 18)
 
 
 def _strict_text(n: int, summary: str) -> str:

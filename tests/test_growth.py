@@ -134,3 +134,12 @@ def test_division_joins_nothing(spark):
     out = divide(need, done, ["g"], "i")
     assert sorted((r["g"], r["required"]) for r in out.collect()) == [("a", 2), ("b", 2)]
     assert "Join" not in plan_of(out)
+
+
+def test_spread_bounds_the_share_of_a_task(spark, tmp_path):
+    from ontoweave.sources.files import spread
+
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    scan = spark.read.parquet(str(tmp_path / "rows"))
+    plain, bounded = spread(scan).rdd.getNumPartitions(), spread(scan, 16 << 10).rdd.getNumPartitions()
+    assert bounded > plain and bounded >= sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) // (16 << 10)
