@@ -143,3 +143,16 @@ def test_spread_bounds_the_share_of_a_task(spark, tmp_path):
     scan = spark.read.parquet(str(tmp_path / "rows"))
     plain, bounded = spread(scan).rdd.getNumPartitions(), spread(scan, 16 << 10).rdd.getNumPartitions()
     assert bounded > plain and bounded >= sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) // (16 << 10)
+
+
+def test_longest_paths_are_not_stored(spark):
+    from ontoweave.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1, "e", 1.0) for i in range(6)], "src long, dst long, label string, score double")
+    stored = []
+    real, graph.cut_lineage = graph.cut_lineage, lambda df: stored.append(1) or real(df)
+    try:
+        paths = graph.bounded_paths(edges, spark.createDataFrame([(0,)], "src long"), max_depth=3)
+    finally:
+        graph.cut_lineage = real
+    assert sorted(r["depth"] for r in paths.collect()) == [1, 2, 3] and len(stored) == 3  # the edges and the two shorter lengths
