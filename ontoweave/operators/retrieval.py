@@ -138,12 +138,22 @@ def recall(chunks: DataFrame, query: str, tokens: list[str], anchors: list[str])
     return recall_ranked(bm25(chunks.withColumn("_hay", hay), "_hay", tokens, "_bm25"), query, tokens, anchors)
 
 
+def _matched(hay: Column, tokens: list[str]) -> Column:
+    return _sum([F.when(hay.contains(t), 1.0).otherwise(0.0) for t in tokens])
+
+
+def _enough(matched: Column, exact: Column, tokens: list[str]) -> Column:
+    return F.lit(True) if len(tokens) < 2 else exact | (matched >= 2)
+
+
+def accepted(hay: Column, query: str, tokens: list[str]) -> Column:
+    """Whether ``recall`` can return a row with this text: it holds the phrase or two of the tokens, when there are two."""
+    return _enough(_matched(hay, tokens), hay.contains(query), tokens)
+
+
 def recall_ranked(ranked: DataFrame, query: str, tokens: list[str], anchors: list[str]) -> DataFrame:
     """``recall`` of rows that have their whole text (_hay) and its BM25 (_bm25) already."""
-    flags = computed_once(
-        ranked, _matched=_sum([F.when(F.col("_hay").contains(t), 1.0).otherwise(0.0) for t in tokens]),
-        _exact=F.col("_hay").contains(query),
-    )
+    flags = computed_once(ranked, _matched=_matched(F.col("_hay"), tokens), _exact=F.col("_hay").contains(query))
     bonus = F.col("_matched") * 3 + F.when(F.col("_exact"), 20.0).otherwise(0.0)
     full = F.when(F.col("_bm25") > 0, 12.0 + F.greatest(F.lit(0.0), 8.0 - F.col("_bm25")) + bonus).otherwise(0.0)
     in_title = [F.when(F.col("title").contains(t) | F.col("path").contains(t), 8.0 + bonus).otherwise(0.0) for t in dict.fromkeys([query, *tokens])]
@@ -156,9 +166,8 @@ def recall_ranked(ranked: DataFrame, query: str, tokens: list[str], anchors: lis
         ])
         parts.append(F.when(held, 16.0 + bonus).otherwise(0.0))
         sources.append(F.when(held, "anchored"))
-    accepted = F.lit(True) if len(tokens) < 2 else F.col("_exact") | (F.col("_matched") >= 2)
     return (
-        flags.filter(accepted)
+        flags.filter(_enough(F.col("_matched"), F.col("_exact"), tokens))
         .withColumns({"score": _sum(parts), "recall_sources": F.concat_ws(",", *sources)})
         .filter("score > 0").drop("_hay", "_bm25", "_matched", "_exact")
     )
