@@ -11,7 +11,7 @@ from ontoweave.catalog.base import View, ctes, query, sql_haversine, sql_round
 from ontoweave.functions.numeric import haversine, with_rounded
 from ontoweave.operators.geo import EARTH_M
 from ontoweave.plans import grid, schemes
-from ontoweave.session import cut_lineage, stored_by
+from ontoweave.session import cut_lineage, stored, stored_by, tasks_for
 
 # --- domain objects over the given tables ------------------------------------------------
 REQUESTS = View("supplier", {
@@ -405,21 +405,25 @@ def _scheme_state(spark, sf):
     feeders, transformers = SCHEME_FEEDERS.df(spark, sf), SCHEME_TRANSFORMERS.df(spark, sf)
     decisions = cut_lineage(schemes.decide_supply_mode(requests, MODE_RULES.df(spark, sf)))
     sized = schemes.single_route_capacity(requests.withColumn("capacity_kva", F.col("capacity_kva") / 8), decisions)
-    points = POINTS.df(spark, sf).filter("is_available")
-    near = grid.access_points_in_range(requests.select("request_id", "lng", "lat"), points, 2000.0)
     home = feeders.select(
         "feeder_id", F.col("feeder_substation_id").alias("substation_id"), F.col("feeder_busbar_id").alias("busbar_id"),
         F.col("feeder_transformer_id").alias("transformer_id"),
     )
-    candidates = near.join(sized, "request_id").join(home, "feeder_id").select(
-        "request_id", F.col("point_id").alias("access_point_id"), "distance_m", "feeder_id", "substation_id", "busbar_id", "transformer_id",
-        "single_route_capacity_kva", F.col("spare_intervals").cast("double").alias("available_bay_count"),
+    points = POINTS.df(spark, sf).filter("is_available").join(home, "feeder_id").select(
+        F.col("point_id").alias("access_point_id"), "lng", "lat", "feeder_id", "substation_id", "busbar_id", "transformer_id",
+        F.col("spare_intervals").cast("double").alias("available_bay_count"),
     )
-    checks = schemes.check_capacity(
-        candidates, feeders.drop("feeder_substation_id", "feeder_busbar_id", "feeder_transformer_id"), transformers.drop("transformer_substation_id")
+    # Pairs of requests and points are many: both sides bring all that is checked, so a pair is judged where it is found.
+    measured = schemes.with_measures(
+        points, feeders.drop("feeder_substation_id", "feeder_busbar_id", "feeder_transformer_id"), transformers.drop("transformer_substation_id")
     )
+    near = grid.access_points_in_range(requests.select("request_id", "lng", "lat").join(sized, "request_id"), measured, 2000.0, counted=True)
+    checks = schemes.judge_capacity(near, [
+        "request_id", "access_point_id", "distance_m", "feeder_id", "substation_id", "busbar_id", "transformer_id",
+        "single_route_capacity_kva", "available_bay_count",
+    ])
     # Check records are a stored object of the domain: later steps read them, they do not repeat the search.
-    return requests, decisions, sized, cut_lineage(checks), feeders, transformers
+    return requests, decisions, sized, stored(checks, "checks"), feeders, transformers
 
 
 @query("scheme_check_capacity", SCHEME_CTES + """
@@ -443,6 +447,11 @@ tie AS (SELECT source_feeder_id AS source, target_feeder_id AS target, switch_id
 mv AS (SELECT request_id, o.source, tie.target, switch_id, least(0.99::DOUBLE, current_load_rate + need / 50000) AS post FROM over o JOIN tie USING (source) JOIN f ON f.feeder_id = tie.target WHERE feeder_available_kva >= need)"""
 
 
+def _tasks(checks):
+    """Tasks for rows of pairs: few bytes hold many of them, and they grow with requests times points."""
+    return tasks_for(checks.sparkSession, checks.count())
+
+
 def _originals(spark, sf, state):
     requests, _, sized, _, feeders, _ = state
     asked = requests.filter("business_type = '增容'").select("request_id", "lng", "lat", F.expr(ORIGINAL_KEY).alias("point_id"))
@@ -457,9 +466,10 @@ def _originals(spark, sf, state):
 def _feeder_moves(spark, sf, state):
     checks, feeders = state[3], state[4]
     pressed = checks.filter("requires_load_transfer").unionByName(_originals(spark, sf, state), allowMissingColumns=True)
-    over = pressed.select("request_id", F.col("feeder_id").alias("source"), "single_route_capacity_kva").distinct()
+    tasks = _tasks(checks)
+    over = pressed.select("request_id", F.col("feeder_id").alias("source"), "single_route_capacity_kva").repartition(tasks, "source").distinct()
     ties = grid.ties(SWITCHES.df(spark, sf), "source_feeder_id", "target_feeder_id")
-    return cut_lineage(schemes.feeder_transfer_plans(over, ties, feeders))
+    return stored(schemes.feeder_transfer_plans(over, ties, feeders, tasks), "transfers")
 
 
 @query("scheme_feeder_transfers", SCHEME_CTES + f", {TRANSFERS} SELECT request_id, source, target, switch_id, {sql_round('post', 3)} AS post_transfer_load_rate, post <= 0.8 AS is_feasible FROM mv")
@@ -532,8 +542,11 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY to
 
 def _ranked(spark, sf, state):
     moves, lines = _new_lines(spark, sf, state)
-    pool = cut_lineage(schemes.with_original_supplies(state[3], _originals(spark, sf, state), moves))
-    return schemes.rank_schemes(schemes.usable_points(pool, moves), state[1], lines, RULE)
+    # The rows of with_original_supplies, its two parts apart: the checks are not written again.
+    added = schemes.relieved_originals(state[3], _originals(spark, sf, state), moves)
+    tasks = _tasks(state[3])
+    usable = schemes.usable_points(state[3], moves, tasks).unionByName(schemes.usable_points(added, moves), allowMissingColumns=True)
+    return schemes.rank_schemes(usable, state[1], lines, RULE, tasks)
 
 
 @query("scheme_ranked", LINE_CTES + f", {RANKED}" + f"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ontoweave.functions.numeric import haversine, with_rounded
 from ontoweave.operators.ordering import top_per_group
-from ontoweave.session import cut_lineage
+from ontoweave.session import cut_lineage, tasks_for
 
 EARTH_KM = 6371.0
 EARTH_M = 6371000.0
@@ -48,11 +48,12 @@ def _cell(lng: Column, cells: Column) -> Column:
 
 
 def radius_join(
-    centres: DataFrame, points: DataFrame, radius: float, earth: float, distance: str = "distance"
+    centres: DataFrame, points: DataFrame, radius: float, earth: float, distance: str = "distance", counted: bool = False
 ) -> DataFrame:
     """Every (centre, point) pair within ``radius``.
 
-    ``centres`` carry ``center_lng``/``center_lat``, ``points`` carry ``lng``/``lat``.
+    ``centres`` carry ``center_lng``/``center_lat``, ``points`` carry ``lng``/``lat``. ``counted``: the pairs that
+    meet in the cells are counted first (one row per cell), so that more of them make more tasks, not longer ones.
     """
     angle = radius / earth
     height = max(math.degrees(angle) * 1.000001, 1e-7)
@@ -77,6 +78,10 @@ def radius_join(
     )
     # Few bytes make many pairs here, so the number of tasks must not follow the bytes.
     tasks = int(centres.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if counted:
+        cells = [d.groupBy("_band", "_cell").agg(F.count("*").alias(n)) for d, n in ((spread, "_centres"), (placed, "_points"))]
+        pairs = cells[0].join(cells[1], ["_band", "_cell"]).agg(F.sum(F.col("_centres").cast("double") * F.col("_points"))).first()[0]
+        tasks = tasks_for(centres.sparkSession, int(pairs or 0), 1_500_000)
     met = spread.repartition(tasks, "_band", "_cell").join(placed.repartition(tasks, "_band", "_cell"), ["_band", "_cell"]).drop("_band", "_cell")
     return met.withColumn(
         distance, haversine(F.col("center_lng"), F.col("center_lat"), F.col("lng"), F.col("lat"), earth)

@@ -51,8 +51,8 @@ def validate_source_requirement(requests: DataFrame, requirements: DataFrame) ->
     )
 
 
-def access_points_in_range(requests: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
-    met = radius_join(centres(requests), points, radius_m, EARTH_M, "_d")
+def access_points_in_range(requests: DataFrame, points: DataFrame, radius_m: float, counted: bool = False) -> DataFrame:
+    met = radius_join(centres(requests), points, radius_m, EARTH_M, "_d", counted)
     return with_rounded(met, 1, distance_m=F.col("_d")).drop("center_lng", "center_lat")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoweave.functions.numeric import with_rounded
@@ -139,23 +139,40 @@ def check_capacity(
     ``points``: request_id, access_point_id, feeder_id, transformer_id,
     single_route_capacity_kva and, for access points, available_bay_count.
     """
-    j = points.join(feeders, "feeder_id", "left").join(transformers, "transformer_id", "left")
-    staged = j.withColumns(_check_columns(rule, check_bays))
+    return judge_capacity(with_measures(points, feeders, transformers), points.columns, rule, check_bays)
+
+
+def with_measures(points: DataFrame, feeders: DataFrame, transformers: DataFrame) -> DataFrame:
+    """Points and what their feeder and transformer measure, as the checks read it."""
+    return points.join(feeders, "feeder_id", "left").join(transformers, "transformer_id", "left")
+
+
+def judge_capacity(
+    measured: DataFrame, columns: list[str], rule: CapacityRule = CapacityRule(), check_bays: bool = True
+) -> DataFrame:
+    """``columns`` of points that carry their measures (:func:`with_measures`) and the seven checks."""
+    staged = measured.withColumns(_check_columns(rule, check_bays))
     failed = F.concat_ws(",", *[F.when(~F.col(c), F.lit(c)) for c in CHECKS])
     movable = ~(F.col(TRANSFER_CHECKS[0]) & F.col(TRANSFER_CHECKS[1]) & F.col(TRANSFER_CHECKS[2]) & F.col(TRANSFER_CHECKS[3]))
     return staged.select(
-        *points.columns, *CHECKS, failed.alias("failed_constraints"), (failed == "").alias("is_directly_usable"),
+        *columns, *CHECKS, failed.alias("failed_constraints"), (failed == "").alias("is_directly_usable"),
         movable.alias("requires_load_transfer"),
     )
 
 
-def feeder_transfer_plans(overloads: DataFrame, tie_rows: DataFrame, feeders: DataFrame) -> DataFrame:
-    """Tie neighbours with room for an overloaded feeder; feasible when they stay at or below 80%."""
+def feeder_transfer_plans(overloads: DataFrame, tie_rows: DataFrame, feeders: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Tie neighbours with room for an overloaded feeder; feasible when they stay at or below 80%.
+
+    ``tasks`` in this module: into how many tasks the rows of pairs are dealt; without it Spark merges them by bytes.
+    """
     receiver = feeders.select(
         F.col("feeder_id").alias("target"), F.col("feeder_available_kva").alias("_room"), F.col("current_load_rate").alias("_rate")
     )
     need = F.col("single_route_capacity_kva")
-    tried = overloads.join(tie_rows, "source").join(receiver, "target").filter(F.col("_room") >= need)
+    ways = tie_rows.join(receiver, "target")  # overloads are many: they meet ties and receivers in one join
+    if tasks:
+        ways = ways.repartition(tasks, "source")
+    tried = overloads.join(ways, "source").filter(F.col("_room") >= need)
     post = F.least(F.lit(0.99), F.col("_rate") + need / 50000)
     staged = with_rounded(tried.withColumn("_post", post), 3, post_transfer_load_rate=F.col("_post"))
     return staged.select(
@@ -221,18 +238,24 @@ def decide_new_line(
     )
 
 
-def _relieved(points: DataFrame, transfers: DataFrame) -> DataFrame:
+def _relieved(points: DataFrame, transfers: DataFrame, tasks: int | None = None) -> DataFrame:
     """``points`` with ``_relieved``: a feasible transfer takes load off their feeder or transformer."""
-    moved = transfers.filter("is_feasible").groupBy("request_id", F.col("source").alias("_unit")).agg(F.lit(True).alias("_hit"))
+    sources = transfers.filter("is_feasible").select("request_id", F.col("source").alias("_unit"))
+    if tasks:
+        sources = sources.repartition(tasks, "request_id", "_unit")
+    moved = sources.groupBy("request_id", "_unit").agg(F.lit(True).alias("_hit"))
     for unit in ("feeder_id", "transformer_id"):
+        if tasks:
+            points = points.repartition(tasks, "request_id", unit)
         points = points.join(moved.withColumnsRenamed({"_unit": unit, "_hit": f"_by_{unit}"}), ["request_id", unit], "left")
     hit = F.coalesce("_by_feeder_id", "_by_transformer_id", F.lit(False))
     return points.withColumn("_relieved", hit).drop("_by_feeder_id", "_by_transformer_id")
 
 
-def usable_points(checks: DataFrame, transfers: DataFrame) -> DataFrame:
+def usable_points(checks: DataFrame, transfers: DataFrame, tasks: int | None = None) -> DataFrame:
     """Directly usable points, plus those whose feeder or transformer has a feasible transfer."""
-    found = _relieved(checks, transfers).filter("is_directly_usable or (requires_load_transfer and _relieved)")
+    hopeful = checks.filter("is_directly_usable or requires_load_transfer")
+    found = _relieved(hopeful, transfers, tasks).filter("is_directly_usable or (requires_load_transfer and _relieved)")
     return found.select(*checks.columns)
 
 
@@ -243,14 +266,23 @@ def with_original_supplies(checks: DataFrame, originals: DataFrame, transfers: D
     substation_id, busbar_id, transformer_id, single_route_capacity_kva), one row per original point.
     A point that was checked anyway stays as it was checked.
     """
-    fresh = originals.join(checks.select("request_id", "access_point_id"), ["request_id", "access_point_id"], "left_anti")
+    return checks.unionByName(relieved_originals(checks, originals, transfers), allowMissingColumns=True)
+
+
+def relieved_originals(checks: DataFrame, originals: DataFrame, transfers: DataFrame) -> DataFrame:
+    """The rows that :func:`with_original_supplies` adds."""
+    point = ["request_id", "access_point_id"]
+    known = checks.select(*point).join(originals.select(*point), point, "left_semi")  # the checks are many, the originals few
+    fresh = originals.join(known, point, "left_anti")
     added = _relieved(fresh, transfers).filter("_relieved").dropDuplicates(["request_id", "access_point_id"]).withColumns({
         "failed_constraints": F.lit("original_source_requires_transfer"), "is_directly_usable": F.lit(False), "requires_load_transfer": F.lit(True),
     })
-    return checks.unionByName(added.select(*[c for c in added.columns if c in checks.columns]), allowMissingColumns=True)
+    return added.select(*[c for c in added.columns if c in checks.columns])
 
 
-def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_routes: int | None = None) -> DataFrame:
+def candidate_schemes(
+    usable: DataFrame, decisions: DataFrame, keep: int, max_routes: int | None = None, tasks: int | None = None
+) -> DataFrame:
     """Independent point combinations per request, without the ones no ranking can keep.
 
     ``max_routes`` is the largest route count among the decisions; without it that is asked from them (one row).
@@ -272,12 +304,15 @@ def candidate_schemes(usable: DataFrame, decisions: DataFrame, keep: int, max_ro
         "request_id", "minimum_route_count", "required_supply_mode", site.alias("site"),
         F.struct("distance_m", "access_point_id").alias("place"),
     )
+    if tasks:
+        placed = placed.repartition(tasks, "request_id")
     near = top_per_group(placed, ["request_id", "site"], [F.col("place")], keep).drop("rank")
-    sites = near.groupBy("request_id", "site").agg(F.min("place").alias("_best"), F.max("minimum_route_count").alias("_routes"))
-    kept_sites = top_per_group(sites, ["request_id"], [F.col("_best")], keep + max_routes - 1).filter(
-        F.col("rank") <= keep + F.col("_routes") - 1
-    ).select("request_id", "site")
-    pool = cut_lineage(near.join(kept_sites, ["request_id", "site"], "left_semi"))  # each level reads it
+    by_site = Window.partitionBy("request_id", "site")
+    sites = near.withColumns({"_best": F.min("place").over(by_site), "_routes": F.max("minimum_route_count").over(by_site)}).withColumn(
+        "_nth", F.dense_rank().over(Window.partitionBy("request_id").orderBy("_best", "site"))
+    ).filter(F.col("_nth") <= keep + max_routes - 1)
+    kept = sites.filter((F.col("_nth") <= keep + F.col("_routes") - 1) & F.col("site").isNotNull())
+    pool = cut_lineage(kept.drop("_best", "_routes", "_nth"))  # each level reads it
     heads = pool.select(
         "request_id", "minimum_route_count", "required_supply_mode", F.array("place").alias("places"), F.array("site").alias("sites")
     )
@@ -324,10 +359,10 @@ def score_schemes(schemes: DataFrame, rule: ScoringRule) -> DataFrame:
 
 
 def rank_schemes(
-    usable: DataFrame, decisions: DataFrame, new_lines: DataFrame | None, rule: ScoringRule
+    usable: DataFrame, decisions: DataFrame, new_lines: DataFrame | None, rule: ScoringRule, tasks: int | None = None
 ) -> DataFrame:
     """The best schemes per request, ranked; a feasible new line competes with the combinations."""
-    combos = candidate_schemes(usable, decisions, rule.max_output)
+    combos = candidate_schemes(usable, decisions, rule.max_output, tasks=tasks)
     if new_lines is not None:
         fresh = new_lines.filter("is_triggered and is_feasible").join(
             decisions.select("request_id", "minimum_route_count"), "request_id", "left"

@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from ontoweave.catalog import grid as grid_queries
 from ontoweave.operators import geo
-from ontoweave.plans import docgraph, documents, grid
+from ontoweave.plans import docgraph, documents, grid, schemes
+from ontoweave.session import tasks_for
 
 
 def plan_of(df):
@@ -156,3 +158,52 @@ def test_longest_paths_are_not_stored(spark):
     finally:
         graph.cut_lineage = real
     assert sorted(r["depth"] for r in paths.collect()) == [1, 2, 3] and len(stored) == 3  # the edges and the two shorter lengths
+
+
+def test_more_pairs_make_more_tasks(spark):
+    assert [tasks_for(spark, n) for n in (0, 2_000_000, 2_000_001, 50_000_000)] == [4, 4, 5, 100]
+    centres = spark.range(4000).selectExpr("id request_id", "100D center_lng", "30D center_lat")
+    points = spark.range(4000).selectExpr("id point_id", "100.001D lng", "30D lat")
+    assert geo.radius_join(centres, points, 2000.0, geo.EARTH_M, "_d", True).rdd.getNumPartitions() == 11
+    assert geo.radius_join(centres.limit(0), points, 2000.0, geo.EARTH_M, "_d", True).count() == 0
+
+
+def test_checks_of_pairs_are_judged_where_pairs_are_found(spark, tmp_path):
+    spark.range(1, 60).selectExpr("id s_suppkey", "cast(id % 25 as int) s_nationkey", "cast(id * 100 as double) s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 900).selectExpr("id c_custkey", "cast(id % 25 as int) c_nationkey", "cast(id * 10 as double) c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1, 800).selectExpr("id p_partkey", "cast(id % 50 as int) p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(25).selectExpr("cast(id as int) n_nationkey", "cast(id % 5 as int) n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    seen = []
+    whole = grid_queries.stored
+    try:
+        grid_queries.stored = lambda df, name: (seen.append(plan_of(df)), whole(df, name))[1]
+        checks = grid_queries._scheme_state(spark, str(tmp_path))[3]
+    finally:
+        grid_queries.stored = whole
+    assert checks.count() > 0
+    plan = seen[0].splitlines()
+    pairs = next(i for i, x in enumerate(plan) if "_band" in x and "Join" in x)  # the join that makes the pairs, nothing above it moves them
+    assert not [x for x in plan[:pairs] if "Exchange" in x or "Join" in x]
+
+
+def test_dealt_rows_give_the_same_schemes(spark):
+    rnd = random.Random(5)
+    types = "request_id int, access_point_id int, distance_m double, feeder_id int, substation_id int, busbar_id int, transformer_id int, is_directly_usable boolean, requires_load_transfer boolean"
+    some = lambda n: rnd.choice([None, *range(n)])
+    checks = spark.createDataFrame([
+        (rnd.randrange(6), i, float(rnd.randrange(2000)), some(9), some(4), some(3), some(9), rnd.random() < 0.3, rnd.random() < 0.5) for i in range(300)
+    ], types)
+    moves = spark.createDataFrame([(rnd.randrange(6), some(9), rnd.random() < 0.6) for _ in range(40)], "request_id int, source int, is_feasible boolean")
+    decisions = spark.createDataFrame(
+        [(q, "单电源", 1 + q % 3, q % 2 == 0, q % 3 == 0) for q in range(6)],
+        "request_id int, required_supply_mode string, minimum_route_count int, required_different_substations boolean, required_different_busbars boolean",
+    )
+    good = {(r["request_id"], r["source"]) for r in moves.collect() if r["is_feasible"] and r["source"] is not None}
+    want = {r["access_point_id"] for r in checks.collect() if r["is_directly_usable"] or (
+        r["requires_load_transfer"] and ((r["request_id"], r["feeder_id"]) in good or (r["request_id"], r["transformer_id"]) in good))}
+    found = {}
+    for tasks in (None, 3):
+        usable = schemes.usable_points(checks, moves, tasks)
+        assert {r["access_point_id"] for r in usable.collect()} == want
+        found[tasks] = sorted(map(str, schemes.rank_schemes(usable, decisions, None, schemes.ScoringRule(), tasks).collect()))
+    assert found[None] == found[3] and found[3]
