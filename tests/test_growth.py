@@ -78,6 +78,22 @@ def test_overlaps_give_only_the_best_of_many_alike(spark):
         assert len(every) == sum(_dot(a, b) >= 0.3 for a in vectors.values() for b in vectors.values()) > n * n / 2
 
 
+def test_titles_in_common_give_only_the_best(spark):
+    n, targets = 60, 5
+    vectors = _alike(random.Random(5), n)
+    keys = {s: ["電网建设意见", "電网建设意见附件一二三", "no other"][s % 3] for s in vectors}
+    kinds = spark.createDataFrame([(s, s, k) for s, k in keys.items()], "sig bigint, kind bigint, key string")
+    sources, sinks = (kinds.toDF(*(f"{side}_{c}" for c in kinds.columns)) for side in ("source", "target"))
+    for few, block in ((4, 7), (500, 4096)):
+        rows = docgraph._title_overlaps(_ranked(spark, vectors), sources, sinks, targets, few, block).collect()
+        got = {(r["source_kind"], r["target_kind"]): r["overlap_score"] for r in rows}
+        assert len(got) == len(rows) <= n * targets * 2 * -(-n // block)
+        for s in vectors:
+            held = [t for t in vectors if t != s and (keys[s] in keys[t] or keys[t] in keys[s])]
+            want = sorted(((_dot(vectors[s], vectors[t]), t) for t in held), reverse=True)[:targets]
+            assert sorted(((o, t) for (a, t), o in got.items() if a == s), reverse=True)[:targets] == want
+
+
 def test_exploded_titles_are_not_broadcast(spark):
     keys = ["", "ab", "abcdefgh", "xxabcdefghyy", "cde", "关于电网建设的意见", "电网"]
     a = spark.createDataFrame([(k,) for k in keys], "source_key string")
@@ -87,6 +103,17 @@ def test_exploded_titles_are_not_broadcast(spark):
     assert "BroadcastExchange" not in plan_of(found)
 
 
+def test_pieces_of_titles_travel_as_numbers(spark):
+    rnd = random.Random(2)
+    keys = ["x" * 3000 + "电网", "x", "xx", "网", "😀a", "?a", "a😀"] + ["".join(rnd.choice("ab电") for _ in range(rnd.randint(1, 14))) for _ in range(120)]
+    keys = sorted(set(keys))
+    a = spark.createDataFrame([(k,) for k in keys], "source_key string")
+    found = docgraph.title_containment(a, a.toDF("target_key"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y) for x in keys for y in keys if x in y or y in x}
+    assert dict(a.select(docgraph._pieces(F.col("source_key")).alias("p")).dtypes)["p"] == "array<bigint>"
+
+
 def test_body_terms_that_cannot_be_best_stay_in_their_row(spark):
     rnd = random.Random(9)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 24))) for _ in range(150)] + ["2020年", "一二年", "方案", "ab意见", "电网计划", "关于", "2020", "电网建设方案"]
